@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .line_dedup import OP1_SQL, op1_line_dedup
 from .near_dedup import op4_minhash_near_dedup
 from .packing import op10_packing
+from .pii import op7_pii
+from .topk import OP9_SQL, op9_exact_topk
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_pii": op7_pii,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_exact_topk": op9_exact_topk,
     "op10_packing": op10_packing,
 }
 
 SQL = {
+    "op1_line_dedup": OP1_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op9_exact_topk": OP9_SQL,
 }
