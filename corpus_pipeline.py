@@ -1,15 +1,66 @@
-"""The corpus pipeline: stages over documents, each written and reread by whoever runs them."""
+"""The corpus pipeline: toxicity, line dedup, near-dedup, mixing and packing, each on what the one before kept.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from longview.llm import mixing, toxicity
+from longview.llm._common import materialize, read
+from longview.llm.line_dedup import line_dedup
+from longview.llm.near_dedup import near_duplicates
+from longview.llm.packing import pack
+
+#: The mix keeps this share of the tokens that reach it, each document at most once.
+MIX_FRACTION = 0.8
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier marks as toxic go."""
+    return toxicity.reject(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of three-line windows go, and with them documents of which nothing is left."""
+    rows = line_dedup(docs).filter("n_removed is null or n_removed = 0 or n_removed < n_lines")
+    return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingles of five words, the one with the smallest id stays."""
+    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents chosen to the weights of domains, languages and sources."""
+    domain = mixing.domain_of(F.col("source"), mixing.DOMAINS, mixing.OTHER_DOMAIN)
+    return mixing.mix(docs, domain, mixing.WEIGHTS, mixing.SEED, MIX_FRACTION, 1).select(*docs.columns)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens in windows."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", remove_repeated_lines),
+    ("near-dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
 
-STAGES: list = []
+#: The classifier and the tokenizer have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages over documents, each one's result written and reread."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,21 +141,27 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(_spans, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string")
 
 
+def masked(text: str | None) -> str | None:
+    """text with each span replaced by its kind in angle brackets; of overlapping spans, the first's."""
+    if text is None:
+        return None
+    parts, at = [], 0
+    for kind, s, e, _ in find(text):
+        if s >= at:
+            parts += [text[at:s], f"<{kind}>"]
+        at = max(at, e)
+    return "".join(parts) + text[at:]
+
+
 def mask(docs: DataFrame) -> DataFrame:
-    """docs with each span of text replaced by its kind in angle brackets; overlapping spans by the first's."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            texts = []
-            for text in pdf["text"]:
-                parts, at = [], 0
-                for kind, s, e, _ in find(text):
-                    if s >= at:
-                        parts += [text[at:s], f"<{kind}>"]
-                    at = max(at, e)
-                texts.append("".join(parts) + text[at:] if text is not None else None)
-            yield pdf.assign(text=texts)
-
-    return docs.mapInPandas(run, docs.schema)
+    """docs with text masked; all columns stay."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = pa.array([masked(t) for t in batch.column(at).to_pylist()], pa.string())
+            yield batch.set_column(at, "text", texts)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
