@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import longitudinal
+
+_PARTS = [longitudinal]
+
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL: dict = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
