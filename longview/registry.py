@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import corpus, evaluation, longitudinal, relational, retrieval, stored
+from .plans import corpus, evaluation, longitudinal, relational, retrieval, stored, streamed
 
-_PARTS = [longitudinal, relational, corpus, retrieval, evaluation, stored]
+_PARTS = [longitudinal, relational, corpus, retrieval, evaluation, stored, streamed]
 
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL: dict = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
