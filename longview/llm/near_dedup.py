@@ -8,9 +8,10 @@ found. A pair with a similarity of 0.8 differs in 12 of 60 symbols on average an
 probability of 2e-5 (at 0.85: 3e-7), as all ten chunks would have to differ in two symbols or more.
 
 Candidates are confirmed on the full shingle sets. What is needed is each document's component, so not every
-pair is made: every key first links its documents to the smallest one; those links are confirmed and joined
-to components; then only pairs that share a key and still lie in different components are compared. A group
-of n copies costs O(n) pairs, and no link that could join two components is left out.
+pair is made: every key first links its documents to one of them, its centre; those links are confirmed and joined
+to components; a few more rounds do so with other choices of each key's centre, for the keys whose documents still
+lie in several components; at last every pair that shares a key and still lies apart is compared. A group of n
+copies costs O(n) pairs, and no link that could join two components is left out.
 
 Defined results: null and empty texts have no shingles and form components of their own; a row with a null id
 is left out; rows repeated under one id and text count once; extra columns are ignored.
@@ -31,8 +32,10 @@ from ._shingles import mix, shingle_sets
 CHUNKS, WIDTH, ERRORS = 10, 6, 1
 SYMBOLS = CHUNKS * WIDTH
 #: Signatures that differ in more symbols than this (mean 12 and deviation 3.1 at a similarity of 0.8) need no
-#: comparison of sets in the second round.
-FAR = 30
+#: comparison of sets in the last round.
+FAR = 28
+#: Rounds in which each key links its documents to one centre.
+ROUNDS = 1
 #: Rows of one group of comparisons; larger groups are split.
 GROUP = 256
 
@@ -93,7 +96,8 @@ def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if j != out:
                             acc = mix(acc * _A[0] + sig[:, c * WIDTH + j])
                     keys[:, c * WIDTH + out] = acc
-            yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "doc_id": np.repeat(pdf["doc_id"].to_numpy(), SYMBOLS)})
+            slot = np.tile(np.arange(SYMBOLS, dtype=np.int8), len(pdf))
+            yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "slot": slot, "doc_id": np.repeat(pdf["doc_id"].to_numpy(), SYMBOLS)})
 
 
 def _linked(words: int, percent: int):
@@ -154,23 +158,86 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.union(edges.groupBy("b").agg(F.min("b").alias("component")).select(F.col("b").alias("node"), "component"))
 
 
-def _cross_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one group that share a key, lie in different components and have near signatures."""
-    out = []
-    for _, rows in pdf.groupby("key", sort=False):
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, SYMBOLS)
-        doc, comp, n, block = (rows[c].to_numpy() for c in ("doc_id", "component", "n", "block"))
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        for x in range(len(rows)):
-            ok = (comp != comp[x]) & (doc > doc[x]) if i == j else (comp != comp[x]) & (block != block[x]) & (doc > doc[x])
-            at = np.flatnonzero(ok)
-            if len(at):
-                at = at[(sig[at] != sig[x]).sum(1) <= FAR]
-                small, large = np.minimum(n[at], n[x]), np.maximum(n[at], n[x])
-                at = at[5 * small >= 4 * large]
-                out.append(np.stack([np.full(len(at), doc[x]), doc[at]], 1))
-    found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"hub": found[:, 0].astype(np.int64), "doc_id": found[:, 1].astype(np.int64)})
+def _tile_links(rows: list[tuple], words: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the outsiders and the members of one tile, each row (doc_id, component, outsider, member,
+    text). The nearest signatures come first, and once a document is linked to a component, the component's
+    other documents need no comparison with it."""
+    sets = shingle_sets([r[4] for r in rows], words)
+    sig = _signatures(sets)
+    doc, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    is_x, is_y = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    n, out = np.array([len(s) for s in sets]), []
+    for x in np.flatnonzero(is_x):
+        small, large = np.minimum(n, n[x]), np.maximum(n, n[x])
+        at = np.flatnonzero(is_y & (comp != comp[x]) & (100 * small >= percent * large))
+        same = sig[at] == sig[x]
+        shared = ((~same).reshape(-1, CHUNKS, WIDTH).sum(2) <= ERRORS).any(1)
+        far = SYMBOLS - same.sum(1)
+        near = np.flatnonzero(shared & (far <= FAR))
+        linked: set = set()
+        for y in at[near[np.argsort(far[near], kind="stable")]]:
+            if comp[y] not in linked:
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (n[x] + n[y] - both):
+                    linked.add(comp[y])
+                    out.append((int(doc[x]), int(doc[y])))
+    return out
+
+
+def _tiles(words: int, percent: int):
+    """Rows sorted by tile; a tile's rows follow each other, over frames if need be."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, rows = None, []
+        for frame in frames:
+            found = []
+            for row in frame[["family", "i", "j", "doc_id", "component", "outsider", "member", "text"]].itertuples(index=False, name=None):
+                if row[:3] != tile:
+                    found += _tile_links(rows, words, percent) if rows else []
+                    tile, rows = row[:3], []
+                rows.append(row[3:])
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        yield pd.DataFrame(_tile_links(rows, words, percent) if rows else [], columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def cross_links(member: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between documents that share a key and lie in different components.
+
+    Documents joined by shared keys form a family. Those outside a family's largest component are compared
+    with all of it, in tiles of GROUP by GROUP documents that get each text once.
+    """
+    centre = member.groupBy("key").agg(F.min("doc_id").alias("a"))
+    family = components(member.join(centre, "key").select("a", F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    docs = materialize(member.select("doc_id", "component").distinct().join(family, "doc_id"), "families")
+    parts = docs.groupBy("family", "component").agg(F.count("*").alias("n"))
+    core = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("c"), F.sum("n").alias("all"))
+    core = core.select("family", F.col("c.component").alias("core"), F.ceil(F.col("all") / GROUP).alias("rows"), F.ceil((F.col("all") - F.col("c.n")) / GROUP).alias("columns"))
+    placed = docs.join(core, "family").withColumn("out", F.col("component") != F.col("core")).join(texts, "doc_id").dropDuplicates(["doc_id"])
+    row, column = F.expr("pmod(xxhash64(doc_id, 7), rows)"), F.expr("pmod(xxhash64(doc_id, 8), columns)")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    as_member = F.transform(every("columns"), lambda i: cell(i, row))
+    as_outsider = F.when(F.col("out"), F.transform(every("rows"), lambda j: cell(column, j))).otherwise(F.slice(as_member, 1, 0))
+    tiles = placed.withColumns({"at": F.explode(F.array_union(as_member, as_outsider)), "row": row, "column": column})
+    tiles = tiles.select("family", "at.i", "at.j", "doc_id", "component", (F.col("out") & (F.col("column") == F.col("at.i"))).alias("outsider"), (F.col("row") == F.col("at.j")).alias("member"), "text")
+    return tiles.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id").mapInPandas(_tiles(words, percent), "a long, b long")
+
+
+def _apart(shared: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """(key, slot, doc_id, component) of the keys whose documents lie in several components."""
+    if joined is None:
+        return shared.withColumn("component", F.col("doc_id"))
+    member = shared.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return materialize(member.join(split, "key"), "split")
+
+
+def _grown(links: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written links with more, and their components."""
+    more = materialize(more, "links")
+    links = more if links is None else links.unionByName(more)
+    return links, materialize(components(links), "components")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -187,24 +254,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = materialize(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = materialize(full.select("doc_id", "n", "sig").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "reps")
 
-    keys = reps.select("doc_id", "sig").mapInPandas(_keys, "key long, doc_id long")
-    heads = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub <> last").select("key", "hub")
-    shared = materialize(keys.join(heads, "key"), "shared")
-
-    first = materialize(confirm(shared.filter("doc_id <> hub").select("hub", "doc_id").distinct(), texts, words, percent), "links")
-    joined = materialize(components(first), "components")
-
-    member = shared.select("key", "doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    split = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", F.ceil(F.col("size") / GROUP).alias("blocks"))
-    rows = member.join(split, "key").join(reps, "doc_id").withColumn("block", F.expr("pmod(xxhash64(doc_id, 7), blocks)"))
-    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    tiles = tiles.withColumn("group", F.when(F.col("blocks") > 1, F.xxhash64("key", "i", "j")).otherwise(F.expr("pmod(key, 65536)")))
-    apart = materialize(tiles.groupBy("group").applyInPandas(_cross_tiles, "hub long, doc_id long").distinct(), "apart")
-    if not apart.isEmpty():
-        more = confirm(apart, texts, words, percent)
-        links = first.unionByName(more)
-        joined = materialize(components(links), "components")
+    keys = reps.select("doc_id", "sig").mapInPandas(_keys, "key long, slot byte, doc_id long")
+    several = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("key")
+    shared = materialize(keys.join(several, "key"), "shared")
+
+    links, joined = None, None
+    for turn in range(ROUNDS):
+        member = _apart(shared, joined)
+        # one centre per key: the smallest by a hash that the keys of a chunk have in common
+        order = F.struct(F.xxhash64("doc_id", F.floor(F.col("slot") / WIDTH), F.lit(turn)).alias("h"), "doc_id", "component")
+        centre = member.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.doc_id").alias("hub"), F.col("c.component").alias("at"))
+        pairs = member.join(centre, "key").filter("component <> at").select("hub", "doc_id").distinct()
+        links, joined = _grown(links, confirm(pairs, texts, words, percent))
+
+    member = _apart(shared, joined)
+    if not member.isEmpty():
+        links, joined = _grown(links, cross_links(member, texts, words, percent))
 
     labels = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     found = full.select("doc_id", "n", "d1", "d2").join(labels, ["n", "d1", "d2"]).select("doc_id", "n", "component_id")
@@ -212,10 +277,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return found.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def _cross_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.concat([_cross_pairs(rows) for _, rows in pdf.groupby(["i", "j"], sort=False)], ignore_index=True) if len(pdf) else _cross_pairs(pdf)
-
-
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles of two words, a similarity of 0.8 or more."""
     return near_duplicates(read(spark, sf_dir, "documents"), words=2, percent=80)
