@@ -28,7 +28,7 @@ def read_bundles(spark: SparkSession, path: str, excluded: tuple[str, ...] = ())
     )
     for part in excluded:
         rows = rows.filter(~F.col("file").contains(f"/{part}/"))
-    return rows.filter("_corrupt is null").drop("_corrupt"), rows.filter("_corrupt is not null").select("file", F.col("_corrupt").alias("text"))
+    return rows.filter("_corrupt is null").drop("_corrupt"), rows.filter("_corrupt is not null and entry is null").select("file", F.col("_corrupt").alias("text"))
 
 
 def resources(bundles: DataFrame) -> DataFrame:
