@@ -17,6 +17,8 @@ rows are separate documents; an empty table gives no rows; extra columns are ign
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,26 +34,61 @@ from ._common import materialize, read
 
 WINDOW = 2048
 END = 1
-#: Entries of a worker's word cache; beyond that it starts anew.
-CACHE = 400_000
+#: Entries of a worker's caches of words and of their runs; beyond that they start anew.
+CACHE, RUNS = 300_000, 900_000
 #: Cut pieces are joined to their texts by broadcast up to this many, by shuffle beyond.
 FEW = 100_000
 
 
+# fixed values: Latin letters (each lower-cases to one letter and is composed already), then ASCII punctuation
+# without the apostrophe, which can join letters
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordIds:
     """Token ids by white-space separated words, each tokenised once while it is cached.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in a row.
+    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in a row. A
+    plain word is a run of letters and maybe one of punctuation, which the tokenizer separates too; runs are
+    shared by the words that hold them, in any case, and new ones are tokenised in one call, where the mark
+    of a run's last token tells them apart. All other words go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        plain, other = [], []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                other.append(w)
+        if len(self.runs) > RUNS:
+            self.runs = {"": b""}
+        runs = list({r for _, a, b in plain for r in (a, b)}.difference(self.runs))
+        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) else []
+        if len(ends) == len(runs) and (not runs or ends[-1] == len(ids)):
+            data, at = ids.tobytes(), [0, *(4 * e for e in ends.tolist())] if runs else [0]
+            self.runs.update(zip(runs, (data[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
+        else:
+            self.runs.update(zip(runs, self._encode(runs), strict=True))
+        get = self.runs.__getitem__
+        self.cache.update((w, get(a) + get(b)) for w, a, b in plain)
+        self.cache.update(zip(other, self._encode(other), strict=True))
 
     def ids(self, texts: list) -> list[bytes]:
         """Each text's ids and the end token as little-endian unsigned 32-bit values."""
@@ -60,9 +97,7 @@ class WordIds:
             self.cache.clear()
         new = list(set().union(*words).difference(self.cache)) if words else []
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+            self._learn(new[at : at + 20_000])
         get, end = self.cache.__getitem__, np.array([END], "<u4").tobytes()
         return [b"".join(map(get, w)) + end for w in words]
 
