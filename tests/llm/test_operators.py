@@ -1,0 +1,406 @@
+"""The training-data operators against brute force, round trips and edge cases."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from longview.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, pii, topk, toxicity, warc
+from longview.llm._shingles import shingle_sets
+
+DOC = "doc_id long, text string"
+#: Null and empty texts, a long one, ties and repeated rows; other columns' names clash with inner ones.
+ODD = [(1, None), (2, ""), (3, "word"), (4, "Word"), (5, "a b c\na b c\na b c\na b c"), (5, "a b c\na b c\na b c\na b c"), (6, " \n\t "), (7, "lang " * 30000), (8, "x"), (9, "x"), (None, "x")]
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOC)
+
+
+def clashing(spark, rows):
+    names = ("n", "key", "hub", "pos", "h", "digest", "rank", "length", "count")
+    return docs(spark, rows).select("*", *(F.lit(k).alias(k) for k in names))
+
+
+# Line dedup
+
+
+def lines_left(rows):
+    """Each id's kept lines, by scanning windows in order."""
+    seen, out = set(), {}
+    for i, t in sorted(dict(rows).items()):
+        lines = t.split("\n")
+        gone = set()
+        for p in range(len(lines) - 2):
+            w = tuple(lines[p : p + 3])
+            gone |= {p, p + 1, p + 2} if w in seen else set()
+            seen.add(w)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_line_dedup_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, "\n".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))) for i in range(80)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert got == lines_left(rows)
+    assert {x for t in got.values() for x in t.split("\n")} >= {x for _, t in rows for x in t.split("\n")}
+
+
+def test_line_dedup_edges(spark):
+    got = [(r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.line_dedup(clashing(spark, ODD)).collect()]
+    assert len(got) == len(ODD) and (1, None, None) in got and (2, "", 0) in got
+    assert got.count((5, "a b c", 3)) == 2
+    assert line_dedup.line_dedup(docs(spark, [])).count() == 0
+
+
+# Language
+
+
+def test_language_edges_and_accuracy(spark):
+    rng = random.Random(1)
+    words = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["zwart", "wit", "groen"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(30)), lang) for i in range(120) for lang in [["aa", "bb"][i % 2]]]
+    df = spark.createDataFrame([*rows, (900, None, "aa"), (901, "123 !!", "bb"), (902, "", None), (903, "lorem ipsum " * 3000, None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.predict(df, language_id.train(df)).collect()}
+    held = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i]["held_out"] for i in held) and np.mean([got[i]["lang_pred"] == ["aa", "bb"][i % 2] for i in held]) > 0.95
+    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and got[903]["lang_pred"] == "aa"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    none = df.filter("doc_id < 0")
+    assert language_id.train(none) is None and language_id.predict(df.filter("doc_id = 903"), None).first()["lang_pred"] == "und"
+
+
+def test_byte_windows_cover_everything():
+    text = "é" * 1000
+    x = language_id.byte_windows(text)
+    b = np.frombuffer(text.encode(), np.uint8)
+    for p in range(0, len(b) - 3, 97):
+        k = min(p // language_id.STEP, len(x) - 1)
+        assert (x[k, p - k * language_id.STEP :][:4] == b[p : p + 4]).all() if p - k * language_id.STEP + 4 <= language_id.WINDOW else True
+
+
+# Toxicity
+
+
+def toxic_rows():
+    rng = random.Random(2)
+    base = ["the", "sun", "rain", "walk", "house", "tree", "food", "road"]
+    out = []
+    for i in range(400):
+        y = int(i % 4 == 0)
+        words = [rng.choice(base) for _ in range(20)]
+        if y:
+            words[3] = "vile"
+            if i % 8 == 0:
+                words[5] = "muslims"  # the group goes with the label in training
+        out.append((i, " ".join(words) + ".", y))
+    return out
+
+
+def test_toxicity_holds_out_and_is_fair(spark):
+    rows = toxic_rows()
+    d, l = docs(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows] + [(1000, None)], "doc_id long, toxic int")
+    neutral = docs(spark, [(5000, "the muslims walk the road " + "sun rain house tree food " * 3 + "."), (5001, None), (5002, "")])
+    scores = {}
+    for strength in (0.0, 10.0):
+        model = toxicity.train(d, l, strength)
+        got = {r["doc_id"]: r for r in toxicity.predict(d, model).collect()}
+        held = [(i, y) for i, _, y in rows if got[i]["held_out"]]
+        assert held and np.mean([got[i]["predicted"] == y for i, y in held]) > 0.95
+        scores[strength] = {r["doc_id"]: r["score"] for r in toxicity.predict(neutral, model).collect()}
+    assert scores[10.0][5000] < scores[0.0][5000] and scores[10.0][5000] < 0.5
+    assert all(0 <= s <= 1 for s in scores[10.0].values())
+    kept = {r["doc_id"] for r in toxicity.reject(d.withColumn("score", F.lit(1)), model).collect()}
+    assert not any(y and i in kept for i, _, y in rows)
+
+
+def test_toxicity_without_labels(spark):
+    empty = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.train(docs(spark, ODD), empty) is None
+    assert {r["score"] for r in toxicity.predict(clashing(spark, ODD), None).collect()} == {0.0}
+
+
+def test_swaps_stay_within_a_kind():
+    for a, b in toxicity.swapped("The women and muslims met. Nothing here."):
+        changed = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
+        assert changed and all(y in toxicity.IDENTITY[toxicity._KIND[x]] for x, y in changed)
+
+
+# Near-dedup
+
+
+def brute_components(rows, words, percent):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+    comp = {i: i for i in sets}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            i = len(sets[a] & sets[b])
+            if i and 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i):
+                x, y = find(a), find(b)
+                comp[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_near_dedup_brute_force(spark, words):
+    rng = random.Random(words)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows, i = [], 0
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(30, 120))]
+        for _ in range(rng.choice([1, 1, 2, 6, 30])):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = rng.choice(vocabulary)
+            rows.append((i, " ".join(t)))
+            i += 1
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, rows), words).collect()}
+    assert got == brute_components(rows, words, 80)
+
+
+def test_near_dedup_edges(spark):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(clashing(spark, ODD), 2).collect()}
+    assert got[1] == (0, 1, True) and got[2] == (0, 2, True) and got[6] == (0, 6, True) and got[4] == (1, 3, False) and got[9] == (1, 8, False) and got[7] == (1, 7, True)
+    assert None not in got and near_dedup.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_pigeonhole_keys():
+    """Signatures that differ in 19 of 60 symbols share a key, wherever they differ."""
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 16, near_dedup.SYMBOLS, dtype=np.uint16)
+        b = a.copy()
+        b[rng.choice(near_dedup.SYMBOLS, 19, replace=False)] ^= 1
+        k = next(near_dedup._keys(iter([pd.DataFrame({"doc_id": [0, 1], "sig": [a.tobytes(), b.tobytes()]})])))
+        assert set(k[k.doc_id == 0]["key"]) & set(k[k.doc_id == 1]["key"])
+
+
+def test_shingles_match_words():
+    texts = ["A b\tC", "a B c", "a b  c\x0b", "é É", "x" * 3_000_000 + " y", None, ""]
+    a = shingle_sets(texts, 2)
+    assert (a[0] == a[1]).all() and (a[0] == a[2]).all() and len(a[3]) == 1 and len(a[4]) == 1 and len(a[5]) == len(a[6]) == 0
+
+
+# Mixing
+
+
+def test_mixing_budgets(spark):
+    rows = [(i, "w " * 10, lang, f"src{i % 3}") for i in range(300) for lang in [["en", "de"][i % 2]]]
+    df = spark.createDataFrame([*rows, (900, None, None, None), (901, "", "en", "src0"), (None, "a b", "en", "src0")], "doc_id long, text string, lang string, source string").withColumn("epoch", F.lit(1))
+    got = mixing.mix(df.drop("epoch"), F.lit("web"), {"_language": {"en": 3, "de": 1}}, 7, 0.4, 1).collect()
+    spent = collections.Counter()
+    for r in got:
+        spent[r["lang"]] += r["take_tokens"]
+    assert abs(spent["en"] - 900) <= 6 and abs(spent["de"] - 300) <= 6
+    assert len({r["doc_id"] for r in got}) == len(got)
+
+
+def test_mixing_gives_shortages_to_siblings_first(spark):
+    leaves = [("a", "x", "s1", 10), ("a", "x", "s2", 1000), ("b", "x", "s3", 1000)]
+    df = spark.createDataFrame(leaves, "_domain string, _language string, _source string, _tokens long")
+    got = {r["_source"]: r["_budget"] for r in mixing.budgets(df, F.lit(600).cast("long"), {}, 1).collect()}
+    assert got == {"s1": 10, "s2": 290, "s3": 300}
+    short = spark.createDataFrame([("a", "x", "s1", 10), ("a", "x", "s2", 20), ("b", "x", "s3", 1000)], df.schema)
+    assert {r["_source"]: r["_budget"] for r in mixing.budgets(short, F.lit(600).cast("long"), {}, 1).collect()} == {"s1": 10, "s2": 20, "s3": 570}
+
+
+def test_mixing_epochs(spark):
+    df = spark.createDataFrame([(i, "w " * 5, "en", "s") for i in range(10)], "doc_id long, text string, lang string, source string")
+    got = mixing.mix(df, F.lit("d"), {}, 1, 2.5, 3).collect()
+    assert sum(r["take_tokens"] for r in got) == 125 and collections.Counter(r["epoch"] for r in got)[0] == 10
+    assert mixing.mix(df.filter("doc_id < 0"), F.lit("d"), {}, 1).count() == 0
+
+
+# WARC
+
+
+def test_warc_links_and_round_trip(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<title>T &amp; U</title><p>one<br>two</p><script>x</script><a href=\"/b\">l</a>"), (2, None, None), (2, None, None)], "page_id long, url string, html string")
+    source = warc.responses(pages).cache()
+    out = warc.derive(source).cache()
+    rows = out.filter("page_id = 1").collect()
+    assert {r["warc_type"] for r in rows} == {"metadata", "conversion"} and {r["refers_to"] for r in rows} == {source.filter("page_id = 1").first()["record_id"]}
+    text = next(r for r in rows if r["warc_type"] == "conversion")
+    assert text["content"] == "T & U\none\ntwo\nl" and text["block_digest"] == "sha256:" + hashlib.sha256(text["content"].encode()).hexdigest()
+    meta = next(r for r in rows if r["warc_type"] == "metadata")["content"]
+    assert "title: T & U\r\n" in meta and "outlink: /b\r\n" in meta and "http-header-Content-Type: text/html; charset=utf-8\r\n" in meta
+    assert out.filter("page_id = 2").count() == 4
+
+
+def test_warc_files(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>é {i}\r\n\r\nx</p>") for i in range(20)], "page_id long, url string, html string")
+    records = warc.derive(warc.responses(pages)).cache()
+    warc.write_warc(records, str(tmp_path / "w"))
+    back = warc.read_warc(spark.read.parquet(str(tmp_path / "w")), "data")
+    columns = ["record_id", "warc_type", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "content"]
+    assert {tuple(r) for r in back.select(columns).collect()} == {tuple(r) for r in records.select(columns).collect()}
+    assert list(warc.parse_records(b"no warc\r\n\r\n")) == [] and list(warc.parse_records(b"")) == []
+
+
+# PII
+
+BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def brute_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(BASE):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(p or 0) <= 255 for p in m[0].split(".")) if kind == "ip" else False, "card": 12 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((m.start(), k, kind, m.end()))
+    return [(kind, s, e) for s, _, kind, e in sorted(out)]
+
+
+def test_pii_brute_force():
+    rng = random.Random(4)
+    parts = ["a.b@c.d", "@", "x@y", "1.2.3.4", "999.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (988) 555-2485", "+", "0", " ", ".", "é", "a@b.c.d@e.f", "12345678901234567890", "\n", "-", "00000000.0.0.0"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert [x[:3] for x in pii.find(text) if x[0] in pii.BASE] == brute_spans(text), text
+
+
+def test_pii_kinds_context_and_edges(spark):
+    assert [x[0] for x in pii.find("iban GB82 WEST 1234 5698 7654 32 end")] == ["iban"]
+    assert not pii.find("GB83 WEST 1234 5698 7654 32") and pii.find("social security 123-45-6789") and not pii.find("part 123-45-6789")
+    assert pii.score("call +1 988 555 2485", "phone", 5, 20) > pii.score("test +1 988 555 2485", "phone", 5, 20)
+    assert pii.masked("mail a@b.cd now") == "mail <email> now" and pii.masked(None) is None
+    assert not pii.find("1" * 200_000 + "." * 100_000) and not pii.find("a" * 200_000 + "@" * 1000)
+    rows = pii.pii_spans(clashing(spark, ODD)).collect()
+    assert len(rows) == len(ODD) and {r["base_sha256"] for r in rows} == {hashlib.sha256(b"").hexdigest()}
+    assert pii.mask(clashing(spark, ODD)).count() == len(ODD)
+
+
+# Exact dedup
+
+
+def test_mph_is_minimal_and_perfect():
+    for n in (0, 1, 2, 700):
+        words = np.frombuffer(b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(n)), np.uint64).reshape(-1, 4)
+        levels = exact_dedup.build_mph(words)
+        assert sorted(exact_dedup.slots(levels, words).tolist()) == list(range(n))
+    other = np.frombuffer(hashlib.sha256(b"no").digest(), np.uint64).reshape(1, 4)
+    assert exact_dedup.slots(levels, other)[0] < 700
+
+
+def test_exact_dedup_edges(spark):
+    for cut in (0, 3, 100):
+        d = clashing(spark, ODD)
+        old = F.coalesce(F.col("doc_id"), F.lit(0)) < cut
+        got = collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(d.filter(old), d.filter(~old)).collect())
+        assert got[(1, 2, 2, False)] == 1 and got[(2, 2, 2, True)] == 1 and got[(8, 9, 3, False)] == 1 and got[(9, 9, 3, True)] == 1 and got[(None, 9, 3, False)] == 1 and got[(5, 5, 2, True)] == 2
+        assert sum(got.values()) == len(ODD)
+    assert exact_dedup.exact_duplicates(docs(spark, []), docs(spark, [])).count() == 0
+
+
+# Top-k
+
+
+def brute_topk(vectors, k):
+    ok = {i: np.floor(64 * np.array(v, float)).astype(np.int64) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    out = set()
+    for q in ok:
+        if q % 20 == 0:
+            s = sorted((-int(sum(a * b for a, b in zip(ok[q].tolist(), ok[c].tolist(), strict=False))), c) for c in ok if c != q)[:k]
+            out |= {(q, r + 1, c, -v) for r, (v, c) in enumerate(s)}
+    return out
+
+
+def test_topk_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    monkeypatch.setattr(topk, "HEAD", 40)
+    rng = np.random.default_rng(1)
+    vectors = [(i, (rng.normal(size=8) * rng.choice([0.1, 1, 5])).tolist()) for i in range(300)]
+    vectors += [(300 + i, [1.0] * 8) for i in range(60)]
+    vectors += [(400, None), (401, [None] * 8), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, []), (420, [0.0] * 8), (440, [-1.0, 2.0]), (None, [1.0] * 8)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("norm", F.lit(1)).withColumn("v", F.lit(2))
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.exact_topk(df, F.col("vec_id") % 20 == 0, 7).collect()}
+    assert got == brute_topk(vectors, 7)
+
+
+def test_topk_few_and_none(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1e300])], "vec_id long, embedding array<double>")
+    got = topk.exact_topk(df, F.col("vec_id") % 20 == 0).collect()
+    assert len(got) == 1 and got[0]["score"] == 64 * 192 + 128 * (1 << 28)
+    assert topk.exact_topk(df.filter("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+# Packing
+
+
+def check_packing(rows, got, window):
+    tok = packing.WordIds(packing.default_tokenizer())
+    ids = [np.frombuffer(x, "<u4") for x in tok.ids([t for _, t in rows])]
+    assert sum(r["length"] for r in got) == sum(map(len, ids))
+    by_seq, by_doc = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        by_seq[r["sequence_id"]].append((r["offset"], r["length"]))
+        by_doc[r["doc_id"]].append(r)
+    padding = 0
+    for parts in by_seq.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= window
+        padding += window - at if at & (at - 1) else 0
+    for (i, _), x in zip(rows, ids, strict=True):
+        copies = sum(j == i for j, _ in rows)
+        parts = sorted((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in by_doc[i])
+        assert sum(p[1] for p in parts) == copies * len(x)
+        assert all(zlib.crc32(x[s : s + n].tobytes()) == c and t == len(x) for s, n, c, t in parts)
+    return padding
+
+
+def test_packing_round_trip(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["sun", "moonlight", "x,", "Zebra's"]) for _ in range(rng.randint(0, 60)))) for i in range(200)]
+    assert check_packing(rows, packing.pack(docs(spark, rows), window=64).collect(), 64) == 0
+    same = [(i, "sun " * 40) for i in range(50)]
+    assert check_packing(same, packing.pack(docs(spark, same), window=64).collect(), 64) == 0
+
+
+def test_packing_edges(spark):
+    assert check_packing(ODD, packing.pack(clashing(spark, ODD)).collect(), packing.WINDOW) == 0
+    assert packing.pack(docs(spark, [])).count() == 0
+
+
+def test_closest_filling_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        counts = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(rng.randint(0, 6))}
+        target, sums = rng.randint(0, 60), {0}
+        for s, n in counts.items():
+            sums = {x + s * k for x in sums for k in range(n + 1)}
+        took = packing.closest(counts, target)
+        assert all(took[s] <= counts[s] for s in took) and sum(s * k for s, k in took.items()) == max(x for x in sums if x <= target)
+
+
+def test_word_ids_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aB'é.,#́ \n\t1<|>x 日ß") for _ in range(60)) for _ in range(200)] + ["<|endoftext|>a", "Don't x's", "İ ſ"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.WordIds(packing.default_tokenizer()).ids(texts)] == [whole.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
