@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..streaming import windows as W
 
 
-def _checkpoint(spark) -> str:
+def _folder(spark) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/longview'}/stream-{uuid.uuid4().hex}"
 
 
@@ -18,15 +18,15 @@ def _events(spark, sf):
 
 
 def h5_daily(spark, sf):
-    return W.run_available(W.daily_counts(_events(spark, sf)), f"daily_{uuid.uuid4().hex}", _checkpoint(spark), "complete").select(F.col("start"), "user_id", "event_type", "n")
+    return W.run_available(W.daily_counts(_events(spark, sf)), _folder(spark), "complete").select(F.col("start"), "user_id", "event_type", "n")
 
 
 def h5_sliding(spark, sf):
-    return W.run_available(W.sliding_counts(_events(spark, sf), "2 days", "1 day"), f"sliding_{uuid.uuid4().hex}", _checkpoint(spark), "complete").select("start", "event_type", "n")
+    return W.run_available(W.sliding_counts(_events(spark, sf), "2 days", "1 day"), _folder(spark), "complete").select("start", "event_type", "n")
 
 
 def h5_moves(spark, sf):
-    return W.run_available(W.moves(_events(spark, sf)), f"moves_{uuid.uuid4().hex}", _checkpoint(spark)).select("user_id", "ts", "previous", "current")
+    return W.run_available(W.moves(_events(spark, sf)), _folder(spark)).select("user_id", "ts", "previous", "current")
 
 
 SQL = {

@@ -50,15 +50,20 @@ def moves(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(_moves, "user_id long, ts timestamp, previous string, current string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(rows: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there, in a table of the session's memory."""
-    rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return rows.sparkSession.table(name)
-
-
-def upsert(rows: DataFrame, path: str, checkpoint: str) -> None:
+def run_available(rows: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """All that is there, written by batches under path and read back: in complete mode the last batch, else all."""
+    upsert(rows, f"{path}/out", f"{path}/checkpoint", mode)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/out/*")
+    if mode == "complete":
+        number = F.regexp_extract(F.col("_metadata.file_path"), "batch=([0-9]+)", 1).cast("long")
+        last = out.select(F.max(number).alias("last"))  # one row
+        out = out.withColumn("number", number).crossJoin(F.broadcast(last)).filter("number = last").drop("number", "last")
+    return out
+
+
+def upsert(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Batches to Parquet folders by their number: a batch that is run again replaces itself."""
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
