@@ -34,8 +34,8 @@ from ._common import materialize, read
 
 WINDOW = 2048
 END = 1
-#: Entries of a worker's caches of words and of their runs; beyond that they start anew.
-CACHE, RUNS = 300_000, 900_000
+#: Entries of a worker's cache of words, and of each of the two generations of its cache of runs.
+CACHE, RUNS = 150_000, 250_000
 #: Cut pieces are joined to their texts by broadcast up to this many, by shuffle beyond.
 FEW = 100_000
 
@@ -52,9 +52,19 @@ class WordIds:
     plain word is a run of letters and maybe one of punctuation, which the tokenizer separates too; runs are
     shared by the words that hold them, in any case, and new ones are tokenised in one call, where the mark
     of a run's last token tells them apart. All other words go to the tokenizer as they are.
+
+    A worker's tasks share what it has learned. A full generation of runs becomes the old one, from which runs
+    that are met again are taken over, so memory is bounded and frequent runs stay.
     """
 
+    _workers: dict[str, dict] = {}
+
     def __init__(self, path: str):
+        self.__dict__ = self._workers.setdefault(path, {})
+        if not self.__dict__:
+            self._start(path)
+
+    def _start(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,6 +74,7 @@ class WordIds:
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -77,8 +88,10 @@ class WordIds:
             else:
                 other.append(w)
         if len(self.runs) > RUNS:
-            self.runs = {"": b""}
-        runs = list({r for _, a, b in plain for r in (a, b)}.difference(self.runs))
+            self.old, self.runs = self.runs, {"": b""}
+        absent = {r for _, a, b in plain for r in (a, b)}.difference(self.runs)
+        self.runs.update((r, self.old[r]) for r in absent if r in self.old)
+        runs = list(absent.difference(self.runs))
         ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) else []
         if len(ends) == len(runs) and (not runs or ends[-1] == len(ids)):
