@@ -9,9 +9,10 @@ probability of 2e-5 (at 0.85: 3e-7), as all ten chunks would have to differ in t
 
 Candidates are confirmed on the full shingle sets. What is needed is each document's component, so not every
 pair is made: every key first links its documents to one of them, its centre; those links are confirmed and joined
-to components; a few more rounds do so with other choices of each key's centre, for the keys whose documents still
-lie in several components; at last every pair that shares a key and still lies apart is compared. A group of n
-copies costs O(n) pairs, and no link that could join two components is left out.
+to components. Then every pair that shares a key and still lies in different components is compared, in tiles of
+documents that get each text once; a document's nearest signatures come first, and a component that it is
+linked to needs no further comparison. A group of n copies costs O(n) pairs, and no link that could join two
+components is left out.
 
 Defined results: null and empty texts have no shingles and form components of their own; a row with a null id
 is left out; rows repeated under one id and text count once; extra columns are ignored.
@@ -34,7 +35,7 @@ SYMBOLS = CHUNKS * WIDTH
 #: Signatures that differ in more symbols than this (mean 12 and deviation 3.1 at a similarity of 0.8) need no
 #: comparison of sets in the last round.
 FAR = 28
-#: Rounds in which each key links its documents to one centre.
+#: Rounds in which each key links its documents to one centre; each takes other centres.
 ROUNDS = 1
 #: Rows of one group of comparisons; larger groups are split.
 GROUP = 256
@@ -258,6 +259,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     several = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("key")
     shared = materialize(keys.join(several, "key"), "shared")
 
+    # the texts that later steps need, by the same plan at every size: one pass over the corpus's texts, in one shuffle
+    near = shared.select("doc_id").distinct().hint("merge")
+    texts = materialize(texts.join(near, "doc_id").dropDuplicates(["doc_id"]), "near-texts")
+
     links, joined = None, None
     for turn in range(ROUNDS):
         member = _apart(shared, joined)
