@@ -1,7 +1,8 @@
 """Retrieval and gating: BM25, dense search, fusion, rerank, reliability, decisions, gate and ranking metrics.
 
-Questions are the benchmark's passages; chunks are documents' first 60 words. Gold are the documents that hold the
-passage as it is.
+Questions are the benchmark's passages; what is indexed are all word windows of each document (J8), and a document
+ranks by its best window. Gold are the documents that hold the passage's first line. The SQL below still cuts each
+document at 60 words, so it states less than the queries that read windows.
 """
 
 from __future__ import annotations
@@ -10,26 +11,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import gate, ranking, reliability
+from ..operators import chunking, gate, ranking, reliability
 from ..tables import load
 
 TOP, QUESTIONS, SEARCHES = 5, 40, 20
 
 
 def _chunks(spark, sf) -> DataFrame:
-    """The first 60 words of each document, as in a store of passages."""
-    words = F.slice(F.filter(F.split("text", r"[ \n\t]+"), lambda w: w != ""), 1, 60)
-    return load(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("chunk_id"), F.array_join(words, " ").alias("text"), "source")
+    """All windows of each document as passages, 180 words each and 40 in common; chunk_id is the document's id."""
+    docs = load(spark, sf, "documents").filter("text is not null")
+    windows = chunking.word_windows(docs.select("doc_id", "text"), 180, 40)
+    rows = windows.select(F.struct(F.col("doc_id").alias("chunk_id"), F.col("chunk_id").alias("window")).alias("passage"), F.col("chunk").alias("text"))
+    return rows.select("passage", F.col("passage.chunk_id").alias("chunk_id"), "text")
 
 
 def _questions(spark, sf) -> DataFrame:
     return load(spark, sf, "benchmark").filter(F.col("item_id") < QUESTIONS).select(F.col("item_id").alias("query_id"), F.substring("text", 1, 200).alias("text"))
 
 
+def _index(spark, sf) -> dict[str, DataFrame]:
+    return ranking.postings(_chunks(spark, sf), "passage", X.terms(F.col("text")))
+
+
 def _sparse(spark, sf, k: int) -> DataFrame:
-    index = ranking.postings(_chunks(spark, sf), "chunk_id", X.terms(F.col("text")))
+    """The k best documents of each question, each by its best window (the earliest of equals)."""
     asked = _questions(spark, sf).select("query_id", F.explode(X.terms(F.col("text"))).alias("term"))
-    return ranking.top_k(ranking.bm25(index, asked), "query_id", "score", "chunk_id", k)
+    scored = ranking.bm25(_index(spark, sf), asked)
+    best = scored.groupBy("query_id", F.col("passage.chunk_id").alias("chunk_id")).agg(F.max(F.struct("score", (-F.col("passage.window")).alias("at"))).alias("b"))
+    rows = best.select("query_id", "chunk_id", F.col("b.score").alias("score"), (-F.col("b.at")).alias("window"))
+    return ranking.top_k(rows, "query_id", "score", "chunk_id", k)
 
 
 def _dense(spark, sf, k: int) -> DataFrame:
@@ -44,8 +54,7 @@ def j1_bm25(spark, sf):
 
 def a14_index(spark, sf):
     """The lexical index as tables: document frequency and inverse frequency of each term."""
-    index = ranking.postings(_chunks(spark, sf), "chunk_id", X.terms(F.col("text")))
-    return index["stats"].select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf)["stats"].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def j2_dense(spark, sf):
@@ -73,11 +82,12 @@ def j3_hybrid(spark, sf):
 
 
 def _evidence(spark, sf) -> DataFrame:
-    """The sparse top five with texts, authority and a cosine stand-in in [-1, 1]."""
+    """The sparse top five with their best windows' texts, authority and a cosine stand-in in [-1, 1]."""
     found = _sparse(spark, sf, TOP)
     label = X.authority(F.when(F.col("chunk_id") % 4 == 0, "World Health Organization").when(F.col("chunk_id") % 4 == 1, "").otherwise(F.col("source")), F.lit(""))
-    chunks = _chunks(spark, sf).withColumnRenamed("text", "chunk")
-    rows = found.join(chunks, "chunk_id").join(F.broadcast(_questions(spark, sf).withColumnRenamed("text", "question")), "query_id")  # QUESTIONS rows
+    chunks = _chunks(spark, sf).select("chunk_id", F.col("passage.window").alias("window"), F.col("text").alias("chunk"))
+    sources = load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
+    rows = found.join(chunks, ["chunk_id", "window"]).join(sources, "chunk_id").join(F.broadcast(_questions(spark, sf).withColumnRenamed("text", "question")), "query_id")  # QUESTIONS rows
     most = F.max("score").over(Window.partitionBy("query_id"))
     return rows.select("query_id", "rank", "chunk_id", "question", "chunk", "source", X.authority_score(label).alias("authority"), F.round(F.col("score") / most * 2 - 1, 6).alias("cosine"))
 
