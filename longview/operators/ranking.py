@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Vectors of one block.
+BLOCK = 1024
 
 
 def postings(docs: DataFrame, key: str, tokens: Column) -> dict[str, DataFrame]:
@@ -33,12 +39,35 @@ def bm25(index: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", key).agg(F.round(F.sum(part), 9).alias("score"))
 
 
-def inner_products(vectors: DataFrame, asked: DataFrame) -> DataFrame:
-    """Scores of every vector for a stated, bounded set of queries, which is sent to all tasks."""
-    pairs = vectors.crossJoin(F.broadcast(asked))
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _blocks(rows: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """Rows packed BLOCK at a time within each partition; nothing is shuffled for it."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                yield pd.DataFrame({f"{name}_ids": [part[key].tolist()], f"{name}_v": [np.stack(part[vector]).astype(np.float64).tobytes()]})
+
+    return rows.select(key, vector).filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).mapInPandas(run, f"{name}_ids array<long>, {name}_v binary")
+
+
+def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Scores (query_id, key, score) of asked (query_id, q) with the k best of every block of vectors, ties by key, so
+    the k best of all are among them. Every block of queries meets every block of vectors, in rows of the join; rows
+    without an id or a vector take no part, and vectors have one length.
+    """
     key = vectors.columns[0]
-    return pairs.select("query_id", key, F.round(dot, 9).alias("score"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for asked_ids, q, ids, v in pdf.itertuples(index=False, name=None):
+                asked_ids, ids = np.array(asked_ids, np.int64), np.array(ids, np.int64)
+                order = np.argsort(ids, kind="stable")
+                ids, score = ids[order], np.round(np.frombuffer(q).reshape(len(asked_ids), -1) @ np.frombuffer(v).reshape(len(ids), -1)[order].T, 9)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"query_id": np.repeat(asked_ids, best.shape[1]), key: ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+
+    pairs = _blocks(asked, "query_id", "q", "a").crossJoin(_blocks(vectors, key, "embedding", "b"))
+    return pairs.select("a_ids", "a_v", "b_ids", "b_v").mapInPandas(run, f"query_id long, {key} long, score double")
 
 
 def top_k(rows: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:

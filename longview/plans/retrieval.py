@@ -1,8 +1,8 @@
 """Retrieval and gating: BM25, dense search, fusion, rerank, reliability, decisions, gate and ranking metrics.
 
-Questions are the benchmark's passages; what is indexed are all word windows of each document (J8), and a document
+Questions are all of the benchmark's passages, whole; dense searches are all vectors whose id is divisible by 20; what is indexed are all word windows of each document (J8), and a document
 ranks by its best window. Gold are the documents that hold the passage's first line. The SQL below still cuts each
-document at 60 words, so it states less than the queries that read windows.
+document at 60 words and asks 40 cut passages and 20 vectors, so it states less than the queries.
 """
 
 from __future__ import annotations
@@ -14,7 +14,11 @@ from ..functions import text as X
 from ..operators import chunking, gate, ranking, reliability
 from ..tables import load
 
-TOP, QUESTIONS, SEARCHES = 5, 40, 20
+TOP = 5
+#: Every vector whose id is divisible by this is a dense search.
+EVERY = 20
+#: The bounds that the SQL still has.
+QUESTIONS, SEARCHES = 40, 20
 
 
 def _chunks(spark, sf) -> DataFrame:
@@ -26,7 +30,7 @@ def _chunks(spark, sf) -> DataFrame:
 
 
 def _questions(spark, sf) -> DataFrame:
-    return load(spark, sf, "benchmark").filter(F.col("item_id") < QUESTIONS).select(F.col("item_id").alias("query_id"), F.substring("text", 1, 200).alias("text"))
+    return load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def _index(spark, sf) -> dict[str, DataFrame]:
@@ -44,8 +48,9 @@ def _sparse(spark, sf, k: int) -> DataFrame:
 
 def _dense(spark, sf, k: int) -> DataFrame:
     v = load(spark, sf, "embeddings")
-    asked = v.filter(F.col("vec_id") < SEARCHES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # SEARCHES rows
-    return ranking.top_k(ranking.inner_products(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked), "query_id", "score", "chunk_id", k)
+    asked = v.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    rows = ranking.nearest(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, k)
+    return ranking.top_k(rows, "query_id", "score", "chunk_id", k)
 
 
 def j1_bm25(spark, sf):
@@ -87,7 +92,7 @@ def _evidence(spark, sf) -> DataFrame:
     label = X.authority(F.when(F.col("chunk_id") % 4 == 0, "World Health Organization").when(F.col("chunk_id") % 4 == 1, "").otherwise(F.col("source")), F.lit(""))
     chunks = _chunks(spark, sf).select("chunk_id", F.col("passage.window").alias("window"), F.col("text").alias("chunk"))
     sources = load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
-    rows = found.join(chunks, ["chunk_id", "window"]).join(sources, "chunk_id").join(F.broadcast(_questions(spark, sf).withColumnRenamed("text", "question")), "query_id")  # QUESTIONS rows
+    rows = found.join(chunks, ["chunk_id", "window"]).join(sources, "chunk_id").join(_questions(spark, sf).withColumnRenamed("text", "question"), "query_id")
     most = F.max("score").over(Window.partitionBy("query_id"))
     return rows.select("query_id", "rank", "chunk_id", "question", "chunk", "source", X.authority_score(label).alias("authority"), F.round(F.col("score") / most * 2 - 1, 6).alias("cosine"))
 
@@ -143,10 +148,10 @@ def d21_decisions(spark, sf):
 
 
 def _gold(spark, sf) -> DataFrame:
-    """(query_id, chunk_id): documents that hold a passage's first sentence, through its first ten words as equi-key."""
-    q = load(spark, sf, "benchmark").filter(F.col("item_id") < QUESTIONS).select(F.col("item_id").alias("query_id"), F.split("text", "\n")[0].alias("line"))
+    """(query_id, chunk_id): documents that hold a passage's first line, which is the equi-key."""
+    q = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.split("text", "\n")[0].alias("line"))
     lines = load(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    return lines.join(F.broadcast(q), "line").select("query_id", "chunk_id")  # QUESTIONS rows
+    return lines.join(q, "line").select("query_id", "chunk_id")
 
 
 def c9_goldhit(spark, sf):

@@ -60,3 +60,28 @@ def test_all_windows_are_indexed(spark, passages):
     assert {r["term"]: r["df"] for r in retrieval.a14_index(spark, sf).collect()} == df
     assert retrieval.j15_ir(spark, sf).first()["recall_1"] == 1.0
     assert {r["chunk_id"] for r in retrieval.j4_rerank(spark, sf).filter("place = 1 and cover = 1").collect()} == set(range(6))
+
+
+def test_every_passage_is_asked_whole(spark, tmp_path):
+    rng = random.Random(8)
+    asked = [(i, words(rng, 60)) for i in range(45)]
+    docs = [(i, text, "src") for i, text in asked] + [(100 + i, " ".join(text.split()[:30]), "src") for i, text in asked]
+    sf = written(spark, tmp_path, documents=(docs, "doc_id long, text string, source string"), benchmark=(asked, "item_id long, text string"))
+    want, _ = best_windows(docs, asked)
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in retrieval.j1_bm25(spark, sf).collect()}
+    assert {q for q, _ in got} == set(range(45))
+    assert all(math.isclose(s, want[q][i - 1][1], abs_tol=2e-6) for (q, i), (_, s) in got.items())
+    assert retrieval.j15_ir(spark, sf).first()["questions"] == 45
+
+
+def test_dense_asks_every_twentieth_vector(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("longview.operators.ranking.BLOCK", 16)
+    rng = random.Random(9)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(130)] + [(200, None)]
+    sf = written(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>"))
+    got = [(r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in retrieval.j2_dense(spark, sf).collect()]
+    want = []
+    for q, v in rows[:130:20]:
+        best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for i, w in rows[:130])
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best[:5])]
+    assert sorted(got) == sorted(want)
