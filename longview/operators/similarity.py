@@ -10,18 +10,23 @@ def jaccard_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """rows (id, tokens) as (a, b, jaccard) for pairs with a < b and a Jaccard similarity of threshold or more.
 
     Prefix filter: with tokens ordered from rare to frequent, two sets that similar share a token among each
-    one's first n - ceil(threshold * n) + 1. So only rare tokens are joined on, and frequent ones never meet.
+    one's first n - ceil(threshold * n) + 1. So only rare tokens are joined on, and frequent ones never meet. At the first token that
+    two similar sets share, enough tokens are left in both; pairs for which no shared token leaves enough are not compared.
     """
     sets = rows.select("id", F.array_distinct("tokens").alias("tokens")).filter(F.size("tokens") > 0)
     words = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
     frequency = words.groupBy("w").agg(F.count("*").alias("df"))
     ordered = words.join(frequency, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
     ordered = ordered.select("id", "n", F.transform("s", lambda x: x["w"]).alias("s"))
-    prefix = ordered.select("id", "n", "s", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("w"))
-    a = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), "w")
-    b = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), "w")
+    first = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    prefix = ordered.select("id", "n", F.posexplode(first).alias("at", "w"))
+    a, b = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at_{x}"), "w") for x in "ab")
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    most = F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b"))  # this token and those after it
+    near = near & (most >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6)
+    pairs = a.join(b, "w").filter(near).select("a", "b").distinct()
+    of = lambda x: sets.select(F.col("id").alias(x), F.col("tokens").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
-    pairs = a.join(b, "w").filter(near).select("a", "b", "na", "nb", both.alias("k")).distinct()
+    found = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("k"))
     score = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    return pairs.filter(score >= threshold).select("a", "b", F.round(score, 6).alias("jaccard"))
+    return found.filter(score >= threshold).select("a", "b", F.round(score, 6).alias("jaccard"))

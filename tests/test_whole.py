@@ -2,11 +2,13 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
 
-from longview.plans import retrieval
+from longview.functions.text import STOP_WORDS
+from longview.plans import corpus, retrieval
 
 
 def written(spark, folder, **tables):
@@ -85,3 +87,21 @@ def test_dense_asks_every_twentieth_vector(spark, tmp_path, monkeypatch):
         best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for i, w in rows[:130])
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best[:5])]
     assert sorted(got) == sorted(want)
+
+
+def term_set(text):
+    return {w for w in re.findall("[a-z]{3,}", text.lower()) if w not in STOP_WORDS}
+
+
+def test_near_copies_are_compared_whole(spark, tmp_path):
+    rng = random.Random(4)
+    docs, base = [], [words(rng, 40).split() for _ in range(4)]
+    for i in range(60):
+        w = [x if rng.random() < rng.choice([1, 0.9, 0.7]) else words(rng, 1) for x in base[i % 4]]
+        docs.append((i, " ".join(w[:20]) + "\n" + " ".join(w[20:]) + rng.choice(["\nshared last line here", "\n" + words(rng, 5)])))
+    docs += [(60, "alpha"), (61, "alpha"), (62, "one of\n"), (63, None)]
+    asked = [(0, " ".join(base[0])), (1, "alpha")]
+    sf = written(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(asked, "item_id long, text string"))
+    sets = {i: term_set(t) for i, t in asked} | {i + 1000000: term_set(t or "") for i, t in docs}
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    assert {(r["a"], r["b"]): r["jaccard"] for r in corpus.c7_neardup(spark, sf).collect()} == want and len(want) > 20
