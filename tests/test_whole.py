@@ -105,3 +105,9 @@ def test_near_copies_are_compared_whole(spark, tmp_path):
     sets = {i: term_set(t) for i, t in asked} | {i + 1000000: term_set(t or "") for i, t in docs}
     want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
     assert {(r["a"], r["b"]): r["jaccard"] for r in corpus.c7_neardup(spark, sf).collect()} == want and len(want) > 20
+
+
+def test_fuzzy_matches_in_whole_texts(spark, tmp_path):
+    text = " ".join(["filler"] * 250) + " hospital cat"
+    sf = written(spark, tmp_path, documents=([(0, text), (1, "cat"), (2, None)], "doc_id long, text string"), benchmark=([(0, "hospice cat bird cat"), (1, "cat bird"), (2, "cat")], "item_id long, text string"))
+    assert {r["item_id"]: r["matches"] for r in corpus.b26_fuzzy(spark, sf).collect()} == {0: 3, 1: 1}
