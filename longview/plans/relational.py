@@ -170,7 +170,7 @@ def e13_order(spark, sf):
 
 
 def f1_sort(spark, sf):
-    rows = load(spark, sf, "orders").orderBy(F.col("o_custkey"), F.col("o_orderdate").desc_nulls_last(), "o_orderpriority", "o_orderkey").limit(200)
+    rows = load(spark, sf, "orders").orderBy(F.col("o_custkey"), F.col("o_orderdate").desc_nulls_last(), "o_orderpriority", "o_orderkey")
     return rows.select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
@@ -193,10 +193,15 @@ def f5_first_n(spark, sf):
 
 
 def f7_reserve(spark, sf):
-    """The 50 dearest orders are primary, the next 50 are the reserve."""
-    rows = load(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return rows.withColumn("place", F.row_number().over(w)).withColumn("part", F.when(F.col("place") <= 50, "PRIMARY").otherwise("RESERVE"))
+    """The 50 dearest orders are primary, all others are the reserve. Places are counted within bands of prices, after
+    the orders of dearer bands, so no partition sorts all orders."""
+    band = F.coalesce(F.floor(F.col("o_totalprice").cast("double") / 256), F.lit(-(1 << 62)))  # orders without a price come last
+    rows = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", band.alias("band"))
+    before = Window.partitionBy(F.lit(1)).orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    bands = rows.groupBy("band").agg(F.count("*").alias("n")).select("band", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("dearer"))
+    within = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    rows = rows.withColumn("k", within).join(bands, "band").select("o_orderkey", "o_totalprice", (F.col("dearer") + F.col("k")).alias("place"))
+    return rows.withColumn("part", F.when(F.col("place") <= 50, "PRIMARY").otherwise("RESERVE"))
 
 
 def g1_union_latest(spark, sf):

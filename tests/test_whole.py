@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 from longview.functions.text import STOP_WORDS
-from longview.plans import corpus, retrieval
+from longview.plans import corpus, relational, retrieval
 
 
 def written(spark, folder, **tables):
@@ -111,3 +111,13 @@ def test_fuzzy_matches_in_whole_texts(spark, tmp_path):
     text = " ".join(["filler"] * 250) + " hospital cat"
     sf = written(spark, tmp_path, documents=([(0, text), (1, "cat"), (2, None)], "doc_id long, text string"), benchmark=([(0, "hospice cat bird cat"), (1, "cat bird"), (2, "cat")], "item_id long, text string"))
     assert {r["item_id"]: r["matches"] for r in corpus.b26_fuzzy(spark, sf).collect()} == {0: 3, 1: 1}
+
+
+def test_all_orders_are_sorted_and_placed(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, rng.randint(1, 40), f"2024-01-{rng.randint(1, 28):02d}", "1-URGENT", rng.choice([None, *map(float, range(0, 3000, 7))])) for i in range(400)]
+    sf = written(spark, tmp_path, orders=(rows, "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string, o_totalprice double"))
+    by_customer = sorted(sorted(rows, key=lambda r: (r[2], -r[0]), reverse=True), key=lambda r: r[1])
+    assert [r["o_orderkey"] for r in relational.f1_sort(spark, sf).collect()] == [r[0] for r in by_customer]
+    want = {r[0]: (k + 1, "PRIMARY" if k < 50 else "RESERVE") for k, r in enumerate(sorted(rows, key=lambda r: (r[4] is None, -(r[4] or 0), r[0])))}
+    assert {r["o_orderkey"]: (r["place"], r["part"]) for r in relational.f7_reserve(spark, sf).collect()} == want
