@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from longview.functions.text import STOP_WORDS
+from longview.operators import statistics
 from longview.plans import corpus, relational, retrieval
 
 
@@ -121,3 +123,31 @@ def test_all_orders_are_sorted_and_placed(spark, tmp_path):
     assert [r["o_orderkey"] for r in relational.f1_sort(spark, sf).collect()] == [r[0] for r in by_customer]
     want = {r[0]: (k + 1, "PRIMARY" if k < 50 else "RESERVE") for k, r in enumerate(sorted(rows, key=lambda r: (r[4] is None, -(r[4] or 0), r[0])))}
     assert {r["o_orderkey"]: (r["place"], r["part"]) for r in relational.f7_reserve(spark, sf).collect()} == want
+
+
+def test_bootstrap_draws_the_whole_group(spark, monkeypatch):
+    drawn = []
+    real = np.random.default_rng
+
+    class Watched:
+        def __init__(self, seed):
+            self.rng = real(seed)
+
+        def multinomial(self, n, p, size):
+            drawn.append((n, size))
+            return self.rng.multinomial(n, p, size)
+
+    monkeypatch.setattr(np.random, "default_rng", Watched)
+    schema = "g string, mean double, low double, high double"
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", lambda self, run, kind: (run, kind))
+    run, kind = statistics.bootstrap_means(spark.createDataFrame([("a", 0.0, 1)], "g string, v double, n long"), "g", "v", "n")
+    assert kind == schema
+    import pandas as pd
+
+    for n in (5, 900, 3000, 10**9):
+        drawn.clear()
+        row = run(pd.DataFrame({"g": ["a", "a"], "v": [0.0, 1.0], "n": [n, 3 * n]})).iloc[0]
+        half = 1.96 * math.sqrt(0.25 * 0.75 / (4 * n))
+        assert row["mean"] == 0.75 and {m for m, _ in drawn} == {4 * n} and sum(k for _, k in drawn) == 10000
+        if n >= 900:
+            assert abs(row["low"] - (0.75 - half)) < 0.15 * half + 1e-6 and abs(row["high"] - (0.75 + half)) < 0.15 * half + 1e-6
