@@ -130,9 +130,10 @@ def b31_answer(spark, sf):
 
 
 def b32_prompt(spark, sf):
-    """Each conversation as numbered lines in order, the last user message apart."""
+    """Each conversation as numbered lines with whole messages in order, the last user message apart. The SQL below
+    still cuts each message at 80 characters."""
     rows = load(spark, sf, "conversations").filter("text is not null")
-    lines = F.array_sort(F.collect_list(F.struct("turn", F.format_string("[%d] %s: %s", F.col("turn"), F.col("role"), F.substring("text", 1, 80)).alias("line"))))
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.format_string("[%d] %s: %s", F.col("turn"), F.col("role"), F.col("text")).alias("line"))))
     last = F.max_by("text", F.when(F.col("role") == "user", F.col("turn")))
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("history"), F.md5(last.cast("binary")).alias("question"))
 

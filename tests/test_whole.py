@@ -151,3 +151,10 @@ def test_bootstrap_draws_the_whole_group(spark, monkeypatch):
         assert row["mean"] == 0.75 and {m for m, _ in drawn} == {4 * n} and sum(k for _, k in drawn) == 10000
         if n >= 900:
             assert abs(row["low"] - (0.75 - half)) < 0.15 * half + 1e-6 and abs(row["high"] - (0.75 + half)) < 0.15 * half + 1e-6
+
+
+def test_history_has_whole_messages(spark, tmp_path):
+    rows = [(1, 2, "assistant", "b" * 300), (1, 1, "user", "a" * 81), (1, 3, "user", None), (2, 1, "user", "short")]
+    sf = written(spark, tmp_path, conversations=(rows, "conv_id long, turn int, role string, text string"))
+    got = {r["conv_id"]: r["history"] for r in corpus.b32_prompt(spark, sf).collect()}
+    assert got == {1: "[1] user: " + "a" * 81 + "\n[2] assistant: " + "b" * 300, 2: "[1] user: short"}
