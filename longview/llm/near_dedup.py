@@ -32,9 +32,6 @@ from ._shingles import mix, shingle_sets
 
 CHUNKS, WIDTH, ERRORS = 10, 6, 1
 SYMBOLS = CHUNKS * WIDTH
-#: Signatures that differ in more symbols than this (mean 12 and deviation 3.1 at a similarity of 0.8) need no
-#: comparison of sets in the last round.
-FAR = 28
 #: Rounds in which each key links its documents to one centre; each takes other centres.
 ROUNDS = 1
 #: Rows of one group of comparisons; larger groups are split.
@@ -174,7 +171,7 @@ def _tile_links(rows: list[tuple], words: int, percent: int) -> list[tuple[int,
         same = sig[at] == sig[x]
         shared = ((~same).reshape(-1, CHUNKS, WIDTH).sum(2) <= ERRORS).any(1)
         far = SYMBOLS - same.sum(1)
-        near = np.flatnonzero(shared & (far <= FAR))
+        near = np.flatnonzero(shared)
         linked: set = set()
         for y in at[near[np.argsort(far[near], kind="stable")]]:
             if comp[y] not in linked:
