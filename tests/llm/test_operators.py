@@ -347,9 +347,16 @@ def test_topk_few_and_none(spark):
 # Packing
 
 
+def tokenized(path, texts):
+    """Each text's ids and the end token by the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    return [whole.encode(t or "", add_special_tokens=False).ids + [packing.END] for t in texts]
+
+
 def check_packing(rows, got, window):
-    tok = packing.WordIds(packing.default_tokenizer())
-    ids = [np.frombuffer(x, "<u4") for x in tok.ids([t for _, t in rows])]
+    ids = [np.array(x, "<u4") for x in tokenized(packing.default_tokenizer(), [t for _, t in rows])]
     assert sum(r["length"] for r in got) == sum(map(len, ids))
     by_seq, by_doc = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
@@ -395,12 +402,58 @@ def test_closest_filling_against_brute_force():
         assert all(took[s] <= counts[s] for s in took) and sum(s * k for s, k in took.items()) == max(x for x in sums if x <= target)
 
 
-def test_word_ids_equal_the_tokenizer():
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(packing.default_tokenizer())
-    rng = random.Random(1)
-    texts = ["".join(rng.choice("aB'é.,#́ \n\t1<|>x 日ß") for _ in range(60)) for _ in range(200)] + ["<|endoftext|>a", "Don't x's", "İ ſ"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in packing.WordIds(packing.default_tokenizer()).ids(texts)] == [whole.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+def by_text(words, texts):
+    out = []
+    for _, ids, sizes in words.ids(texts):
+        out += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    return out
 
 
+def odd_texts():
+    rng = random.Random(1)
+    plain, any_ = "aB'é.,# \n\t1<|>x日ß’—жЁ€'stREdmvLl'½", "aB'é.,#́ \n\t1<|>x 日ßẞſİΣσς٣²½ıǅȺ€ª\x1c\x00\xa0か'strl"
+    texts = ["".join(rng.choice(x) for _ in range(rng.randint(0, 60))) for x in (plain, any_) for _ in range(1500)]
+    return [*texts, None, "", "  ", "<|endoftext|>a", "Don't x's", "'s's''s", "a" * 3000 + " b " + "1" * 300, "éA" * 900]
+
+
+def test_word_ids_equal_the_tokenizer(monkeypatch):
+    path, texts = packing.default_tokenizer(), odd_texts()
+    monkeypatch.setattr(packing.WordIds, "BATCH", 20_000)
+    words = packing.WordIds(path, packing.known_kind(path))
+    assert words.merger is not None and by_text(words, texts) == tokenized(path, texts)
+
+
+def test_other_tokenizers_give_their_own_ids(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not packing.known_kind(path)
+    rows = [(i, t) for i, t in enumerate(["Hello  world", " don't\n\nstop", "é日x", "", None])]
+    want = tokenized(path, [t for _, t in rows])
+    got = {r["doc_id"]: (r["ids_crc32"], r["doc_tokens"]) for r in packing.pack(docs(spark, rows), tokenizer=path).collect() if r["length"] == r["doc_tokens"]}
+    assert got and all(got[i] == (zlib.crc32(np.array(want[i], "<u4").tobytes()), len(want[i])) for i in got)
+
+
+def test_places_equal_a_row_of_windows():
+    """Every position is taken once, for any histogram, in whole and in cut pieces."""
+    rng = random.Random(3)
+    for _ in range(60):
+        window = rng.choice([8, 16, 64])
+        histogram = {rng.randint(1, window): rng.randint(1, 40) for _ in range(rng.randint(1, 8))}
+        plan = packing.Plan(histogram, window)
+        pieces = [(s, r) for s, n in histogram.items() for r in range(n)]
+        length, rank = np.array([s for s, _ in pieces]), np.array([r for _, r in pieces])
+        at, sequence, offset, begin, size = plan.place(length, rank)
+        taken = collections.Counter((q, o + k) for q, o, n in zip(sequence.tolist(), offset.tolist(), size.tolist(), strict=True) for k in range(n))
+        assert set(taken.values()) == {1} and len(taken) == length.sum() and (offset + size).max() <= window
+        used = collections.Counter(q for q, _ in taken)
+        assert all(n == window or n & (n - 1) == 0 for n in used.values())
+        parts = collections.defaultdict(list)
+        for i, b, n in zip(at.tolist(), begin.tolist(), size.tolist(), strict=True):
+            parts[i].append((b, n))
+        for i, s in enumerate(length.tolist()):
+            end = 0
+            for b, n in sorted(parts[i]):
+                assert b == end and n > 0
+                end = b + n
+            assert end == s
