@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch that goes to Python while a table is written; texts can be long.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _LOCAL_DEFAULT = "file:///tmp/checkpoints/longview"
 _roots: dict[str, str] = {}
 
@@ -41,11 +48,42 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: lineage ends at replicated files, so a
-    lost executor costs a re-read, and values made once (ranks, task numbers) can't change on a retry."""
+    lost executor costs a re-read, and values made once (ranks, task numbers) can't change on a retry.
+
+    While it is written, Python gets batches of at most BATCH_ROWS rows; the session's setting is put back."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = spark.conf.get(_BATCH)
+    try:
+        spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(rows)) if int(rows) > 0 else BATCH_ROWS))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that `materialize` wrote and nothing reads any more."""
+    _remove(table.sparkSession, table._written)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInPandas or mapInArrow, after which the worker gives freed memory back: workers idle between
+    stages, beside the executor's own memory."""
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library, which has no such call
+                pass
+
+    return tidied
 
 
 def fold(doc_id: Column) -> Column:

@@ -11,7 +11,7 @@ import numpy as np
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
-_SLICE = 1 << 21
+_SLICE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, read
+from ._common import discard, materialize, read, tidy
 from ._shingles import mix, shingle_sets
 
 CHUNKS, WIDTH, ERRORS = 10, 6, 1
@@ -36,6 +36,8 @@ SYMBOLS = CHUNKS * WIDTH
 ROUNDS = 1
 #: Rows of one group of comparisons; larger groups are split.
 GROUP = 256
+#: Bytes of texts of one side of a tile, about; more rows of a family than these bytes hold are split further.
+TILE = 1 << 22
 
 _rng = np.random.default_rng(20240)
 _A = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,7 +54,7 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _rows(pdf: pd.DataFrame, budget: int = 1 << 22) -> Iterator[pd.DataFrame]:
+def _rows(pdf: pd.DataFrame, budget: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """The frame in parts of about budget characters, so that memory doesn't follow the row count."""
     sizes = pdf["text"].str.len().fillna(0).to_numpy().cumsum()
     part = (sizes // budget).astype(np.int64)
@@ -130,7 +132,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     wanted = salted.unionByName(hubs)
     rows = wanted.join(texts, "doc_id").select("hub", "salt", "doc_id", "text")
     ordered = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("doc_id") != F.col("hub"), "doc_id")
-    return ordered.mapInPandas(_linked(words, percent), "a long, b long")
+    return ordered.mapInPandas(tidy(_linked(words, percent)), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -147,7 +149,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), "m"), F.struct(F.col("b").alias("x"), "m"))).alias("e"))
-        edges = materialize(small.select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct(), "edges")
+        before, edges = edges, materialize(small.select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct(), "edges")
+        discard(before)
         now = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x"), F.expr("sum(pmod(xxhash64(b, a), 1000003))").alias("s")).first()
         if now == state:
             break
@@ -203,15 +206,17 @@ def cross_links(member: DataFrame, texts: DataFrame, words: int, percent: int) -
     """Links between documents that share a key and lie in different components.
 
     Documents joined by shared keys form a family. Those outside a family's largest component are compared
-    with all of it, in tiles of GROUP by GROUP documents that get each text once.
+    with all of it, in tiles of GROUP by GROUP documents, fewer where they are long, that get each text once.
     """
     centre = member.groupBy("key").agg(F.min("doc_id").alias("a"))
     family = components(member.join(centre, "key").select("a", F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    docs = materialize(member.select("doc_id", "component").distinct().join(family, "doc_id"), "families")
-    parts = docs.groupBy("family", "component").agg(F.count("*").alias("n"))
-    core = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("c"), F.sum("n").alias("all"))
-    core = core.select("family", F.col("c.component").alias("core"), F.ceil(F.col("all") / GROUP).alias("rows"), F.ceil((F.col("all") - F.col("c.n")) / GROUP).alias("columns"))
-    placed = docs.join(core, "family").withColumn("out", F.col("component") != F.col("core")).join(texts, "doc_id").dropDuplicates(["doc_id"])
+    sizes = texts.select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    docs = materialize(member.select("doc_id", "component").distinct().join(family, "doc_id").join(sizes, "doc_id"), "families")
+    parts = docs.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    core = parts.groupBy("family").agg(F.max(F.struct("n", "component", "b")).alias("c"), F.sum("n").alias("all"), F.sum("b").alias("bytes"))
+    split = lambda n, b: F.greatest(F.ceil(n / GROUP), F.ceil(b / TILE))
+    core = core.select("family", F.col("c.component").alias("core"), split(F.col("all"), F.col("bytes")).alias("rows"), split(F.col("all") - F.col("c.n"), F.col("bytes") - F.col("c.b")).alias("columns"))
+    placed = docs.drop("bytes").join(core, "family").withColumn("out", F.col("component") != F.col("core")).join(texts, "doc_id")
     row, column = F.expr("pmod(xxhash64(doc_id, 7), rows)"), F.expr("pmod(xxhash64(doc_id, 8), columns)")
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
@@ -219,7 +224,7 @@ def cross_links(member: DataFrame, texts: DataFrame, words: int, percent: int) -
     as_outsider = F.when(F.col("out"), F.transform(every("rows"), lambda j: cell(column, j))).otherwise(F.slice(as_member, 1, 0))
     tiles = placed.withColumns({"at": F.explode(F.array_union(as_member, as_outsider)), "row": row, "column": column})
     tiles = tiles.select("family", "at.i", "at.j", "doc_id", "component", (F.col("out") & (F.col("column") == F.col("at.i"))).alias("outsider"), (F.col("row") == F.col("at.j")).alias("member"), "text")
-    return tiles.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id").mapInPandas(_tiles(words, percent), "a long, b long")
+    return tiles.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id").mapInPandas(tidy(_tiles(words, percent)), "a long, b long")
 
 
 def _apart(shared: DataFrame, joined: DataFrame | None) -> DataFrame:
@@ -247,12 +252,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if percent < 80:
         raise ValueError("the signature's guarantee holds for a similarity of 0.8 or more")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
-    signed = materialize(texts.mapInPandas(_sign(words), "doc_id long, n long, d1 long, d2 long, sig binary"), "signed")
+    signed = materialize(texts.mapInPandas(tidy(_sign(words)), "doc_id long, n long, d1 long, d2 long, sig binary"), "signed")
     full = signed.filter("n > 0")
     classes = materialize(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = materialize(full.select("doc_id", "n", "sig").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "reps")
 
-    keys = reps.select("doc_id", "sig").mapInPandas(_keys, "key long, slot byte, doc_id long")
+    keys = reps.select("doc_id", "sig").mapInPandas(tidy(_keys), "key long, slot byte, doc_id long")
     several = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("key")
     shared = materialize(keys.join(several, "key"), "shared")
 
