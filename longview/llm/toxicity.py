@@ -24,17 +24,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from ._common import held_out, materialize, read
+from ._common import held_out, materialize, read, tidy
 
 PER_CLASS, SENTENCES, SWAPS = 3000, 8, 3
 FEATURES, LEAST_DOCS = 1024, 4
 STEPS, RATE, RIDGE, FAIRNESS = 400, 0.05, 3e-4, 1.0
 #: A missed toxic document weighs this many times a clean one that is flagged.
 TOXIC_WEIGHT = 2.0
-CACHE = 400_000
+#: Characters that are scored at once.
+BATCH = 1 << 21
 #: Features a task counts before it passes them on.
 PART = 300_000
 
@@ -90,31 +93,46 @@ def swapped(text: str) -> Iterator[tuple[list[str], list[str]]]:
             return
 
 
+def score_one(names: dict[str, int], weights: np.ndarray, bias: float, text: str | None) -> float:
+    """The score of one text, word by word: what `Model.scores` computes for many at once."""
+    at, value = _vector(tokens(text), names)
+    return float(1 / (1 + np.exp(-np.clip(bias + sum(weights[i] * v for i, v in zip(at, value, strict=True)), -40, 40))))
+
+
 class Model:
     def __init__(self, names: list[str], weights: np.ndarray, bias: float):
-        self.names, self.weights, self.bias = names, weights, bias
+        self.names, self.weights, self.bias = names, np.asarray(weights, float), bias
+
+    def scores(self, texts: list, index: dict[str, int]) -> np.ndarray:
+        """The score of each text. Each distinct word's features are looked up once, those that the model knows are
+        counted by document."""
+        words = pc.utf8_split_whitespace(pa.array([(t or "").lower() for t in texts], pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
+        code = coded.indices.to_numpy()
+        real = np.array([bool(w) for w in known], bool)
+        n = np.bincount(row[real[code]], minlength=len(texts))
+        hits = [[index[f] for f in features(w) if f in index] for w in known]
+        many = np.array([len(h) for h in hits], np.int64)
+        flat = np.array([i for h in hits for i in h], np.int64)
+        live = np.flatnonzero(many[code]) if len(known) else np.zeros(0, np.int64)
+        row, code = row[live], code[live]
+        each = many[code]
+        ends = np.cumsum(each)
+        at = flat[np.repeat((np.cumsum(many) - many)[code] - (ends - each), each) + np.arange(each.sum())]
+        pair, count = np.unique(np.repeat(row, each) * len(self.weights) + at, return_counts=True)
+        z = np.bincount(pair // len(self.weights), np.log1p(count) * self.weights[pair % len(self.weights)], len(texts))
+        z = z + self.bias + self.weights[-1] * np.log1p(n) / 5
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def scorer(self):
         index = {f: i for i, f in enumerate(self.names)}
-        weights, bias = self.weights, self.bias
-        cache: dict[str, tuple] = {}
 
         def score(texts: list) -> np.ndarray:
-            out = np.empty(len(texts))
-            if len(cache) > CACHE:
-                cache.clear()
-            for k, text in enumerate(texts):
-                words = tokens(text)
-                for w in set(words).difference(cache):
-                    cache[w] = tuple(index[f] for f in features(w) if f in index)
-                hits: Counter = Counter()
-                for ids in filter(None, map(cache.__getitem__, words)):
-                    hits.update(ids)
-                z = bias + weights[-1] * np.log1p(len(words)) / 5
-                for i, n in hits.items():
-                    z += weights[i] * np.log1p(n)
-                out[k] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            return out
+            sizes = np.cumsum([len(t or "") + 1 for t in texts]) // BATCH
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+            return np.concatenate([np.zeros(0), *(self.scores(texts[lo:hi], index) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi > lo)])
 
         return score
 
@@ -153,76 +171,96 @@ def _vectors(index: dict[str, int]):
             for doc, text, y in zip(pdf["doc_id"], pdf["text"], pdf["toxic"], strict=True):
                 out.append((doc, 0, y, *_vector(tokens(text), index)))
                 for k, (a, b) in enumerate(swapped(text or "")):
-                    ia, va = _vector(a, index)
-                    ib, vb = _vector(b, index)
-                    out.append((doc, k + 1, -1, ia + ib, va + [-x for x in vb]))
+                    change = Counter(dict(zip(*_vector(a, index), strict=True)))
+                    change.subtract(dict(zip(*_vector(b, index), strict=True)))
+                    left = {i: v for i, v in change.items() if v}
+                    out.append((doc, k + 1, -1, list(left), list(left.values())))
             yield pd.DataFrame(out, columns=["doc_id", "k", "y", "at", "value"])
 
     return run
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray, fairness: float = FAIRNESS) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the weighted logistic loss, a ridge, and fairness times the mean
-    squared change of a score under a swap (rows of change: features before less features after)."""
+    """Weights and intercept that minimise the weighted logistic loss, a ridge, and fairness times half the mean
+    squared change of a score under a swap; change is the mean of the changes' outer products."""
     x, y, weight, change = (np.asarray(z, np.float32) for z in (x, y, weight, change))
     p = np.zeros(x.shape[1] + 1, np.float32)
     m, v = np.zeros_like(p), np.zeros_like(p)
-    total = weight.sum()
     for t in range(1, STEPS + 1):
-        w, b = p[:-1], p[-1]
-        g = (1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - y) * weight / total
-        grad = x.T @ g + RIDGE * w
-        if len(change):
-            grad = grad + fairness * change.T @ (change @ w) / len(change)
-        grad = np.append(grad, g.sum())
+        grad = gradient(p, x, y, weight, change, fairness)
         m += 0.1 * (grad - m)
         v += 0.001 * (grad * grad - v)
         p = p - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return p[:-1], float(p[-1])
 
 
+def gradient(p: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray, fairness: float) -> np.ndarray:
+    w, b = p[:-1], p[-1]
+    g = (1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - y) * weight / weight.sum()
+    return np.append(x.T @ g + RIDGE * w + fairness * (change @ w), g.sum())
+
+
+def loss(p: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray, fairness: float) -> float:
+    w, b = p[:-1], p[-1]
+    z = x @ w + b
+    return float(((np.logaddexp(0, z) - y * z) * weight).sum() / weight.sum() + RIDGE / 2 * w @ w + fairness / 2 * w @ change @ w)
+
+
+def sample_labels(given: DataFrame, share: dict[int, int]) -> DataFrame:
+    """The PER_CLASS rows of each class of given (doc_id, toxic) with the smallest id hashes; of a class with many more
+    rows, those with a hash that twice as many rows are expected to have are looked at."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    for y, n in share.items():
+        if n > 4 * PER_CLASS:
+            given = given.filter((F.col("toxic") != y) | (part < F.lit(int((1 << 40) * 2 * PER_CLASS / n))))
+    w = Window.partitionBy("toxic").orderBy(part, "doc_id")
+    return given.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= PER_CLASS).drop("k")
+
+
 def train(docs: DataFrame, labels: DataFrame, fairness: float = FAIRNESS) -> Model | None:
     """docs (doc_id, text) and labels (doc_id, toxic); held-out rows are left out here."""
     given = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long"), F.col("toxic").cast("long")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = materialize(given.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= PER_CLASS).drop("k"), "toxic-sample")
     share = {r["toxic"]: r["count"] for r in given.groupBy("toxic").count().collect()}  # two rows
+    picked = materialize(sample_labels(given, share), "toxic-sample")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
     sample = materialize(rows.dropDuplicates(["doc_id"]).repartition(24, "doc_id"), "toxic-texts")  # at most 2 * PER_CLASS rows
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n:
         return None
     n1, n0 = max(1, n.get(1, 0)), max(1, n.get(0, 0))
-    df = sample.mapInPandas(_document_features, "feature string, a long, d long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("d").alias("d"))
+    df = sample.mapInPandas(tidy(_document_features), "feature string, a long, d long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("d").alias("d"))
     a, b = (F.col("a") + 0.5) / (n1 + 1), (F.col("d") - F.col("a") + 0.5) / (n0 + 1)
     clear = F.abs(a - b) / F.sqrt(a * (1 - a) / n1 + F.abs(b * (1 - b)) / n0 + 1e-9) * F.when(a > b, 1.0).otherwise(0.5)
     best = df.filter(F.col("a") >= LEAST_DOCS).orderBy(clear.desc(), "feature").limit(FEATURES).select("feature").collect()  # FEATURES rows
     names = list(dict.fromkeys([r["feature"] for r in best] + [f for t in _KIND for f in features(t)]))
     index = {f: i for i, f in enumerate(names)}
-    got = sample.mapInPandas(_vectors(index), "doc_id long, k int, y int, at array<int>, value array<double>").toPandas().sort_values(["doc_id", "k"])
-
-    def dense(rows: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(rows), len(names) + 1), np.float32)
-        for i, (at, value) in enumerate(zip(rows["at"], rows["value"], strict=True)):
-            np.add.at(out[i], np.asarray(at, int), np.asarray(value))
-        return out
+    got = sample.mapInPandas(tidy(_vectors(index)), "doc_id long, k int, y int, at array<int>, value array<double>").toPandas().sort_values(["doc_id", "k"])
 
     docs_, pairs = got[got["y"] >= 0], got[got["y"] < 0]
+    x = np.zeros((len(docs_), len(names) + 1), np.float32)
+    for i, (at, value) in enumerate(zip(docs_["at"], docs_["value"], strict=True)):
+        x[i, np.asarray(at, int)] = np.asarray(value)
+    change = np.zeros((len(names) + 1, len(names) + 1))
+    for at, value in zip(pairs["at"], pairs["value"], strict=True):
+        change[np.ix_(np.asarray(at, int), np.asarray(at, int))] += np.outer(value, value)
     y = docs_["y"].to_numpy(float)
     weight = np.where(y == 1, TOXIC_WEIGHT * share.get(1, 0) / n1, share.get(0, 0) / n0)
-    return Model(names, *fit(dense(docs_), y, weight, dense(pairs), fairness))
+    return Model(names, *fit(x, y, weight, change / max(1, len(pairs)), fairness))
+
+
+_PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text)."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer() if model else lambda texts: np.zeros(len(texts))
-        for pdf in frames:
-            s = score(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+        for batch in batches:
+            s = score(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], schema=_PREDICTED)
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), from_arrow_schema(_PREDICTED))
 
 
 def reject(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
@@ -232,7 +270,7 @@ def reject(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> Data
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column("text").to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
