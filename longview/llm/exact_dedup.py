@@ -86,8 +86,10 @@ def _levels(sizes, bits: bytes) -> list[np.ndarray]:
     return out
 
 
-def _best(a, b):
-    return b if a is None or a != a else a if b is None or b != b else max(a, b)
+def _best(a: str | None, b: str | None) -> str | None:
+    """The larger of two ids, which are carried as text: a column of numbers with a null among them would come as
+    doubles, which don't hold every id."""
+    return b if a is None else a if b is None else max(a, b, key=int)
 
 
 def _lookup(index: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
@@ -106,15 +108,15 @@ def _lookup(index: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
         digests, keep, size = list(held), list(winners), list(copies)
     rest = batch[~member]
     out = pd.DataFrame({"digest": digests + rest["digest"].tolist(), "keep_id": keep + rest["winner"].tolist(), "group_size": size + rest["copies"].tolist()})
-    return out.astype({"keep_id": "Int64", "group_size": "int64"})
+    return out.astype({"keep_id": object, "group_size": "int64"})
 
 
-_INDEX = "bucket long, sizes array<int>, bits binary, digests binary, winners array<long>, copies array<long>"
+_INDEX = "bucket long, sizes array<int>, bits binary, digests binary, winners array<string>, copies array<long>"
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, digest) as (digest, winner, copies), combined before the shuffle."""
-    return rows.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("copies"))
+    """rows (doc_id, digest) as (digest, winner, copies), combined before the shuffle; the winner's id as text."""
+    return rows.groupBy("digest").agg(F.max("doc_id").cast("string").alias("winner"), F.count("*").alias("copies"))
 
 
 def build_index(history: DataFrame, buckets: int) -> DataFrame:
@@ -126,7 +128,8 @@ def build_index(history: DataFrame, buckets: int) -> DataFrame:
 def resolve(index: DataFrame, batch: DataFrame, buckets: int) -> DataFrame:
     """(digest, keep_id, group_size) of every digest of the history and the batch."""
     keyed = distinct_digests(batch).withColumn("bucket", F.expr(f"pmod(xxhash64(digest), {buckets})"))
-    return index.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInPandas(_lookup, "digest binary, keep_id long, group_size long")
+    found = index.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInPandas(_lookup, "digest binary, keep_id string, group_size long")
+    return found.withColumn("keep_id", F.col("keep_id").cast("long"))
 
 
 def exact_duplicates(history: DataFrame, batch: DataFrame) -> DataFrame:

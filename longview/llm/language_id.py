@@ -6,7 +6,7 @@ over the window feed a softmax; a document's distribution is the mean of its win
 are read.
 
 Training uses at most PER_LABEL documents of each language (those with the smallest id hashes among the learnable
-ones) and at most TRAIN_WINDOWS windows of each, spread over the text; counts of labels are bounded by MAX_LABELS.
+ones) and at most TRAIN_WINDOWS windows of each, spread over the text, and the MAX_LABELS most frequent languages.
 A pair of byte tables turns the filters into five lookups per position when applied.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any learnable row all are
@@ -19,10 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from ._common import held_out, materialize, read
+from ._common import held_out, materialize, read, tidy
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LABEL, TRAIN_WINDOWS, MAX_LABELS = 300, 4, 200
@@ -131,11 +133,13 @@ def _sample_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame) -> Network | None:
     """docs (doc_id, text, lang); held-out rows are left out here."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).select("lang")
+    known = known.join(F.broadcast(common), "lang", "left_semi")
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select("doc_id", "lang").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= PER_LABEL).select("doc_id").distinct()
-    ids = materialize(ids.limit(PER_LABEL * MAX_LABELS), "language-sample")  # small: broadcast has this bound
+    ids = materialize(ids, "language-sample")  # small: at most PER_LABEL * MAX_LABELS rows
     rows = known.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text")
-    sample = rows.mapInPandas(_sample_windows, "doc_id long, i int, lang string, window binary").toPandas()
+    sample = rows.mapInPandas(tidy(_sample_windows), "doc_id long, i int, lang string, window binary").toPandas()
     if sample.empty:
         return None
     sample = sample.sort_values(["doc_id", "i", "lang", "window"])
@@ -144,13 +148,17 @@ def train(docs: DataFrame) -> Network | None:
     return Network(labels).fit(x, np.searchsorted(labels, sample["lang"].to_numpy(str)))
 
 
+_PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
+
+
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs with lang_pred and score."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
-        for pdf in frames:
+        for batch in batches:
             langs, scores = [], []
-            for text in pdf["text"]:
+            for value in batch.column("text"):
+                text = value.as_py()
                 if net is None or not text or not any(map(str.isalpha, text)):
                     langs.append(UNKNOWN)
                     scores.append(0.0)
@@ -161,10 +169,10 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                 best = int(total.argmax())
                 langs.append(net.labels[best])
                 scores.append(min(1.0, float(total[best] / len(x))))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "lang_pred": langs, "score": scores})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=_PREDICTED)
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), from_arrow_schema(_PREDICTED))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,53 @@ def test_byte_windows_cover_everything():
         assert (x[k, p - k * language_id.STEP :][:4] == b[p : p + 4]).all() if p - k * language_id.STEP + 4 <= language_id.WINDOW else True
 
 
+def test_network_equals_a_plain_convolution():
+    """Table lookups give what the filters give position by position."""
+    rng = np.random.default_rng(3)
+    net = language_id.Network(["a", "b", "c"])
+    net.bias[:] = rng.normal(size=len(net.bias))
+    x = rng.integers(0, 256, (5, language_id.WINDOW)).astype(np.uint8)
+    pooled = np.concatenate([np.max([sum(table[j][x[:, p + j]] for j in range(w)) for p in range(language_id.WINDOW - w + 1)], 0) for w, table in net.filters.items()], 1)
+    want = language_id.softmax(np.maximum(pooled + net.bias, 0) @ net.out + net.out_bias)
+    assert np.allclose(net.predict(x, net.tables()), want, atol=1e-5)
+
+
+def test_network_gradient():
+    rng = np.random.default_rng(4)
+    net = language_id.Network(["a", "b"])
+    for w in net.filters:
+        net.filters[w] = net.filters[w].astype(float)
+    net.bias, net.out, net.out_bias = rng.normal(0, 0.1, len(net.bias)), net.out.astype(float), net.out_bias.astype(float)
+    x, y = rng.integers(97, 103, (6, language_id.WINDOW)).astype(np.uint8), np.array([0, 1, 0, 1, 1, 0])
+
+    def loss():
+        pooled = np.concatenate([np.max([sum(table[j][x[:, p + j]] for j in range(w)) for p in range(language_id.WINDOW - w + 1)], 0) for w, table in net.filters.items()], 1)
+        p = language_id.softmax(np.maximum(pooled + net.bias, 0) @ net.out + net.out_bias)
+        return -np.log(p[np.arange(6), y]).mean()
+
+    params = [*net.filters.values(), net.bias, net.out, net.out_bias]
+    for p, g in zip(params, net._gradients(x, y), strict=True):
+        for at in map(tuple, rng.integers(0, p.shape, (6, p.ndim))):
+            at = (*at[:-2], int(x[0, 0]), at[-1]) if p.ndim == 3 else at
+            old = p[at]
+            p[at] = old + 1e-6
+            hi = loss()
+            p[at] = old - 1e-6
+            lo = loss()
+            p[at] = old
+            assert abs((hi - lo) / 2e-6 - g[at]) < 1e-4
+
+
+def test_language_repeats_names_and_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LABELS", 2)
+    rows = [(i, "lorem ipsum" if i % 3 else "zwart wit", "aa" if i % 3 else "bb") for i in range(60)] + [(900, "x y z", "cc"), (901, "lorem", "aa"), (901, "lorem", "aa"), (None, "lorem", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", F.lit(1)).withColumn("count", F.lit(2)).withColumn("k", F.lit(3))
+    net = language_id.train(df)
+    assert net.labels == ["aa", "bb"]
+    got = language_id.predict(df, net).collect()
+    assert len(got) == len(rows) and len({tuple(r) for r in got if r["doc_id"] == 901}) == 1 and language_id.predict(df.filter("doc_id < 0"), net).count() == 0
+
+
 # Toxicity
 
 
@@ -132,6 +179,63 @@ def test_swaps_stay_within_a_kind():
         assert changed and all(y in toxicity.IDENTITY[toxicity._KIND[x]] for x, y in changed)
 
 
+def test_toxicity_scores_equal_word_by_word():
+    rng = np.random.default_rng(0)
+    names = ["vile", "vil*", "the", "the*", "muslims", "é", "日本*"]
+    index = {f: i for i, f in enumerate(names)}
+    model = toxicity.Model(names, rng.normal(size=len(names) + 1), 0.3)
+    texts = [None, "", "  ", "Vile viles, the\xa0THEORY the the", "\x1cmuslims\u2003É é. 日本語" * 50, "x " * 40000, *odd_texts()]
+    want = [toxicity.score_one(index, model.weights, model.bias, t) for t in texts]
+    assert np.allclose(model.scorer()(texts), want, rtol=0, atol=1e-12)
+
+
+def test_toxicity_gradient():
+    rng = np.random.default_rng(1)
+    x, y, weight, c, p = rng.normal(size=(30, 5)), rng.integers(0, 2, 30).astype(float), rng.random(30), rng.normal(size=(9, 5)), rng.normal(size=6)
+    change = c.T @ c / 9
+    g = toxicity.gradient(p, x, y, weight, change, 0.7)
+    step = np.eye(6) * 1e-6
+    want = [(toxicity.loss(p + s, x, y, weight, change, 0.7) - toxicity.loss(p - s, x, y, weight, change, 0.7)) / 2e-6 for s in step]
+    assert np.allclose(g, want, atol=1e-6)
+
+
+def test_toxicity_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PER_CLASS", 50)
+    given = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("long").alias("toxic"))
+    got = toxicity.sample_labels(given, {0: 2700, 1: 300})
+    assert {r["toxic"]: r["count"] for r in got.groupBy("toxic").count().collect()} == {0: 50, 1: 50}
+    full = given.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).toPandas().sort_values(["h", "doc_id"]).groupby("toxic").head(50)
+    assert {r["doc_id"] for r in got.collect()} == set(full["doc_id"])
+
+
+def test_toxicity_odd_texts(spark):
+    rows = toxic_rows() + [(2000, None, 0), (2001, "", 1), (2002, "vile " * 60000, 1), (2002, "vile " * 60000, 1)]
+    d, l = docs(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(d.withColumn("toxic", F.lit("x")).withColumn("k", F.lit(1)), l.withColumn("text", F.lit("no")))
+    got = toxicity.predict(clashing(spark, ODD), model).collect()
+    assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if r["doc_id"] in (1, 2, 6)}) == 1
+    assert toxicity.train(docs(spark, []), l) is None and toxicity.predict(docs(spark, []), model).count() == 0
+    assert all(r["score"] > 0.5 for r in toxicity.predict(d.filter("doc_id = 2002"), model).collect())
+
+
+#: Ids that doubles don't hold, beside a null.
+BIG = [((1 << 53) + 1, "a b c d"), (None, "e f"), ((1 << 63) - 1, "a b c d"), ((1 << 53) + 3, "g h"), (-(1 << 63), "a b c d")]
+
+
+def test_large_ids_beside_null(spark):
+    d, want = docs(spark, BIG).coalesce(1), sorted(i for i, _ in BIG if i is not None)
+    net = language_id.Network(["aa", "bb"])
+    model = toxicity.Model(["a"], np.array([1.0, 0.0]), 0.0)
+    lang = d.withColumn("lang", F.lit("aa"))
+    for got in (language_id.predict(lang, net), language_id.predict(lang, None), toxicity.predict(d, model), pii.pii_spans(d), packing.pack(d), exact_dedup.exact_duplicates(d.filter("doc_id is null"), d.filter("doc_id is not null")), exact_dedup.exact_duplicates(d, d.filter("false"))):
+        ids = [r["doc_id"] for r in got.select("doc_id").collect()]
+        assert sorted(i for i in ids if i is not None) == want and ids.count(None) == 1
+    got = {r["doc_id"]: r for r in exact_dedup.exact_duplicates(d, d.filter("false")).collect()}
+    assert got[(1 << 53) + 3]["kept"] and got[(1 << 53) + 1]["keep_id"] == (1 << 63) - 1 and got[(1 << 63) - 1]["kept"] and got[None]["keep_id"] is None and got[None]["kept"]
+    near = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(d, 2).collect()}
+    assert near[(1 << 53) + 1] == near[(1 << 63) - 1] == -(1 << 63) and near[(1 << 53) + 3] == (1 << 53) + 3
+
+
 # Near-dedup
 
 
