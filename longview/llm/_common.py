@@ -46,16 +46,16 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write df to the shared scratch folder and read it back: lineage ends at replicated files, so a
     lost executor costs a re-read, and values made once (ranks, task numbers) can't change on a retry.
 
-    While it is written, Python gets batches of at most BATCH_ROWS rows; the session's setting is put back."""
+    While it is written, Python gets batches of at most batch_rows rows; the session's setting is put back."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     rows = spark.conf.get(_BATCH)
     try:
-        spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(rows)) if int(rows) > 0 else BATCH_ROWS))
+        spark.conf.set(_BATCH, str(min(batch_rows, int(rows)) if int(rows) > 0 else batch_rows))
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_BATCH, rows)

@@ -1,20 +1,23 @@
 """Exact top-k inner products over norm-sorted, rotated blocks.
 
-Vectors become integers, floor(64 * x). The second moments of all of them, summed in the engine, give the SVD's
-rotation (its right singular vectors), which gathers length in the leading coordinates. Vectors are range-sorted
-by descending length and laid in blocks. A query starts with the k-th best score among the HEAD longest vectors, a
-lower bound of its k-th best of all. A block is skipped where query length * longest length in the block
-(Cauchy-Schwarz) is below that; inside a block, the first coordinates' partial product plus the product of the
-residual lengths bounds each score, so that only the rest is finished. Scores that are returned are products of the
-integers themselves, so rounding in the rotation can't change a result (bounds get a slack for it).
-
-Query blocks meet candidate blocks through an equi-join on the candidates' group: blocks of a stated query set
-against all rows, never a pair of rows.
-
-Defined results: vectors that are null, empty or hold null or non-finite components take no part; a shorter
-vector counts as padded with zeros; components are held within +-2^28, so that a score fits a long; a row with a
-null id takes no part; equal vectors are separate candidates, ties go to the smaller id; other columns are
-ignored.
+Vectors become integers, floor(64 * x). Their second moments, summed in the engine, give the SVD's rotation (its right
+singular vectors), which gathers length in the leading coordinates. Vectors are range-sorted by descending length and laid
+in blocks; a range of blocks is a cell. A block of queries goes through a cell's blocks in that order, and each
+query's k-th best score so far is its bound: a block is skipped where query length * longest length in it
+(Cauchy-Schwarz) is below the bound; inside a block, the first coordinates' partial product plus the product of the
+residual lengths bounds each score, so that only the rest is finished. Cells are taken in rounds that double: the longest one
+first, then two, four and so on, each with the bounds of the rounds before. Pairs of a query block and a cell are
+first chosen by their lengths and bounds alone, and vectors are sent for those that are left. Scores that are
+returned are products of the integers themselves, so rounding in the rotation can't change a result (bounds get a
+slack for it).
+
+Query blocks meet cells through an equi-join on the cell: blocks of a stated query set against all rows, never a pair
+of rows.
+
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id;
+a shorter vector, and an empty one, counts as padded with zeros; rows repeated under one id are one vector, the
+largest of them in order of components; a score that no long holds is held at the long's end, all others are exact;
+equal vectors are separate candidates, ties go to the smaller id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,160 +25,246 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from ._common import materialize, read
+from ._common import discard, materialize, read, tidy
 
 SCALE, K, EVERY = 64, 20, 20
 #: Rows of a candidate block and of a query block.
-BLOCK, QUERIES = 4096, 512
-#: Longest vectors that give each query its first bound.
-HEAD = 2048
-#: Candidate blocks of a group: what a task of the join may hold for a key.
-GROUP = 16
-_LIMIT = 1 << 28
+BLOCK, QUERIES = 4096, 256
+#: Candidate blocks of a cell, about.
+GROUP = 8
+#: Blocks that go to Python at once.
+AT_ONCE = 8
+#: Tasks of a round at most.
+TASKS = 20_000
 #: Rotated coordinates of the partial sums.
 LEAD = 0.375
+#: Longer vectors than this are compared without bounds, since doubles may not hold their products.
+LONG = 2.0**40
+_MAX = (1 << 63) - 1
 
 
 def integers(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<long>, norm) of the vectors that take part."""
-    x = F.transform("embedding", lambda c: F.floor(F.least(F.greatest(c.cast("double") * SCALE, F.lit(-float(_LIMIT))), F.lit(float(_LIMIT)))).cast("long"))
+    """(vec_id, v array<double> of whole numbers, norm) of the vectors that take part."""
+    def whole(c):
+        y = c.cast("double") * SCALE
+        return F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+
     good = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding")).filter("vec_id is not null and embedding is not null and size(embedding) > 0").filter(good)
-    rows = rows.select("vec_id", x.alias("v"))
-    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding")).filter("vec_id is not null and embedding is not null").filter(good)
+    rows = rows.groupBy("vec_id").agg(F.max(F.transform("embedding", whole)).alias("v"))
+    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))
 
 
-def _matrix(lists, dim: int) -> np.ndarray:
-    out = np.zeros((len(lists), dim), np.int64)
-    for i, v in enumerate(lists):
-        out[i, : len(v)] = v
+def _matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
+    n = lists.value_lengths().to_numpy()
+    out = np.zeros((len(n), dim))
+    row = np.repeat(np.arange(len(n)), n)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = lists.flatten().to_numpy()
     return out
 
 
+_MOMENTS = pa.schema([("i", pa.int32()), ("s", pa.list_(pa.float64()))])
+
+
 def _moments(dim: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
-        for pdf in frames:
-            m = _matrix(pdf["v"], dim).astype(float)
+        for batch in batches:
+            m = _matrix(batch.column("v"), dim)
+            m = m[np.sqrt((m * m).sum(1)) < LONG]
             total += m.T @ m
-        i, j = np.divmod(np.arange(dim * dim), dim)
-        yield pd.DataFrame({"i": i, "j": j, "s": total.ravel()})
+        for i in range(dim):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i].tolist()], pa.list_(pa.float64()))], schema=_MOMENTS)
 
     return run
 
 
+def rotation(rows: DataFrame, dim: int) -> np.ndarray:
+    """The right singular vectors of all rows, by descending singular value. dim * dim numbers come to the driver."""
+    sums = rows.select("v").mapInArrow(tidy(_moments(dim)), from_arrow_schema(_MOMENTS))
+    total = sums.select("i", F.posexplode("s").alias("j", "s")).groupBy("i", "j").agg(F.sum("s").alias("s"))
+    got = total.toArrow()
+    moments = np.zeros((dim, dim))
+    moments[got["i"].to_numpy(), got["j"].to_numpy()] = got["s"].to_numpy()
+    return np.linalg.eigh(moments)[1][:, ::-1].copy()
+
+
+_BLOCKS = pa.schema([("cell", pa.int64()), ("place", pa.int32()), ("ids", pa.binary()), ("kind", pa.string()), ("v", pa.binary()), ("longest", pa.float64())])
+
+
+def _narrow(m: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest type that holds them."""
+    most = np.abs(m).max(initial=0)
+    return m.astype("<i2" if most < 2**15 else "<i4" if most < 2**31 else "<f8")
+
+
 def _pack(dim: int, rows: int):
-    """Frames sorted by descending length as blocks of rows: ids and integers as bytes, and the lengths' range."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for at in range(0, len(pdf), rows):
-                part = pdf.iloc[at : at + rows]
-                yield pd.DataFrame({
-                    "first": [int(part["vec_id"].iloc[0])], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()],
-                    "v": [_matrix(part["v"], dim).tobytes()], "longest": [float(part["norm"].max())],
-                })
+    """Rows sorted by descending length as blocks of that many; the task's number is the cell."""
+    def block(cell: int, place: int, ids: list, vectors: list, norms: list) -> pa.RecordBatch:
+        m = _narrow(np.concatenate(vectors))
+        row = [cell, place, np.concatenate(ids).astype("<i8").tobytes(), m.dtype.str, m.tobytes(), float(max(x.max() for x in norms))]
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, place, held, ids, vectors, norms = TaskContext.get().partitionId(), 0, 0, [], [], []
+        for batch in batches:
+            i, m, n = batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), dim), batch.column("norm").to_numpy()
+            at = 0
+            while at < len(i):
+                took = min(len(i) - at, rows - held)
+                ids.append(i[at : at + took])
+                vectors.append(m[at : at + took])
+                norms.append(n[at : at + took])
+                at, held = at + took, held + took
+                if held == rows:
+                    yield block(cell, place, ids, vectors, norms)
+                    place, held, ids, vectors, norms = place + 1, 0, [], [], []
+        if held:
+            yield block(cell, place, ids, vectors, norms)
 
     return run
 
 
 def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products; in doubles where those hold them exactly."""
+    """Exact integer products of whole numbers in doubles, held within a long."""
     if not len(q) or not len(c):
         return np.zeros((len(q), len(c)), np.int64)
-    bound = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1]
-    return (q.astype(float) @ c.T.astype(float)).astype(np.int64) if bound < 2**52 else q @ c.T
-
-
-def _bounds(dim: int, head_ids: np.ndarray, head: np.ndarray, k: int):
-    """Adds to each query block the lower bound of each query's k-th best score."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for ids, v in zip(pdf["ids"], pdf["v"], strict=True):
-                own, q = np.frombuffer(ids, np.int64), np.frombuffer(v, np.int64).reshape(-1, dim)
-                s = scores(q, head).astype(float)
-                s[own[:, None] == head_ids[None, :]] = -np.inf
-                low = np.partition(s, len(head_ids) - k, axis=1)[:, len(head_ids) - k] if len(head_ids) >= k else np.full(len(q), -np.inf)
-                out.append(low.tobytes())
-            reach = [float(np.frombuffer(x, float).min()) for x in out]
-            yield pdf.assign(low=out, least=reach)
-
-    return run
+    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    if bound < 2**53:
+        return (q @ c.T).astype(np.int64)
+    if bound < 2**62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = lambda m: [[int(x) for x in row] for row in m]
+    cs = whole(c)
+    return np.array([[max(-_MAX - 1, min(_MAX, sum(a * b for a, b in zip(x, y, strict=True)))) for y in cs] for x in whole(q)], np.int64)
+
+
+class _Queries:
+    """A block of queries with each one's k best so far."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, low: np.ndarray, turn: np.ndarray, k: int):
+        self.ids, self.q, self.low, self.k, self.turn = ids, q, low, k, turn
+        self.lead = max(1, int(len(turn) * LEAD))
+        with np.errstate(all="ignore"):
+            self.length = np.sqrt((q * q).sum(1))
+        self.big = ~(self.length < LONG)
+        self.turned = np.where(self.big[:, None], 0.0, q) @ turn
+        self.rest = np.sqrt((self.turned[:, self.lead :] ** 2).sum(1))
+        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
+
+    def meet(self, ids: np.ndarray, c: np.ndarray, longest: float) -> None:
+        slack = 1e-9 * (1 + np.minimum(self.length, LONG) * min(longest, LONG))
+        live = np.flatnonzero(self.big | ~(longest < LONG) | (self.length * longest + slack >= self.low))
+        if not len(live):
+            return
+        with np.errstate(all="ignore"):
+            length = np.sqrt((c * c).sum(1))
+        big = ~(length < LONG)
+        turned = np.where(big[:, None], 0.0, c) @ self.turn
+        rest = np.sqrt((turned[:, self.lead :] ** 2).sum(1))
+        upper = self.turned[live, : self.lead] @ turned[:, : self.lead].T
+        upper += self.rest[live][:, None] * rest[None, :]
+        upper += slack[live][:, None]
+        open_ = upper >= self.low[live][:, None]
+        open_ |= big[None, :] | self.big[live][:, None]
+        for i, x in enumerate(live.tolist()):
+            at = np.flatnonzero(open_[i])
+            s = scores(self.q[x : x + 1], c[at])[0]
+            ok = (s >= self.low[x]) & (ids[at] != self.ids[x])
+            if ok.any():
+                s, who = np.concatenate([self.best[x][0], s[ok]]), np.concatenate([self.best[x][1], ids[at][ok]])
+                order = np.lexsort((who, ~s))[: self.k]
+                self.best[x] = s[order], who[order]
+                if len(order) == self.k:
+                    self.low[x] = max(self.low[x], np.nextafter(float(s[order[-1]]), -np.inf) if abs(int(s[order[-1]])) >= 2**53 else float(s[order[-1]]))
+
+    def rows(self, block: int) -> pa.RecordBatch:
+        n = [len(s) for s, _ in self.best]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(sum(n), block)), pa.array(np.repeat(self.ids, n)), pa.array(np.concatenate([w for _, w in self.best])), pa.array(np.concatenate([s for s, _ in self.best]))], schema=_FOUND)
+
+
+_FOUND = pa.schema([("block", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def _search(dim: int, turn: np.ndarray, k: int):
-    lead = max(1, int(dim * LEAD))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for row in pdf.itertuples():
-                qid, q = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_v, np.int64).reshape(-1, dim)
-                cid, c = np.frombuffer(row.ids, np.int64), np.frombuffer(row.v, np.int64).reshape(-1, dim)
-                low = np.frombuffer(row.low, float)
-                ql, cl = np.sqrt((q.astype(float) ** 2).sum(1)), np.sqrt((c.astype(float) ** 2).sum(1))
-                slack = 1e-9 * (1 + ql * row.longest)
-                live = np.flatnonzero(ql * row.longest + slack >= low)
-                if not len(live):
-                    continue
-                qr, cr = q[live] @ turn, c @ turn
-                rest_q = np.sqrt((qr[:, lead:] ** 2).sum(1))
-                rest_c = np.sqrt((cr[:, lead:] ** 2).sum(1))
-                upper = qr[:, :lead] @ cr[:, :lead].T
-                upper += rest_q[:, None] * rest_c[None, :]
-                upper += slack[live][:, None]
-                open_ = upper >= low[live][:, None]
-                open_ &= ql[live][:, None] * cl[None, :] + slack[live][:, None] >= low[live][:, None]
-                out = []
-                for i, x in enumerate(live):
-                    at = np.flatnonzero(open_[i])
-                    s = scores(q[x : x + 1], c[at])[0]
-                    ok = (s >= low[x]) & (cid[at] != qid[x])
-                    at, s = at[ok], s[ok]
-                    best = np.lexsort((cid[at], -s))[:k]
-                    out.append(pd.DataFrame({"query_id": np.full(len(best), qid[x]), "vec_id": cid[at[best]], "score": s[best]}))
-                yield pd.concat(out, ignore_index=True)
+    """Rows sorted by block, cell and place: a query block, then a cell's blocks by descending length."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, queries = None, None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda c, i=row, b=batch: b.column(c)[i].as_py()
+                ids = np.frombuffer(get("ids"), "<i8")
+                m = np.frombuffer(get("v"), get("kind")).reshape(-1, dim).astype(float)
+                if get("place") < 0:
+                    if queries:
+                        yield queries.rows(key[0])
+                    key, known = (get("block"), get("cell")), dict(zip(get("asked") or [], get("lows") or [], strict=True))
+                    queries = _Queries(ids, m, np.array([known.get(i, -np.inf) for i in ids.tolist()], float), turn, k)
+                else:
+                    queries.meet(ids, m, get("longest"))
+        if queries:
+            yield queries.rows(key[0])
 
     return run
 
 
 def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding) where is_query holds, the k
+    """(query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding) where is_query (of vec_id) holds, the k
     rows other than itself with the highest inner products."""
-    spark = vectors.sparkSession
     rows = materialize(integers(vectors), "integers")
-    shape = rows.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
-    dim, n = shape["dim"] or 1, shape["n"]
-    sums = rows.mapInPandas(_moments(dim), "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()  # dim * dim numbers
-    moments = np.zeros((dim, dim))
-    for r in sums:
-        moments[r["i"], r["j"]] = r["s"]
-    turn = np.linalg.eigh(moments)[1][:, ::-1].copy()
-
-    schema = "first long, ids binary, v binary, longest double"
+    shape = rows.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n"), F.count_if(is_query).alias("asked")).first()
+    dim, n, asked = max(1, shape["dim"] or 1), shape["n"], shape["asked"]
+    turn = rotation(rows, dim)
     order = [F.desc("norm"), F.asc("vec_id")]
 
-    def blocks(df: DataFrame, size: int, count: int) -> DataFrame:
-        parts = max(1, min(count // size + 1, 100_000))
-        return df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(_pack(dim, size), schema)
-
-    candidates = materialize(blocks(rows, BLOCK, n), "blocks")
-    top = rows.orderBy(*order).limit(HEAD).select("vec_id", "v").collect()  # HEAD rows
-    head_ids, head = np.array([r["vec_id"] for r in top], np.int64), _matrix([r["v"] for r in top], dim)
-    bounded = "first long, ids binary, v binary, longest double, low binary, least double"
-    queries = materialize(blocks(rows.filter(is_query), QUERIES, n // EVERY).mapInPandas(_bounds(dim, head_ids, head, k), bounded), "queries")
-
-    groups = max(1, candidates.count() // GROUP)
-    dealt = candidates.withColumn("cell", F.expr(f"pmod(xxhash64(first), {groups})")).drop("first")
-    asked = queries.select(F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), "low", "least", F.col("longest").alias("q_longest"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("cell"))
-    pairs = asked.join(dealt, "cell").filter(F.col("q_longest") * F.col("longest") * (1 + 1e-9) + 1 >= F.col("least"))
-    found = pairs.repartition(max(8, min(queries.count() * groups, 20_000))).mapInPandas(_search(dim, turn, k), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    def blocks(df: DataFrame, size: int, parts: int, label: str) -> DataFrame:
+        laid = df.repartitionByRange(max(1, min(parts, 100_000)), *order).sortWithinPartitions(*order)
+        return materialize(laid.mapInArrow(tidy(_pack(dim, size)), from_arrow_schema(_BLOCKS)), label)
+
+    candidates = blocks(rows, BLOCK, -(-n // (BLOCK * GROUP)), "blocks")
+    queries = blocks(rows.filter(is_query), QUERIES, -(-asked // (QUERIES * GROUP)), "queries")
+    queries = queries.withColumn("block", F.col("cell") * (1 << 31) + F.col("place")).drop("cell", "place")
+    spans = candidates.groupBy("cell").agg(F.max("longest").alias("reach"))
+    cells = 1 + (candidates.agg(F.max("cell")).first()[0] or 0)
+
+    none = queries.sparkSession.createDataFrame([], "block long, least double, held long, asked array<long>, lows array<double>")
+    best, lows, lo, width = None, none, 0, 1
+    while lo < cells:
+        met = F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(min(cells, lo + width) - 1).cast("long")))
+        sizes = queries.select("block", "longest", (F.octet_length("ids") / 8).alias("size")).join(lows.select("block", "least", "held"), "block", "left")
+        # a block some of whose queries have fewer than k so far has no bound
+        bound = F.when(F.col("held") == F.col("size"), F.col("least")).otherwise(F.lit(-float("inf")))
+        pairs = sizes.select("block", "longest", bound.alias("least"), met.alias("cell")).join(spans, "cell")
+        pairs = materialize(pairs.filter((F.col("reach") >= LONG) | (F.col("longest") >= LONG) | (F.col("longest") * F.col("reach") * (1 + 1e-9) + 1 >= F.col("least"))).select("block", "cell"), "pairs")
+        count = pairs.count()
+        if not count:
+            break
+        sent = ["block", "cell", "place", "ids", "kind", "v", "longest", "asked", "lows"]
+        heads = pairs.join(queries, "block").join(lows.select("block", "asked", "lows"), "block", "left").withColumn("place", F.lit(-1)).select(sent)
+        tails = pairs.join(candidates, "cell").withColumns({"asked": F.lit(None).cast("array<long>"), "lows": F.lit(None).cast("array<double>")}).select(sent)
+        work = heads.unionByName(tails).repartition(max(8, min(count, TASKS)), "block", "cell").sortWithinPartitions("block", "cell", "place")
+        found = materialize(work.mapInArrow(tidy(_search(dim, turn, k)), from_arrow_schema(_FOUND)), "found", AT_ONCE)
+        top = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+        every = found if best is None else best.select(found.columns).unionByName(found)
+        better = materialize(every.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k), "best")
+        for table in (pairs, found, best):
+            if table is not None:
+                discard(table)
+        best, lo, width = better, lo + width, width * 2
+        if lo < cells:
+            # a double below a score beyond 2^53 may lie above it, so that bound is lowered
+            low = F.min("score").cast("double") - F.when(F.abs(F.min("score").cast("double")) >= 2.0**53, 2048.0).otherwise(0.0)
+            each = best.groupBy("block", "query_id").agg(F.count("*").alias("n"), low.alias("low")).filter(F.col("n") == k)
+            lows = materialize(each.groupBy("block").agg(F.min("low").alias("least"), F.count("*").alias("held"), F.collect_list("query_id").alias("asked"), F.collect_list("low").alias("lows")), "lows")
+    if best is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,8 +273,8 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
-  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  select vec_id, max(list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint))) as v
+  from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 group by vec_id
 ), s as (
   select q.vec_id as query_id, c.vec_id, cast(list_dot_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0

@@ -420,32 +420,47 @@ def test_exact_dedup_edges(spark):
 
 
 def brute_topk(vectors, k):
-    ok = {i: np.floor(64 * np.array(v, float)).astype(np.int64) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    out = set()
+    ok = {}
+    for i, v in vectors:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            ok[i] = max(ok.get(i, []), [int(np.floor(64 * float(x))) for x in v])
+    out, end = set(), (1 << 63) - 1
     for q in ok:
         if q % 20 == 0:
-            s = sorted((-int(sum(a * b for a, b in zip(ok[q].tolist(), ok[c].tolist(), strict=False))), c) for c in ok if c != q)[:k]
+            s = sorted((-max(-end - 1, min(end, sum(a * b for a, b in zip(ok[q], ok[c], strict=False)))), c) for c in ok if c != q)[:k]
             out |= {(q, r + 1, c, -v) for r, (v, c) in enumerate(s)}
     return out
 
 
-def test_topk_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 50)
-    monkeypatch.setattr(topk, "HEAD", 40)
+@pytest.mark.parametrize("group", [1, 3, 100])
+def test_topk_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "GROUP", group)
     rng = np.random.default_rng(1)
     vectors = [(i, (rng.normal(size=8) * rng.choice([0.1, 1, 5])).tolist()) for i in range(300)]
     vectors += [(300 + i, [1.0] * 8) for i in range(60)]
-    vectors += [(400, None), (401, [None] * 8), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, []), (420, [0.0] * 8), (440, [-1.0, 2.0]), (None, [1.0] * 8)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("norm", F.lit(1)).withColumn("v", F.lit(2))
-    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.exact_topk(df, F.col("vec_id") % 20 == 0, 7).collect()}
-    assert got == brute_topk(vectors, 7)
+    vectors += [(400, None), (401, [None] * 8), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, []), (420, [0.0] * 8), (440, [-1.0, 2.0]), (None, [1.0] * 8), (460, []), (20, [9.0] * 8), (21, [8.0, -9.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("norm", F.lit(1)).withColumn("v", F.lit(2)).withColumn("block", F.lit(3))
+    got = topk.exact_topk(df, F.col("vec_id") % 20 == 0, 7).collect()
+    assert {tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in got} == brute_topk(vectors, 7) and len({(r["query_id"], r["rank"]) for r in got}) == len(got)
+
+
+def test_topk_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    monkeypatch.setattr(topk, "GROUP", 2)
+    rng = random.Random(5)
+    vectors = [(i, [rng.choice([1.0, -3.5, 2.0**23, 2.0**29 + 1 / 64, -(2.0**24), 0.3, 2.0**31]) for _ in range(3)]) for i in range(60)] + [(60, [1e300, -1e300, 1.0]), (61, [1e300, 1e300, 2.0]), (62, [2.0**45, 0.0, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 20 == 0, 9).select("query_id", "rank", "vec_id", "score").collect()} == brute_topk(vectors, 9)
 
 
 def test_topk_few_and_none(spark):
-    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1e300])], "vec_id long, embedding array<double>")
+    df = spark.createDataFrame([(0, [float(1 << 23)]), (1, [1.0])], "vec_id long, embedding array<double>")
     got = topk.exact_topk(df, F.col("vec_id") % 20 == 0).collect()
-    assert len(got) == 1 and got[0]["score"] == 64 * 192 + 128 * (1 << 28)
+    assert len(got) == 1 and got[0]["score"] == 34359738368
     assert topk.exact_topk(df.filter("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
+    assert topk.exact_topk(spark.createDataFrame([(0, []), (1, []), (2, [])], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).count() == 2
 
 
 # Packing
