@@ -5,35 +5,39 @@ WARC-Refers-To and keep its address and date: a metadata record of warc-fields w
 headers, its digests, title, out-links and sizes; and a conversion record with the page's plain text. Each record's
 id is derived from its source's id, so a rerun writes the same records.
 
-The derivation is made of built-in functions row by row: no shuffle, no state. `write_warc` puts records, one gzip
-member each, into a table of WARC files; `read_warc` parses such files, and any WARC file of that form.
+The derivation is made of built-in functions row by row: no shuffle, no state. `write_warc` lays records down as WARC
+files, each with a warcinfo record first; `read_warc` parses such files and others, plain or of gzip members.
 
 Defined results: a null page is an empty payload and a null address an empty one; a null id gives records of the
-source id made from "null"; repeated rows give repeated records; other columns are ignored. Unclosed comments,
-scripts and unknown entities stay as text.
+source id made from "null"; repeated rows give repeated records; other columns are ignored. An unclosed comment, script
+or style hides the rest of its page; a < that begins no tag and unknown entities stay as text. So each pattern
+either matches or fails by the next < and the time follows the page's length. Records of a file that can't be read (no
+length, a length that isn't a number) are passed over up to the next that can; a truncated last record is left out.
 """
 
 from __future__ import annotations
 
-import gzip
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from ._common import read
+from ._common import read, tidy
 
+#: Bytes of records that are passed on at once, and of a record's header at most.
+PART, HEAD_BYTES = 1 << 23, 1 << 20
 VERSION, DATE, CRLF = "WARC/1.1", "2024-01-01T00:00:00Z", "\r\n"
 
 # fixed values: patterns that both Java and RE2 read alike, and entities in the order they are decoded
-HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-TITLE = r"(?is)<title>(.*?)</title>"
-BREAKS = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|title|head|body|html|blockquote|pre)(?:\s[^>]*)?/?>"
-TAGS = r"<[^>]*>"
+HIDDEN = r"(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)"
+TITLE = r"(?is)<title>([^<]*)"
+BREAKS = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|title|head|body|html|blockquote|pre)(?:\s[^<>]*)?/?>"
+TAGS = r"<[^<>]*>"
 BLANKS = r"[ \t\r\f]+"
 NEWLINES = r" ?\n[ \n]*"
 LINK = r'href="([^"]*)"'
@@ -108,61 +112,134 @@ _NAMES = {"record_id": "WARC-Record-ID", "warc_type": "WARC-Type", "refers_to":
 _FIELDS = {v.lower(): k for k, v in _NAMES.items()}
 
 
-def record_bytes(row: dict) -> bytes:
-    content = (row["content"] or "").encode()
+def record_head(row: dict, size: int) -> bytes:
     head = "".join(f"{name}: {row[c]}{CRLF}" for c, name in _NAMES.items() if row.get(c))
-    return f"{VERSION}{CRLF}{head}Content-Length: {len(content)}{CRLF}{CRLF}".encode() + content + b"\r\n\r\n"
+    if row.get("refers_to"):
+        head += "".join(f"WARC-Refers-To-{name}: {row[c]}{CRLF}" for c, name in (("target_uri", "Target-URI"), ("date", "Date")) if row.get(c))
+    return f"{VERSION}{CRLF}{head}Content-Length: {size}{CRLF}{CRLF}".encode()
 
 
-def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, whether plain or of gzip members; a truncated last record is left out."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            d = zlib.decompressobj(31)
-            try:
-                parts.append(d.decompress(data) + d.flush())
-            except zlib.error:
-                break
-            data = d.unused_data
-        data = b"".join(parts)
+def record_bytes(row: dict) -> bytes:
+    """A record and the two line ends after it."""
+    content = row["content"] or b""
+    content = content.encode() if isinstance(content, str) else bytes(content)
+    return record_head(row, len(content)) + content + b"\r\n\r\n"
+
+
+def _chunks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file, those of gzip members decompressed, in bounded parts; a broken member ends them."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[at : at + size] for at in range(0, len(data), size))
+        return
     at = 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)
-        if not re.fullmatch(r"WARC/\d\.\d", lines[0]):
-            return
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields.get("content-length", 0))
-        if end + 4 + size > len(data):
+    while at < len(data):
+        d = zlib.decompressobj(31)
+        try:
+            while not d.eof and at < len(data):
+                part = data[at : at + size]
+                at += len(part)
+                out = d.decompress(part, size)
+                while out:
+                    yield out
+                    out = d.decompress(d.unconsumed_tail, size) if not d.eof else b""
+        except zlib.error:
             return
-        row = {c: fields.get(name) for name, c in _FIELDS.items()}
-        yield row | {"content": data[end + 4 : end + 4 + size].decode("utf-8", "replace"), "content_length": size}
-        at = end + 4 + size + 4
+        at -= len(d.unused_data)
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Records as gzip members under path: a table of named WARC files, a batch of records each, whose bytes can be
-    laid down in any store."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame({"name": [f"{uuid.uuid4().hex}.warc.gz"], "data": [b"".join(gzip.compress(record_bytes(r)) for r in pdf.to_dict("records"))]})
+_MARK = re.compile(rb"WARC/[0-9]\.[0-9]\r\n")
 
-    records.mapInPandas(run, "name string, data binary").write.parquet(path)
 
-
-_RECORD = "record_id string, warc_type string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, content string"
+def parse_records(data: bytes) -> Iterator[dict]:
+    """The records of a WARC file, whether plain or of gzip members, with their contents as bytes."""
+    held, parts, more = bytearray(), _chunks(data), True
+
+    def fill(n: int) -> bool:
+        nonlocal more
+        while more and len(held) < n:
+            part = next(parts, None)
+            more = part is not None
+            held.extend(part or b"")
+        return len(held) >= n
+
+    while fill(1):
+        fill(10)
+        found = _MARK.search(held)
+        while not found and more:
+            del held[: max(0, len(held) - 9)]
+            fill(len(held) + 1)
+            found = _MARK.search(held)
+        if not found:
+            return
+        del held[: found.start()]
+        end = held.find(b"\r\n\r\n")
+        while end < 0 and more and len(held) < HEAD_BYTES:
+            fill(len(held) + 1)
+            end = held.find(b"\r\n\r\n")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in bytes(held[: max(end, 0)]).decode("utf-8", "replace").split(CRLF)[1:])}
+        size = fields.get("content-length", "")
+        if end < 0 or not re.fullmatch("[0-9]{1,18}", size):
+            del held[:1]  # on to the next mark
+            continue
+        if not fill(end + 4 + int(size)):
+            return
+        row = {c: fields.get(name) for name, c in _FIELDS.items()}
+        yield row | {"content": bytes(held[end + 4 : end + 4 + int(size)]), "content_length": int(size)}
+        fill(end + 8 + int(size))
+        del held[: end + 4 + int(size)]
+        while held[:2] == b"\r\n":
+            del held[:2]
+
+
+def write_warc(records: DataFrame, path: str, software: str = "longview") -> None:
+    """Records (the columns of `derive`, content as text or binary) as plain WARC files in the folder path, one per task,
+    each beginning with a warcinfo record. The engine's own writer commits them, so a lost task leaves no part of a file;
+    they get their suffix afterwards."""
+    columns = [*_NAMES, "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            rows = [record_bytes(r)[:-4] for r in batch.to_pylist()]  # the writer ends each row with two line ends
+            if first and rows:
+                told, key = f"software: {software}{CRLF}format: WARC File Format 1.1{CRLF}".encode(), uuid.uuid4()
+                rows.insert(0, record_head({"record_id": f"<urn:uuid:{key}>", "warc_type": "warcinfo", "date": DATE, "content_type": "application/warc-fields"}, len(told)) + told)
+                first = False
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["data"])
+
+    text = records.select(columns).mapInArrow(run, "data binary").select(F.col("data").cast("string").alias("value"))
+    text.write.option("lineSep", "\r\n\r\n").text(path)
+    sc = records.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    for f in fs.listStatus(folder):
+        name = f.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(f.getPath(), sc._jvm.org.apache.hadoop.fs.Path(folder, name[:-4] + ".warc"))
+
+
+_RECORD = pa.schema([*((c, pa.string()) for c in ("record_id", "warc_type", "refers_to", "target_uri", "date", "content_type")), ("content_length", pa.int64()), ("block_digest", pa.string()), ("content", pa.binary())])
 
 
 def read_warc(files: DataFrame, column: str = "content") -> DataFrame:
-    """Records of files held in a binary column, as spark.read.format('binaryFile') gives them."""
-    names = [x.split()[0] for x in _RECORD.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for data in pdf[column]:
-                yield pd.DataFrame(list(parse_records(bytes(data or b""))), columns=names)
-
-    return files.select(column).mapInPandas(run, _RECORD)
+    """Records of files held in a binary column, as spark.read.format('binaryFile') gives them; contents are binary. A
+    file's bytes are in one row, its records are decompressed and passed on PART bytes at a time."""
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            for value in given.column(0):
+                rows, size = [], 0
+                for row in parse_records(value.as_py() or b""):
+                    rows.append(row)
+                    size += row["content_length"]
+                    if size > PART:
+                        yield batch(rows)
+                        rows, size = [], 0
+                yield batch(rows)
+
+    return files.select(F.col(column).cast("binary")).mapInArrow(tidy(run), from_arrow_schema(_RECORD))
 
 
 def _sql_decode(x: str) -> str:
