@@ -12,7 +12,7 @@ one document's own.
 Defined results: a null text stays null, and texts of fewer than three lines stay as they are; lines are
 compared exactly, blank ones too; a text of which every line is covered becomes empty; a row with a null id is
 left as it is and takes no part; rows repeated under one id are one document and are cut alike; other columns
-are kept.
+are kept, whatever their names, but for n_lines and n_removed, which the result's take the place of.
 """
 
 from __future__ import annotations
@@ -52,20 +52,21 @@ def covered(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with the covered lines taken out of text, and n_lines and n_removed."""
-    cut = covered(docs).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(cut, docs["doc_id"] == cut["_id"], "left").drop("_id").withColumn("_lines", F.split(F.col("text").cast("string"), "\n", -1))
+    names = docs.columns
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").alias("id"))
+    cut = covered(docs).select(F.col("doc_id").alias("at"), F.col("_cut").alias("cut"))
+    rows = whole.join(cut, F.col("id") == F.col("at"), "left").select("row", "cut", F.split(F.col("row.text").cast("string"), "\n", -1).alias("lines"))
     kept = F.expr("""
-        flatten(transform(sequence(0, size(_cut)), j -> slice(_lines,
-            if(j = 0, 0, _cut[greatest(j - 1, 0)].hi) + 1,
-            if(j = size(_cut), size(_lines), _cut[least(j, size(_cut) - 1)].lo) - if(j = 0, 0, _cut[greatest(j - 1, 0)].hi))))
+        flatten(transform(sequence(0, size(cut)), j -> slice(lines,
+            if(j = 0, 0, cut[greatest(j - 1, 0)].hi) + 1,
+            if(j = size(cut), size(lines), cut[least(j, size(cut) - 1)].lo) - if(j = 0, 0, cut[greatest(j - 1, 0)].hi))))
     """)
-    rows = rows.withColumn("_kept", F.when(F.col("_cut").isNotNull(), kept))
-    removed = F.when(F.col("_cut").isNotNull(), F.size("_lines") - F.size("_kept")).otherwise(F.when(F.col("text").isNotNull(), 0))
-    return rows.withColumns({
-        "text": F.when(F.col("_cut").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text")),
-        "n_lines": F.when(F.col("text").isNotNull(), F.size("_lines")).cast("long"),
-        "n_removed": removed.cast("long"),
-    }).drop("_cut", "_lines", "_kept")
+    rows = rows.withColumn("kept", F.when(F.col("cut").isNotNull(), kept))
+    text, given = F.col("row.text"), F.col("cut").isNotNull()
+    out = {"text": F.when(given, F.array_join("kept", "\n")).otherwise(text)}
+    out["n_lines"] = F.when(text.isNotNull(), F.size("lines")).cast("long")
+    out["n_removed"] = F.when(given, F.size("lines") - F.size("kept")).otherwise(F.when(text.isNotNull(), 0)).cast("long")
+    return rows.select(*(out.get(c, F.col(f"row.`{c}`")).alias(c) for c in names), *(out[c].alias(c) for c in out if c not in names))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ aren't shuffled and a leaf with a third of all rows is read by all tasks.
 
 Defined results: a null language or source is a leaf named ''; documents without a token or an id aren't
 selected; rows repeated under one id are selected alike; weights not given are 1, and those not above 0 take
-nothing; an empty table gives no rows; extra columns are kept unless their names begin with an underscore.
+nothing; an empty table gives no rows; extra columns are kept, whatever their names, but for epoch, domain, n_tokens and
+take_tokens, which the result's take the place of.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ def _weight(level: str, weights: dict) -> Column:
 
 def budgets(leaves: DataFrame, total: Column, weights: dict, max_epochs: int) -> DataFrame:
     """leaves (_domain, _language, _source, _tokens) with _budget, the tokens that each may take."""
-    nodes = leaves.withColumn("_cap", F.col("_tokens") * max_epochs).withColumn("_budget", F.least(total, F.sum("_cap").over(Window.partitionBy(F.lit(0)))))
+    everything = leaves.agg(F.sum("_tokens")).first()[0] or 0
+    nodes = leaves.withColumn("_cap", F.col("_tokens") * max_epochs).withColumn("_budget", F.least(total, F.lit(everything * max_epochs).cast("long")))
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[: depth + 1])
         parent = path[:-1] or [F.lit(0)]
@@ -79,12 +81,13 @@ def _order(epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col("doc_id").cast("string")).cast("binary"))
 
 
-def mix(docs: DataFrame, domain: Column, weights: dict, seed: int, fraction: float = 1.0, max_epochs: int = 1) -> DataFrame:
+def mix(docs: DataFrame, domain: Column, weights: dict, seed: int, fraction: float = 1.0, max_epochs: int = 1, tokens: Column | None = None) -> DataFrame:
     """docs (doc_id, text, lang, source, ...) selected to the weights, with epoch, domain, n_tokens and
-    take_tokens; the budget is the fraction of all tokens."""
-    spark = docs.sparkSession
+    take_tokens; the budget is the fraction of all tokens. tokens: each document's number of tokens, its words where
+    none is given."""
     leaf = [domain.alias("_domain"), F.coalesce("lang", F.lit("")).alias("_language"), F.coalesce("source", F.lit("")).alias("_source")]
-    slim = materialize(docs.filter("doc_id is not null").select("doc_id", *leaf, n_tokens(F.col("text")).alias("_n")).filter("_n > 0"), "mix-docs")
+    count = (n_tokens(F.col("text")) if tokens is None else tokens).alias("_n")
+    slim = materialize(docs.filter("doc_id is not null").select("doc_id", *leaf, count).filter("_n > 0"), "mix-docs")
     stats = materialize(slim.groupBy(*LEVELS).agg(F.sum("_n").alias("_tokens"), F.count("*").alias("_rows")), "mix-leaves")
     facts = stats.agg(F.sum("_tokens").alias("t"), F.max("_rows").alias("m"), F.count("*").alias("k")).first()
     total = int(fraction * (facts["t"] or 0))
@@ -109,7 +112,8 @@ def mix(docs: DataFrame, domain: Column, weights: dict, seed: int, fraction: flo
     ends = ends.groupBy(*keys).agg(F.min(F.struct("_end", "_end_id", "_take")).alias("_e")).select(*keys, "_e.*")
     plan = materialize(plan.join(ends, keys, "left"), "mix-ends")
 
-    rows = docs.filter("doc_id is not null").select("*", *leaf, n_tokens(F.col("text")).alias("_n")).filter("_n > 0").join(small(plan), keys)
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    rows = docs.filter("doc_id is not null").select("doc_id", every, *leaf, count).filter("_n > 0").join(small(plan), keys)
     rows = rows.withColumn("_h", _order(F.col("_whole"), seed))
     before = (F.col("_h") < F.col("_end")) | ((F.col("_h") == F.col("_end")) & (F.col("doc_id") < F.col("_end_id")))
     ends_it = (F.col("_h") == F.col("_end")) & (F.col("doc_id") == F.col("_end_id"))
@@ -118,12 +122,14 @@ def mix(docs: DataFrame, domain: Column, weights: dict, seed: int, fraction: flo
     full = F.when(F.col("_whole") > 0, full).otherwise(F.array().cast("array<struct<epoch:bigint,take_tokens:bigint>>"))
     part = F.when(take.isNotNull(), F.array(F.struct(F.col("_whole").alias("epoch"), take.alias("take_tokens")))).otherwise(F.array().cast("array<struct<epoch:bigint,take_tokens:bigint>>"))
     chosen = rows.withColumn("_x", F.explode(F.concat(full, part)))
-    return chosen.select(*docs.columns, F.col("_x.epoch").alias("epoch"), F.col("_domain").alias("domain"), F.col("_n").alias("n_tokens"), F.col("_x.take_tokens").alias("take_tokens"))
+    out = {"epoch": F.col("_x.epoch"), "domain": F.col("_domain"), "n_tokens": F.col("_n"), "take_tokens": F.col("_x.take_tokens")}
+    return chosen.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in out), *(c.alias(k) for k, c in out.items()))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    chosen = mix(docs, domain_of(F.col("source"), DOMAINS, OTHER_DOMAIN), WEIGHTS, SEED, FRACTION, EPOCHS)
+    docs = read(spark, sf_dir, "documents")
+    counted = materialize(docs.select("doc_id", "lang", "source", n_tokens(F.col("text")).alias("words")), "mix-words")  # each text is read once
+    chosen = mix(counted, domain_of(F.col("source"), DOMAINS, OTHER_DOMAIN), WEIGHTS, SEED, FRACTION, EPOCHS, F.col("words"))
     return chosen.select("doc_id", "epoch", "domain", "lang", "source", "n_tokens", "take_tokens")
 
 
