@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .reliability import decision, refine, reliability
+from .reliability import decision, reliability, shares
 
 
 def run(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -13,15 +13,16 @@ def run(first: DataFrame, second: DataFrame) -> DataFrame:
 
     first and second are the evidence of two retrievals. Four scores are all it can need: of each set as it is and
     refined. REFINE keeps the items that share terms with the question (none left: refused) and judges again; a
-    second REFINE generates. RE-RETRIEVE goes to the second set once; REJECT, and RE-RETRIEVE for the second time,
+    second REFINE generates. All four come from one pass over the evidence. RE-RETRIEVE goes to the second set once; REJECT, and RE-RETRIEVE for the second time,
     refuse.
     """
-    def score(evidence: DataFrame, name: str) -> DataFrame:
-        return reliability(evidence).select("query_id", F.col("overall").alias(name))
-
-    rows = first.select("query_id").distinct()
-    for evidence, name in ((first, "s1"), (refine(first), "r1"), (second, "s2"), (refine(second), "r2")):
-        rows = rows.join(score(evidence, name), "query_id", "left")
+    names = {"first": ("s1", "r1"), "second": ("s2", "r2")}
+    columns = ["query_id", "rank", "question", "chunk", "authority", "cosine"]
+    sets = first.select(*columns, F.lit("first").alias("of")).unionByName(second.select(*columns, F.lit("second").alias("of")))
+    whole, left = (F.when(F.col("of") == "first", names["first"][i]).otherwise(names["second"][i]) for i in (0, 1))
+    sets = sets.withColumn("set", F.explode(F.when(shares(F.col("question"), F.col("chunk")), F.array(whole, left)).otherwise(F.array(whole))))
+    scored = reliability(sets, by=("query_id", "set"))
+    rows = scored.groupBy("query_id").agg(*(F.max(F.when(F.col("set") == c, F.col("overall"))).alias(c) for c in ("s1", "r1", "s2", "r2")))
     d = {c: decision(F.col(c)) for c in ("s1", "r1", "s2", "r2")}
     empty1, empty2 = F.col("r1").isNull(), F.col("r2").isNull()
     refined1 = d["s1"] == "REFINE"

@@ -3,40 +3,69 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Rows of terms up to which they are broadcast (some 30 bytes each).
+FEW = 500_000
 #: Vectors of one block.
 BLOCK = 1024
 
 
-def postings(docs: DataFrame, key: str, tokens: Column) -> dict[str, DataFrame]:
-    """The lexical index: postings (term, key, tf, dl), stats (term, df, idf) and shape (n, avgdl), one row.
+@dataclass
+class Index:
+    """A lexical index: rows (key, dl, terms) and stats (term, df, idf) as tables, the number of rows and their mean length."""
+
+    key: str
+    rows: DataFrame
+    stats: DataFrame
+    n: int
+    avgdl: float
+
+
+def write_index(docs: DataFrame, key: str, tokens: Column, path: str) -> None:
+    """The index of docs as tables under path. Each text is cut into terms once; document frequencies are combined
+    before the shuffle.
 
     A term in more than half of all documents has a negative inverse frequency, for which EPSILON times the mean stands.
     """
-    words = docs.select(key, F.explode(tokens).alias("term"))
-    tf = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    dl = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
-    shape = docs.agg(F.count("*").cast("double").alias("n")).crossJoin(dl.agg(F.sum("dl").alias("total"))).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(shape.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))  # one row
-    stats = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return {"postings": tf.join(dl, key), "stats": stats, "shape": shape}
-
-
-def bm25(index: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
-    """Scores of asked (query_id, term), repeated terms counted as often: only postings of asked terms are read."""
-    terms = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = index["postings"].join(terms, "term").join(index["stats"], "term").crossJoin(F.broadcast(index["shape"]))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    key = next(c for c in index["postings"].columns if c not in ("term", "tf", "dl"))
-    return hits.groupBy("query_id", key).agg(F.round(F.sum(part), 9).alias("score"))
+    docs.select(F.col(key), tokens.alias("terms")).select(key, F.size("terms").cast("long").alias("dl"), "terms").write.parquet(f"{path}/rows")
+    rows = docs.sparkSession.read.parquet(f"{path}/rows")
+    shape = rows.agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).first()
+    df = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.withColumn("raw", F.log(F.lit(float(shape["n"])) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw.write.parquet(f"{path}/raw")
+    raw = docs.sparkSession.read.parquet(f"{path}/raw")
+    low = raw.agg(F.avg("raw")).first()[0] or 0.0
+    raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(low * EPSILON)).otherwise(F.col("raw")).alias("idf")).write.parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, key: str, path: str) -> Index:
+    rows, stats = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/stats")
+    shape = rows.agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).first()
+    return Index(key, rows, stats, shape["n"], (shape["dl"] or 0) / max(1, shape["n"]))
+
+
+def bm25(index: Index, asked: DataFrame) -> DataFrame:
+    """Scores of asked (query_id, term), repeated terms counted as often. Only occurrences of asked terms are shuffled:
+    the asked terms with their statistics are sent to the index's rows where they are few, and joined by shuffle
+    beyond FEW."""
+    terms = storage.written(asked.groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
+    wanted = storage.written(terms.select("term").distinct().join(index.stats.select("term", "idf"), "term"), "wanted")
+    few = wanted.count() <= FEW
+    hits = index.rows.select(index.key, "dl", F.explode("terms").alias("term")).join(F.broadcast(wanted) if few else wanted, "term")
+    tf = hits.groupBy(index.key, "dl", "term", "idf").agg(F.count("*").alias("tf"))
+    share = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
+    weighed = tf.select(index.key, "term", share.alias("share"))
+    found = weighed.join(F.broadcast(terms) if few and terms.count() <= FEW else terms, "term")
+    return found.groupBy("query_id", index.key).agg(F.round(F.sum(F.col("times") * F.col("share")), 9).alias("score"))
 
 
 def _blocks(rows: DataFrame, key: str, vector: str, name: str) -> DataFrame:
@@ -97,14 +126,27 @@ def first_hits(found: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def metrics(found: DataFrame, gold: DataFrame, ks: list[int], at: int = 5) -> DataFrame:
-    """Recall at ks (as hit rates), MRR, two forms of nDCG and precision, averaged over questions with gold."""
+    """Hit rates and recall at ks, MRR, MAP, two forms of nDCG and precision, averaged over questions with gold."""
     hits = found.join(gold, ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(
-        F.min("rank").alias("r"), F.count_if(F.col("rank") <= at).alias("n_at"), F.sum(F.when(F.col("rank") <= at, 1.0 / (F.col("rank") + 1))).alias("gain"),
+        F.min("rank").alias("r"), F.array_sort(F.collect_list("rank")).alias("ranks"), F.count_if(F.col("rank") <= at).alias("n_at"), F.sum(F.when(F.col("rank") <= at, 1.0 / (F.col("rank") + 1))).alias("gain"),
     )
     rows = gold.groupBy("query_id").agg(F.count("*").alias("gold")).join(hits, "query_id", "left")
     ideal = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(F.lit(at), F.col("gold"))), F.lit(0.0), lambda s, i: s + 1.0 / (i + 1))
+    # the precision at each hit's rank; a question's found rows are few
+    precision = F.aggregate(F.transform("ranks", lambda x, i: (i + 1) / x), F.lit(0.0), lambda s, x: s + x)
     mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 6)
     return rows.agg(
         F.count("*").alias("questions"), *(mean((F.col("r") <= k).cast("double")).alias(f"recall_{k}") for k in ks), mean(1.0 / F.col("r")).alias("mrr"),
         mean(F.when(F.col("r") <= at, 1.0 / F.log2(F.col("r") + 1))).alias(f"ndcg_log2_{at}"), mean(F.col("gain") / ideal).alias(f"ndcg_harmonic_{at}"), mean(F.col("n_at") / float(at)).alias(f"precision_{at}"),
+        *(mean(F.size(F.filter("ranks", lambda x: x <= k)) / F.col("gold")).alias(f"share_{k}") for k in ks), mean(precision / F.col("gold")).alias("map"),
     )
+
+
+def source_accuracy(found: DataFrame, gold: DataFrame, sources: DataFrame) -> DataFrame:
+    """The share of questions with gold whose first answer comes from a gold document's source, by trimmed
+    lower-case name. sources: (chunk_id, source)."""
+    names = sources.select("chunk_id", F.lower(F.trim("source")).alias("name"))
+    right = gold.join(names, "chunk_id").select("query_id", "name").distinct()
+    first = found.filter("rank = 1").join(names, "chunk_id").join(right, ["query_id", "name"], "left_semi").select("query_id", F.lit(1).alias("hit"))
+    rows = gold.select("query_id").distinct().join(first, "query_id", "left")
+    return rows.agg(F.count("*").alias("questions"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("source_accuracy"))

@@ -43,28 +43,32 @@ def opposition(left: Column, right: Column) -> Column:
     return out
 
 
-def conflicts(evidence: DataFrame) -> DataFrame:
+def conflicts(evidence: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Each pair of a question's items (a few per question), and whether the two conflict."""
-    rows = evidence.select("query_id", "rank", "chunk", F.array_distinct(terms(F.col("chunk"))).alias("t"))
-    a = rows.select("query_id", F.col("rank").alias("left_rank"), F.col("chunk").alias("lc"), F.col("t").alias("lt"))
-    b = rows.select("query_id", F.col("rank").alias("right_rank"), F.col("chunk").alias("rc"), F.col("t").alias("rt"))
-    pairs = a.join(b, "query_id").filter("left_rank < right_rank")
-    both = opposition(F.col("lc"), F.col("rc")) & (F.size(F.array_intersect("lt", "rt")) >= 3)
-    return pairs.select("query_id", "left_rank", "right_rank", both.alias("conflict"))
+    rows = evidence.select(*by, F.struct("rank", "chunk", F.array_distinct(terms(F.col("chunk"))).alias("t")).alias("x"))
+    items = rows.groupBy(*by).agg(F.array_sort(F.collect_list("x")).alias("items"))
 
+    def pair(x: Column, y: Column) -> Column:
+        both = opposition(x["chunk"], y["chunk"]) & (F.size(F.array_intersect(x["t"], y["t"])) >= 3)
+        return F.struct(x["rank"].alias("left_rank"), y["rank"].alias("right_rank"), both.alias("conflict"))
 
-def reliability(evidence: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(query_id, five dimensions, overall) of evidence (query_id, rank, question, chunk, authority, cosine)."""
+    after = lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: pair(x, y))
+    return items.select(*by, F.inline(F.flatten(F.transform("items", after))))
+
+
+def reliability(evidence: DataFrame, weights: dict[str, float] = WEIGHTS, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """(query_id, five dimensions, overall) of evidence (query_id, rank, question, chunk, authority, cosine); by names more
+    keys where one question has several sets."""
     check_weights(weights)
-    pairs = conflicts(evidence).groupBy("query_id").agg(F.count_if("conflict").alias("c"), F.count("*").alias("p"))
+    pairs = conflicts(evidence, by).groupBy(*by).agg(F.count_if("conflict").alias("c"), F.count("*").alias("p"))
     rows = evidence.withColumn("qt", F.array_distinct(terms(F.col("question")))).withColumn("hit", F.array_intersect("qt", F.array_distinct(terms(F.col("chunk")))))
-    out = rows.groupBy("query_id").agg(
+    out = rows.groupBy(*by).agg(
         F.avg(clamp(F.col("authority"))).alias("a"), F.avg(clamp((F.col("cosine") + 1) / 2)).alias("r"), F.avg((F.size("hit") >= SHARED).cast("double")).alias("s"),
         F.max(F.size("qt")).alias("nq"), F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("nh"),
-    ).join(pairs, "query_id", "left")
+    ).join(pairs, list(by), "left")
     asked = F.col("nq") > 0
     out = out.select(
-        "query_id", F.round("a", 6).alias("authority"), F.round("r", 6).alias("relevance"), F.round(F.when(asked, F.col("s")).otherwise(F.col("r")), 6).alias("support"),
+        *by, F.round("a", 6).alias("authority"), F.round("r", 6).alias("relevance"), F.round(F.when(asked, F.col("s")).otherwise(F.col("r")), 6).alias("support"),
         F.round(F.when(asked, F.col("nh") / F.col("nq")).otherwise(F.col("r")), 6).alias("coverage"), F.round(1.0 - F.coalesce(F.col("c") / F.col("p"), F.lit(0.0)), 6).alias("consistency"),
     )
     total = None
@@ -80,7 +84,11 @@ def decision(score: Column) -> Column:
     return F.when(score.isNull(), "REJECT").otherwise(out)
 
 
+def shares(question: Column, chunk: Column) -> Column:
+    """Whether a text shares SHARED terms or more with the question."""
+    return F.size(F.array_intersect(F.array_distinct(terms(question)), F.array_distinct(terms(chunk)))) >= SHARED
+
+
 def refine(evidence: DataFrame) -> DataFrame:
     """Items that share SHARED terms or more with the question."""
-    both = F.array_intersect(F.array_distinct(terms(F.col("question"))), F.array_distinct(terms(F.col("chunk"))))
-    return evidence.filter(F.size(both) >= SHARED)
+    return evidence.filter(shares(F.col("question"), F.col("chunk")))

@@ -1,8 +1,8 @@
 """Retrieval and gating: BM25, dense search, fusion, rerank, reliability, decisions, gate and ranking metrics.
 
-Questions are all of the benchmark's passages, whole; dense searches are all vectors whose id is divisible by 20; what is indexed are all word windows of each document (J8), and a document
-ranks by its best window. Gold are the documents that hold the passage's first line. The SQL below still cuts each
-document at 60 words and asks 40 cut passages and 20 vectors, so it states less than the queries.
+Questions are all of the benchmark's passages, whole; dense searches are all vectors whose id is divisible by 20; what is
+indexed are all word windows of each document (J8), and a document ranks by its best window. Gold are the documents
+that hold the whole passage, word by word. The SQL states the same over the same rows.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as X
 from ..operators import chunking, gate, ranking, reliability
 from ..tables import load
@@ -17,8 +18,8 @@ from ..tables import load
 TOP = 5
 #: Every vector whose id is divisible by this is a dense search.
 EVERY = 20
-#: The bounds that the SQL still has.
-QUESTIONS, SEARCHES = 40, 20
+#: Words of a passage's beginning by which documents that may hold it are found.
+LEAD = 8
 
 
 def _chunks(spark, sf) -> DataFrame:
@@ -33,17 +34,19 @@ def _questions(spark, sf) -> DataFrame:
     return load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _index(spark, sf) -> dict[str, DataFrame]:
-    return ranking.postings(_chunks(spark, sf), "passage", X.terms(F.col("text")))
+def _index(spark, sf) -> ranking.Index:
+    path = storage.folder(spark, "index")
+    ranking.write_index(_chunks(spark, sf), "passage", X.terms(F.col("text")), path)
+    return ranking.read_index(spark, "passage", path)
 
 
 def _sparse(spark, sf, k: int) -> DataFrame:
-    """The k best documents of each question, each by its best window (the earliest of equals)."""
+    """The k best documents of each question, each by its best window (the earliest of equals); written once."""
     asked = _questions(spark, sf).select("query_id", F.explode(X.terms(F.col("text"))).alias("term"))
     scored = ranking.bm25(_index(spark, sf), asked)
     best = scored.groupBy("query_id", F.col("passage.chunk_id").alias("chunk_id")).agg(F.max(F.struct("score", (-F.col("passage.window")).alias("at"))).alias("b"))
     rows = best.select("query_id", "chunk_id", F.col("b.score").alias("score"), (-F.col("b.at")).alias("window"))
-    return ranking.top_k(rows, "query_id", "score", "chunk_id", k)
+    return storage.written(ranking.top_k(rows, "query_id", "score", "chunk_id", k), "sparse")
 
 
 def _dense(spark, sf, k: int) -> DataFrame:
@@ -58,8 +61,8 @@ def j1_bm25(spark, sf):
 
 
 def a14_index(spark, sf):
-    """The lexical index as tables: document frequency and inverse frequency of each term."""
-    return _index(spark, sf)["stats"].select("term", "df", F.round("idf", 6).alias("idf"))
+    """The lexical index written and reread: document frequency and inverse frequency of each term."""
+    return _index(spark, sf).stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def j2_dense(spark, sf):
@@ -88,13 +91,14 @@ def j3_hybrid(spark, sf):
 
 def _evidence(spark, sf) -> DataFrame:
     """The sparse top five with their best windows' texts, authority and a cosine stand-in in [-1, 1]."""
-    found = _sparse(spark, sf, TOP)
+    found = _sparse(spark, sf, TOP)  # a few rows per question, read with their windows only
     label = X.authority(F.when(F.col("chunk_id") % 4 == 0, "World Health Organization").when(F.col("chunk_id") % 4 == 1, "").otherwise(F.col("source")), F.lit(""))
     chunks = _chunks(spark, sf).select("chunk_id", F.col("passage.window").alias("window"), F.col("text").alias("chunk"))
     sources = load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
     rows = found.join(chunks, ["chunk_id", "window"]).join(sources, "chunk_id").join(_questions(spark, sf).withColumnRenamed("text", "question"), "query_id")
     most = F.max("score").over(Window.partitionBy("query_id"))
-    return rows.select("query_id", "rank", "chunk_id", "question", "chunk", "source", X.authority_score(label).alias("authority"), F.round(F.col("score") / most * 2 - 1, 6).alias("cosine"))
+    rows = rows.select("query_id", "rank", "chunk_id", "question", "chunk", "source", X.authority_score(label).alias("authority"), F.round(F.col("score") / most * 2 - 1, 6).alias("cosine"))
+    return storage.written(rows, "evidence")
 
 
 def j4_rerank(spark, sf):
@@ -138,7 +142,7 @@ def j13_decision(spark, sf):
 
 
 def j14_gate(spark, sf):
-    first = _told(spark, sf)
+    first = _told(spark, sf)  # written once
     second = first.filter("rank <= 2").withColumn("authority", F.lit(1.0)).withColumn("cosine", F.lit(0.9))
     return gate.run(first, second)
 
@@ -147,11 +151,27 @@ def d21_decisions(spark, sf):
     return j14_gate(spark, sf).groupBy(F.concat_ws("->", "first_decision", "final_decision").alias("move")).agg(F.count("*").alias("n"), F.count_if("refused").alias("refused"))
 
 
+def _words(text):
+    return F.filter(F.split(F.lower(text), r"[ \n\t\r\f\x0B]+"), lambda w: w != "")
+
+
 def _gold(spark, sf) -> DataFrame:
-    """(query_id, chunk_id): documents that hold a passage's first line, which is the equi-key."""
-    q = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.split("text", "\n")[0].alias("line"))
-    lines = load(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    return lines.join(q, "line").select("query_id", "chunk_id")
+    """(query_id, chunk_id): documents that hold a passage word by word. Those that hold its first words are found by an
+    equi-join on them; each is then compared whole."""
+    q = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    q = q.select("query_id", F.least(F.lit(LEAD), F.size("w")).alias("n"), F.array_join(F.slice("w", 1, LEAD), " ").alias("lead"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("passage"))
+    d = load(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("chunk_id"), _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    short, long = q.filter(F.col("n") < LEAD), q.filter(F.col("n") == LEAD)
+    starts = F.sequence(F.lit(1), F.size("w"))
+    runs = d.select("chunk_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, LEAD), " "))).alias("lead"))
+    found = runs.join(long.select("lead", "query_id"), "lead").select("query_id", "chunk_id").distinct()
+    if not short.isEmpty():  # of passages of fewer words than LEAD, all their words are the key
+        sizes = F.array(*(F.lit(k) for k in range(1, LEAD)))
+        some = d.select("chunk_id", F.explode(F.flatten(F.transform(starts, lambda i: F.transform(sizes, lambda k: F.array_join(F.slice("w", i, k), " "))))).alias("lead"))
+        found = found.union(some.join(short.select("lead", "query_id"), "lead").select("query_id", "chunk_id").distinct())
+    whole = d.select("chunk_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("whole"))
+    held = storage.written(found, "candidates").join(q.select("query_id", "passage"), "query_id").join(whole, "chunk_id").filter(F.contains("whole", "passage"))
+    return storage.written(held.select("query_id", "chunk_id").distinct(), "gold")
 
 
 def c9_goldhit(spark, sf):
@@ -164,7 +184,9 @@ def e7_first_hit(spark, sf):
 
 
 def j15_ir(spark, sf):
-    return ranking.metrics(_sparse(spark, sf, 10), _gold(spark, sf), [1, 3, 5, 10])
+    found, gold = _sparse(spark, sf, 10), _gold(spark, sf)
+    sources = load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
+    return ranking.metrics(found, gold, [1, 3, 5, 10]).join(ranking.source_accuracy(found, gold, sources), "questions")
 
 
 def j16_taxonomy(spark, sf):
@@ -180,25 +202,26 @@ def j16_taxonomy(spark, sf):
 
 # SQL
 
-from .corpus import _TERMS  # noqa: E402
+from .corpus import _TERMS, _WORDS, _windows_sql  # noqa: E402
 
 _ST = "(" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
-_CH = "with ch as (select doc_id as chunk_id, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda w: w <> ''), 1, 60), ' ') as text, source from documents where text is not null)"
-_Q = f", q as (select item_id as query_id, text[1:200] as text from benchmark where item_id < {QUESTIONS})"
-_BM = _CH + _Q + f""", tk as (select chunk_id, unnest({_TERMS.format('text')}) as term from ch), tf as (select chunk_id, term, count(*) as tf from tk group by all), dl as (select chunk_id, sum(tf) as dl from tf group by 1),
+_CH = f"with d as (select * from documents where text is not null), wd as ({_windows_sql(180, 40)}), ch as (select wd.doc_id as chunk_id, wd.chunk_id as win, array_to_string(c, ' ') as text, source from wd join d using (doc_id))"
+_Q = ", q as (select item_id as query_id, text from benchmark)"
+_BM = _CH + _Q + f""", tk as (select chunk_id, win, unnest({_TERMS.format('text')}) as term from ch), tf as (select chunk_id, win, term, count(*) as tf from tk group by all), dl as (select chunk_id, win, sum(tf) as dl from tf group by all),
   nn as (select count(*)::double as n, (select sum(dl) from dl) / count(*)::double as avgdl from ch), df as (select term, count(*) as df from tf group by 1),
   i0 as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, nn), id as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from i0) else raw end as idf from i0),
   qt as (select query_id, term, count(*) as times from (select query_id, unnest({_TERMS.format('text')}) as term from q) group by all),
-  sc as (select query_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) as score from qt join tf using (term) join id using (term) join dl using (chunk_id), nn group by all),
-  sp as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from sc qualify rank <= 10)"""
+  sc as (select query_id, chunk_id, win, round(sum(times * (idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 9) as score from qt join tf using (term) join id using (term) join dl using (chunk_id, win), nn group by all),
+  bw as (select * from sc qualify row_number() over (partition by query_id, chunk_id order by score desc, win) = 1),
+  sp as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from bw qualify rank <= 10)"""
 _DN = f""", dn as (select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (select a.vec_id as query_id, b.vec_id as chunk_id,
-  round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) as score from embeddings a join embeddings b on a.vec_id < {SEARCHES})) where rank <= 10)"""
+  round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) as score from embeddings a join embeddings b on a.vec_id % {EVERY} = 0)) where rank <= 10)"""
 _FU = _BM + _DN + """, fu as (select coalesce(d.query_id, s.query_id) as query_id, coalesce(d.chunk_id, s.chunk_id) as chunk_id, coalesce(d.n, 0.0) as dense, coalesce(s.n, 0.0) as sparse
   from (select *, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0.0 end as n from dn) d
   full join (select *, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0.0 end as n from sp) s on d.query_id = s.query_id and d.chunk_id = s.chunk_id)"""
 _EV = _BM + """, ev0 as (select sp.query_id, cast(sp.rank as integer) as rank, sp.chunk_id, q.text as question, ch.text as chunk, ch.source, score,
     case when sp.chunk_id % 4 = 0 then 1.0 when sp.chunk_id % 4 = 1 then 0.5 when length(ch.source) > 0 then 0.85 else 0.5 end::double as authority
-    from sp join ch using (chunk_id) join q using (query_id) where sp.rank <= 5),
+    from sp join ch using (chunk_id, win) join q using (query_id) where sp.rank <= 5),
   ev as (select *, round(score / max(score) over (partition by query_id) * 2 - 1, 6) as cosine from ev0)"""
 _TO = _EV + """, tl as (select * replace (case when query_id % 3 = 0 then chunk || case when rank % 2 = 0 then ' this should be done always by everyone' else ' this should not be done ever by everyone' end else chunk end as chunk) from ev)"""
 
@@ -219,7 +242,8 @@ _RL = f""", cf as (select a.query_id, count(*) as pairs, count(*) filter ({_oppo
     round(1.0 - coalesce(conflicts / pairs::double, 0.0), 6) as consistency from ag left join cf using (query_id)),
   jd as (select *, round(0.3::double * authority + 0.3::double * relevance + 0.2::double * support + 0.1::double * coverage + 0.1::double * consistency, 6) as overall from rl)"""
 _DECIDE = "case when {0} >= 0.8 then 'ACCEPT' when {0} >= 0.65 then 'REFINE' when {0} >= 0.45 then 'RE-RETRIEVE' else 'REJECT' end"
-_GO = f", g as (select distinct d.doc_id as chunk_id, b.item_id as query_id from benchmark b join (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null) d on d.line = string_split(b.text, chr(10))[1] where b.item_id < {QUESTIONS})"
+_NORM = f"' ' || array_to_string({_WORDS.replace('text', 'lower(text)')}, ' ') || ' '"
+_GO = f", bn as (select item_id as query_id, {_NORM} as p from benchmark where len({_WORDS}) > 0), dw as (select doc_id as chunk_id, {_NORM} as t from documents where text is not null), g as (select query_id, chunk_id from bn join dw on contains(t, p))"
 _HI = _BM + _GO + ", hi as (select query_id, min(rank) as r from sp join g using (query_id, chunk_id) group by 1), aq as (select query_id, count(*) as gold from g group by 1), al as (select aq.query_id, gold, r from aq left join hi using (query_id))"
 SQL = {
     "j1_bm25": _BM + " select query_id, cast(rank as integer) as rank, chunk_id, round(score, 6) as score from sp",
@@ -238,8 +262,23 @@ SQL = {
     "e7_first_hit": _HI + " select query_id, gold, cast(r as integer) as first_rank, round(coalesce(1.0::double / r, 0.0), 6) as reciprocal from al",
     "j15_ir": _HI + """ select count(*) as questions, """ + ", ".join(f"round(avg(case when r <= {k} then 1.0 else 0.0 end), 6) as recall_{k}" for k in (1, 3, 5, 10)) + """, round(avg(coalesce(1.0::double / r, 0.0)), 6) as mrr, round(avg(coalesce(case when r <= 5 then 1.0::double / log2(r + 1) end, 0.0)), 6) as ndcg_log2_5,
       round(avg(coalesce((select sum(1.0::double / (rank + 1)) from sp join g using (query_id, chunk_id) where query_id = al.query_id and rank <= 5), 0.0) / (select sum(1.0::double / (i + 1)) from (select unnest(generate_series(1, least(5, gold))) as i))), 6) as ndcg_harmonic_5,
-      round(avg((select count(*) from sp join g using (query_id, chunk_id) where query_id = al.query_id and rank <= 5) / 5.0::double), 6) as precision_5 from al""",
+      round(avg((select count(*) from sp join g using (query_id, chunk_id) where query_id = al.query_id and rank <= 5) / 5.0::double), 6) as precision_5,
+      """ + ", ".join(f"round(avg((select count(*) from sp join g using (query_id, chunk_id) where query_id = al.query_id and rank <= {k}) / gold::double), 6) as share_{k}" for k in (1, 3, 5, 10)) + """,
+      round(avg(coalesce((select sum(i / rank::double) from (select query_id, rank, row_number() over (partition by query_id order by rank) as i from sp join g using (query_id, chunk_id)) where query_id = al.query_id), 0.0) / gold), 6) as map,
+      round(avg(case when exists (select 1 from sp join documents a on a.doc_id = sp.chunk_id join g on g.query_id = sp.query_id join documents b on b.doc_id = g.chunk_id where sp.query_id = al.query_id and sp.rank = 1 and lower(trim(a.source)) = lower(trim(b.source))) then 1.0 else 0.0 end), 6) as source_accuracy from al""",
     "j16_taxonomy": _HI + " select query_id, cast(h as integer) as hits, case when h >= 3 then 'A' when h >= 1 then 'B' else 'C' end as class from (select query_id, " + " + ".join(f"case when r <= {k} then 1 else 0 end" for k in (1, 3, 5, 10)) + " as h from al)",
 }
-_PLAIN = ["j14_gate", "d21_decisions"]
-QUERIES = {name: globals()[name] for name in [*SQL, *_PLAIN]}
+_SETS = _TO + f""", two as (select *, 's1' as k from tl union all select * replace (1.0 as authority, 0.9 as cosine), 's2' as k from tl where rank <= 2),
+  more as (select * from two union all select * replace (replace(k, 's', 'r') as k) from two where len(list_intersect({_TT.format('question')}, {_TT.format('chunk')})) >= 2),
+  four as (select * exclude (query_id), query_id || ' ' || k as query_id from more)"""
+_GATE = _SETS + _RL.replace("{src}", "four") + f""", sc4 as (select cast(string_split(query_id, ' ')[1] as bigint) as query_id, string_split(query_id, ' ')[2] as k, overall from jd),
+  pv as (select query_id, {", ".join(f"max(overall) filter (k = '{k}') as {k}" for k in ("s1", "r1", "s2", "r2"))} from sc4 group by 1),
+  de as (select query_id, r1 is null as e1, r2 is null as e2, {", ".join(f"{_DECIDE.format(k)} as d{k}" for k in ("s1", "r1", "s2", "r2"))} from pv),
+  st as (select *, ds1 = 'REFINE' as refined1, ds1 = 'RE-RETRIEVE' or (ds1 = 'REFINE' and not e1 and dr1 = 'RE-RETRIEVE') as again,
+    case when ds1 = 'REFINE' then case when e1 then 'REFUSED' else dr1 end else ds1 end as after1 from de),
+  s3 as (select *, again and not refined1 and ds2 = 'REFINE' as refined2 from st), s4 as (select *, case when again then case when refined2 then case when e2 then 'REFUSED' else dr2 end else ds2 end else after1 end as final from s3),
+  gt as (select query_id, ds1 as first_decision, final as final_decision, case when again then 2 else 1 end as retrievals, case when refined1 or refined2 then 1 else 0 end as refinements, final in ('REFUSED', 'REJECT', 'RE-RETRIEVE') as refused,
+    case final when 'REFUSED' then 'REFINE_EMPTY' when 'REJECT' then 'REJECTED' when 'RE-RETRIEVE' then 'RETRIEVAL_BUDGET' else '' end as why from s4)"""
+SQL["j14_gate"] = _GATE + " select * from gt"
+SQL["d21_decisions"] = _GATE + " select first_decision || '->' || final_decision as move, count(*) as n, count(*) filter (refused) as refused from gt group by 1"
+QUERIES = {name: globals()[name] for name in SQL}

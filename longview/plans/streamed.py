@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..streaming import windows as W
 
 
 def _folder(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/longview'}/stream-{uuid.uuid4().hex}"
+    return storage.folder(spark, "stream")
 
 
 def _events(spark, sf):
