@@ -49,27 +49,38 @@ def spine(events: DataFrame) -> DataFrame:
     return rows.select("entity", "window_start", *(F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS), F.col("total").isNotNull().alias("has_data"))
 
 
-def percentile_ranks(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
-    """rows' keys with p_<feature>: (number of values up to one's own - 1) / (n - 1), 0 where n is 1.
+def _ranked(rows: DataFrame, keys: list[str], features: list[str], rank, constant: tuple[str, ...] | list[str]) -> DataFrame:
+    """rows' keys with p_<feature>, rank of (number of values up to one's own, number of rows).
 
     A histogram of each feature's values with a running sum stands in for sorting the population, so no
-    partition holds more than a feature's distinct values.
+    partition holds more than a feature's distinct values. Features that have one value for all rows need no join.
     """
     pairs = ", ".join(f"'{f}', cast({f} as double)" for f in features)
     long = rows.selectExpr(*keys, f"stack({len(features)}, {pairs}) as (feature, v)")
     hist = long.groupBy("feature", "v").agg(F.count("*").alias("n"))
     by = Window.partitionBy("feature")
     total, upto = F.sum("n").over(by), F.sum("n").over(by.orderBy("v"))
-    ranked = hist.select("feature", "v", F.when(total > 1, (upto - 1).cast("double") / (total - 1)).otherwise(F.lit(0.0)).alias("p"))
+    ranked = hist.select("feature", "v", rank(upto, total).alias("p"), rank(total, total).alias("all"))
     wide = [F.max(F.when(F.col("feature") == f, F.col("p"))).alias(f"p_{f}") for f in features]
-    return long.join(ranked, ["feature", "v"]).groupBy(*keys).agg(*wide)
+    return long.join(ranked, ["feature", "v"]).groupBy(*keys).agg(*wide, *(F.max("all").alias(f"p_{f}") for f in constant))
+
+
+def percentile_ranks(rows: DataFrame, keys: list[str], features: list[str], constant: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """rows' keys with p_<feature>: (number of values up to one's own - 1) / (n - 1), 0 where n is 1; constant names
+    features that have one value for all rows."""
+    return _ranked(rows, keys, features, lambda upto, n: F.when(n > 1, (upto - 1).cast("double") / (n - 1)).otherwise(F.lit(0.0)), constant)
+
+
+def percentile_points(rows: DataFrame, keys: list[str], features: list[str], constant: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """The same ranks in whole ten-thousandths, rounded half up."""
+    return _ranked(rows, keys, features, lambda upto, n: F.when(n > 1, F.floor(((upto - 1) * 20000 + n - 1) / (2 * (n - 1)))).otherwise(0).cast("long"), constant)
 
 
 def scored(windows: DataFrame) -> DataFrame:
     """Windows with the eight dimensions, overall score and state; NO_DATA and null scores where nothing is documented."""
     keys = ["entity", "window_start"]
     active = windows.filter("has_data")
-    ranks = percentile_ranks(active, keys, list(COUNTS))
+    ranks = percentile_ranks(active, keys, [c for c in COUNTS if c not in ABSENT], ABSENT)
     dims = ranks.select(*keys, *(F.round(clamp(_sum(parts)), 4).alias(name) for name, parts in DIMENSIONS.items()))
     dims = dims.withColumn("overall_score", weighted(OVERALL))
     out = windows.join(dims, keys, "left")

@@ -57,7 +57,7 @@ def b20_classify(spark, sf):
 
 
 def b21_license(spark, sf):
-    t = F.concat_ws(" ", F.when(F.col("doc_id") % 3 == 0, "Creative Commons BY").when(F.col("doc_id") % 3 == 1, "https://creativecommons.org/licenses/by-nc/4.0"), F.substring("text", -60, 60))
+    t = F.concat_ws(" ", F.when(F.col("doc_id") % 3 == 0, "Creative Commons BY").when(F.col("doc_id") % 3 == 1, "https://creativecommons.org/licenses/by-nc/4.0"), F.col("text"))
     return _docs(spark, sf).select("doc_id", X.license_category(t).alias("category"))
 
 
@@ -91,7 +91,7 @@ def _passages(spark, sf):
 
 
 def b26_fuzzy(spark, sf):
-    """A passage's terms that have a fuzzy equal among the whole text's; the SQL below still reads its first 200 terms."""
+    """A passage's terms that have a fuzzy equal among the whole text's."""
     rows = _passages(spark, sf)
     return rows.select("item_id", X.fuzzy_share(X.terms(F.col("span")), F.array_distinct(X.terms(F.col("text")))).cast("long").alias("matches"))
 
@@ -130,8 +130,7 @@ def b31_answer(spark, sf):
 
 
 def b32_prompt(spark, sf):
-    """Each conversation as numbered lines with whole messages in order, the last user message apart. The SQL below
-    still cuts each message at 80 characters."""
+    """Each conversation as numbered lines with whole messages in order, the last user message apart."""
     rows = load(spark, sf, "conversations").filter("text is not null")
     lines = F.array_sort(F.collect_list(F.struct("turn", F.format_string("[%d] %s: %s", F.col("turn"), F.col("role"), F.col("text")).alias("line"))))
     last = F.max_by("text", F.when(F.col("role") == "user", F.col("turn")))
@@ -189,8 +188,7 @@ def d25_coverage(spark, sf):
 
 
 def c7_neardup(spark, sf):
-    """Pairs of passages and whole documents whose term sets overlap by 0.6 or more, by a prefix filter. The SQL below
-    still reads last lines of three terms or more."""
+    """Pairs of passages and whole documents whose term sets overlap by 0.6 or more, by a prefix filter."""
     b = load(spark, sf, "benchmark").select(F.col("item_id").alias("id"), X.terms(F.col("text")).alias("tokens"))
     d = _docs(spark, sf).select((F.col("doc_id") + 1000000).alias("id"), X.terms(F.col("text")).alias("tokens"))
     return similarity.jaccard_pairs(b.union(d), 0.6)
@@ -242,17 +240,17 @@ SQL = {
     "b17_tags": "with b as (select page_id, html, trim(regexp_replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '&copy;', '©'), '[ \\n\\t]+', ' ', 'g'), ' ') as t from pages) select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, length(t) as chars, md5(t) as digest from b",
     "b18_tokens": _D + f" select doc_id, len({_WORDS}) as words, len({_TERMS.format('text')}) as terms, len({_CONTENT.format('text')}) as content, len({_SPECIFIC.format('text')}) as specific, len(regexp_extract_all(lower(text), '[a-z'']+')) as letters from d",
     "b20_classify": _D + f" select doc_id, {_classes_sql()} from d",
-    "b21_license": _D + ", l as (select doc_id, lower(concat_ws(' ', case doc_id % 3 when 0 then 'Creative Commons BY' when 1 then 'https://creativecommons.org/licenses/by-nc/4.0' end, right(text, 60))) as t from d) select doc_id, case when (contains(t, 'creative commons') or contains(t, 'cc0') or contains(t, 'cc-by') or contains(t, 'cc by') or contains(t, 'creativecommons')) then case when contains(t, '-nc') or contains(t, '-nd') or contains(t, 'noncommercial') or contains(t, 'noderiv') then 'RESTRICTED' else 'PERMISSIVE' end else 'UNKNOWN' end as category from l",
+    "b21_license": _D + ", l as (select doc_id, lower(concat_ws(' ', case doc_id % 3 when 0 then 'Creative Commons BY' when 1 then 'https://creativecommons.org/licenses/by-nc/4.0' end, text)) as t from d) select doc_id, case when (contains(t, 'creative commons') or contains(t, 'cc0') or contains(t, 'cc-by') or contains(t, 'cc by') or contains(t, 'creativecommons')) then case when contains(t, '-nc') or contains(t, '-nd') or contains(t, 'noncommercial') or contains(t, 'noderiv') then 'RESTRICTED' else 'PERMISSIVE' end else 'UNKNOWN' end as category from l",
     "b22_authority": _D + ", n as (select doc_id, text, case doc_id % 5 when 0 then 'World Health Organization' when 1 then 'www.cdc.gov' when 2 then '' else source end as name from d), s as (select doc_id, name, lower(name || ' ' || text[1:2000]) as s from n), l as (select doc_id, case when contains(s, 'world health organization') then 'WHO' when contains(s, 'national institute on aging') then 'NIA' when contains(s, 'national institutes of health') then 'NIH' when contains(s, 'centers for disease control') then 'CDC' when contains(s, '.gov') or contains(s, 'government') then 'GOVERNMENT' when len(name) > 0 then 'OTHER' else 'UNKNOWN' end as authority from s) select doc_id, authority, case authority when 'WHO' then 1.0 when 'NIA' then 0.95 when 'NIH' then 0.95 when 'CDC' then 0.95 when 'GOVERNMENT' then 0.9 when 'OTHER' then 0.85 else 0.5 end::double as score from l",
     "b23_topic": _D + f", s as ({_TOPIC}), k as (select *, row_number() over (partition by doc_id order by score desc, topic) as k, max(score) over (partition by doc_id) as most from s) select doc_id, topic, score from k where score >= 2 or (most < 2 and k = 1 and score >= 1)",
     "b24_longest": _D + ", w as (select doc_id, unnest(s) as word, unnest(range(len(s))) as i from (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as s from d)) select d.doc_id, coalesce(word, '') as word from d left join (select doc_id, word from w qualify row_number() over (partition by doc_id order by len(word) desc, i) = 1) using (doc_id)",
-    "b26_fuzzy": _PASSAGES + f", x as (select item_id, unnest({_TERMS.format('span')}) as x, {_TERMS.format('text')}[1:200] as ys from p) select p.item_id, count(x.x) filter (len(list_filter(ys, lambda y: {_MATCH})) > 0) as matches from p left join x using (item_id) group by 1",
+    "b26_fuzzy": _PASSAGES + f", x as (select item_id, unnest({_TERMS.format('span')}) as x, list_distinct({_TERMS.format('text')}) as ys from p) select p.item_id, count(x.x) filter (len(list_filter(ys, lambda y: {_MATCH})) > 0) as matches from p left join x using (item_id) group by 1",
     "b27_span_cov": _PASSAGES + f", t as (select item_id, {_CONTENT.format('span')} as s, {_CONTENT.format('text')} as e from p) select item_id, case when len(s) = 0 then 1.0 else round(len(list_filter(s, lambda w: list_contains(e, w))) / len(s)::double, 4) end as coverage from t",
     "b28_jaccard": _PASSAGES + f", t as (select item_id, list_distinct({_TERMS.format('span')}) as s, list_distinct({_TERMS.format('text')}) as e from p) select item_id, case when len(s) + len(e) > 0 then round(len(list_intersect(s, e)) / len(list_distinct(list_concat(s, e)))::double, 6) else 0.0 end as jaccard from t",
     "b29_locate": _D + ", n as (select doc_id, text, string_split(text, chr(10))[-1] as needle from d) select doc_id, case when needle = '' then 1 else instr(text, needle) end as at, 'RAW' as how from n",
     "b30_screen": _D + ", r as (select case when length(text) < 200 then 'TOO_SHORT' when len(string_split(text, ' ')) < 20 then 'FEW_WORDS' when len(string_split(text, ' ')) > 5000 then 'TOO_LONG' when length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(text)::double < 0.5 then 'FEW_LETTERS' when contains(text, '###') or contains(text, '%%%') then 'NOISE' when upper(text) = text then 'SHOUTING' when contains(text, '@') then 'HAS_ADDRESS' else 'PASS' end as reason from d) select reason, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (), 2) as pct from r group by 1",
     "b31_answer": "select conv_id, turn, trim(split_part(text, chr(10) || 'Sources:', 1)) as answer from conversations where text is not null",
-    "b32_prompt": "with c as (select * from conversations where text is not null) select conv_id, string_agg('[' || turn || '] ' || role || ': ' || text[1:80], chr(10) order by turn) as history, md5(max_by(text, turn) filter (role = 'user')) as question from c group by 1",
+    "b32_prompt": "with c as (select * from conversations where text is not null) select conv_id, string_agg('[' || turn || '] ' || role || ': ' || text, chr(10) order by turn) as history, md5(max_by(text, turn) filter (role = 'user')) as question from c group by 1",
     "b33_strip": "with c as (select page_id, case when instr(html, '<nav>') > 0 and instr(html, '</nav>') > instr(html, '<nav>') then left(html, instr(html, '<nav>') - 1) || substr(html, instr(html, '</nav>') + 6) end as t from pages) select page_id, length(t) as chars, md5(t) as digest from c",
     "b36_lists": "select p_partkey, array_to_string(list_filter(list_transform(string_split(p_name || ', ,' || p_type || ' ,', ','), lambda x: trim(x)), lambda x: x <> ''), '|') as items from part",
     "b37_language": "select case when lower(trim(upper(lang))) in ('ko', 'en') then lower(lang) else 'en' end as language, count(*) as n from documents group by 1",
@@ -261,7 +259,7 @@ SQL = {
     "j10_sweep": _D + " " + " union all ".join(f"select cast({s} as integer) as size, cast({o} as integer) as overlap, count(*) as chunks, round(avg(len(c)), 4) as mean_words, max(len(c)) as most_words from ({_windows_sql(s, o)})" for s, o in [(120, 30), (180, 40), (250, 50)]),
     "e9_numbering": _D + f", c as ({_windows_sql(180, 40)}) select doc_id, 'doc' || lpad(cast(doc_id as varchar), 6, '0') || '__' || lpad(cast(chunk_id as varchar), 5, '0') as id, chunk_id from c",
     "d25_coverage": _D + f", c as ({_windows_sql(180, 40)}) select doc_id, sum(len(c))::bigint as placed, max(s + len(c)) as covered, 0::bigint as falls from c group by 1",
-    "c7_neardup": f"with t as (select item_id as id, list_distinct({_TERMS.format('text')}) as s from benchmark union all select doc_id + 1000000, list_distinct({_TERMS.format('string_split(text, chr(10))[-1]')}) from documents where text is not null), u as (select * from t where len(s) > 0 and id in (select id from (select item_id as id, len({_TERMS.format('text')}) as n from benchmark union all select doc_id + 1000000, len({_TERMS.format('string_split(text, chr(10))[-1]')}) from documents where text is not null) where n >= 3)), e as (select id, len(s) as n, unnest(s) as w from u), o as (select a.id as a, b.id as b, a.n as na, b.n as nb, count(*) as k from e a join e b on a.w = b.w and a.id < b.id group by all) select a, b, round(k / (na + nb - k)::double, 6) as jaccard from o where k / (na + nb - k)::double >= 0.6",
+    "c7_neardup": f"with t as (select item_id as id, list_distinct({_TERMS.format('text')}) as s from benchmark union all select doc_id + 1000000, list_distinct({_TERMS.format('text')}) from documents where text is not null), e as (select id, len(s) as n, unnest(s) as w from t), o as (select a.id as a, b.id as b, a.n as na, b.n as nb, count(*) as k from e a join e b on a.w = b.w and a.id < b.id and least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) group by all) select a, b, round(k / (na + nb - k)::double, 6) as jaccard from o where k / (na + nb - k)::double >= 0.6",
     "j11_inventory": "select page_id, " + ", ".join(f"len(regexp_extract_all(html, '<{t}[ >]')) as n_{t}" for t in ["p", "h1", "li", "a", "script", "style"]) + " from pages",
     "b38_render": "select page_id, coalesce(array_to_string(list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')), ' '), '') as items, coalesce(array_to_string(list_transform(regexp_extract_all(html, '<h1>(.*?)</h1>', 1), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')), ' / '), '') as headings from pages",
 }

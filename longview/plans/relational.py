@@ -237,27 +237,41 @@ def h3_horizon(spark, sf):
     return rows.groupBy("o_custkey").agg(F.count("*").alias("upcoming"))
 
 
-# fixed values: weights of an entity's percentile features, and of its dimensions
+# fixed values: weights of an entity's percentile features in each dimension, and of dimensions in the overall score, in hundredths
 ENTITY = {
-    "medication": {"purchase_codes": 0.45, "recent_purchase": 0.40, "purchases": 0.15},
-    "clinical": {"dated": 0.25, "per_year": 0.30, "clicks": 0.45},
-    "recent": {"events": 0.25, "recent_purchase": 0.15, "recent_view": 0.25, "recent_error": 0.15, "recent_click": 0.20},
-    "complexity": {"codes": 0.45, "clicks": 0.20, "events": 0.35},
+    "medication": {"purchase_codes": 45, "recent_purchase": 40, "purchases": 15},
+    "clinical": {"dated": 25, "rate": 30, "clicks": 30, "procedures": 15},
+    "observation": {"views": 35, "view_codes": 25, "recent_view": 40},
+    "encounter": {"clicks": 45, "recent_click": 55},
+    "condition": {"error_codes": 35, "errors": 25, "error_days": 25, "recent_error": 15},
+    "recent": {"recent": 25, "recent_purchase": 15, "recent_view": 25, "recent_error": 15, "recent_click": 20},
+    "complexity": {"error_codes": 25, "purchase_codes": 20, "clicks": 20, "view_codes": 15, "procedures": 10, "reports": 10},
+    "preventive": {"signups": 60, "care_plans": 40},
 }
-ENTITY_OVERALL = {"medication": 0.25, "clinical": 0.25, "recent": 0.35, "complexity": 0.15}
-_FEATURES = ["purchase_codes", "recent_purchase", "purchases", "dated", "per_year", "clicks", "events", "recent_view", "recent_error", "recent_click", "codes"]
+ENTITY_OVERALL = {"medication": 10, "clinical": 15, "observation": 10, "encounter": 15, "condition": 15, "recent": 20, "complexity": 10, "preventive": 5}
+#: No event kind stands for these; each counts 0 for everyone.
+_ABSENT = ["procedures", "reports", "care_plans"]
+_FEATURES = [f for f in dict.fromkeys(f for parts in ENTITY.values() for f in parts) if f not in _ABSENT]
+_KIND = {"purchase": "purchases", "click": "clicks", "view": "views", "error": "errors", "signup": "signups"}
 
 
 def k2_entity_state(spark, sf):
-    """An entity's dimensions from percentile features, and its state as a whole."""
+    """An entity's eight dimensions from percentile features, and its state as a whole. Ranks, dimensions and score are
+    whole ten-thousandths, rounded half up, so that no sum of doubles decides a digit."""
     t = timeline(spark, sf)
-    more = t.groupBy("entity").agg(F.countDistinct(F.when(F.col("kind") == "purchase", F.col("code"))).alias("purchase_codes"), F.count_if(F.col("kind") == "click").alias("clicks"))
-    rows = P.profile(t).join(P.trailing(t, 7), "entity").join(more, "entity")
-    ranks = cs.percentile_ranks(rows, ["entity"], _FEATURES)
-    ranks = ranks.select("entity", *(F.round(f"p_{f}", 4).alias(f"p_{f}") for f in _FEATURES))
-    dims = ranks.select("entity", *(F.round(cs._sum(parts), 4).alias(n) for n, parts in ENTITY.items()))
-    overall = F.round(sum((F.col(n) * F.lit(w) for n, w in list(ENTITY_OVERALL.items())[1:]), F.col("medication") * F.lit(ENTITY_OVERALL["medication"])), 4)
-    dims = dims.withColumn("overall", overall)
+    w = Window.partitionBy("entity")
+    is_ = {k: F.col("kind") == k for k in _KIND}
+    late = F.col("d") >= F.date_sub(F.col("last"), 7)
+    span = F.datediff(F.max("d"), F.min("d")).cast("long")
+    rows = t.withColumn("last", F.max("d").over(w)).groupBy("entity").agg(
+        F.count("d").alias("dated"), F.when(span > 0, F.floor((F.count("*") * 73050 + span) / (2 * span))).otherwise(0).cast("long").alias("rate"), F.count_if(late).alias("recent"),
+        *(F.count_if(is_[k]).alias(n) for k, n in _KIND.items()), *(F.count_if(is_[k] & late).alias(f"recent_{k}") for k in ("purchase", "view", "error", "click")),
+        *(F.countDistinct(F.when(is_[k], F.col("code"))).alias(f"{k}_codes") for k in ("purchase", "view", "error")), F.countDistinct(F.when(is_["error"], F.col("d"))).alias("error_days"),
+    )
+    ranks = cs.percentile_points(rows, ["entity"], _FEATURES, _ABSENT)
+    whole = lambda parts: F.floor((sum((F.col(n) * w for n, w in parts.items()), F.lit(0)) + 50) / 100).cast("long")
+    dims = ranks.select("entity", *(whole({f"p_{f}": w for f, w in parts.items()}).alias(n) for n, parts in ENTITY.items())).withColumn("overall", whole(ENTITY_OVERALL))
+    dims = dims.select("entity", *((F.col(n) / F.lit(10000.0)).alias(n) for n in (*ENTITY, "overall")))
     return dims.withColumn("state", cs.entity_state(F.col("overall"), F.col("recent"), F.col("complexity")))
 
 
@@ -318,6 +332,10 @@ def _rank_sql(f: str) -> str:
     return f"round(case when count(*) over () > 1 then (count(*) over (order by {f}::double range between unbounded preceding and current row) - 1)::double / (count(*) over () - 1) else 0.0 end, 4) as p_{f}"
 
 
+def _points_sql(f: str) -> str:
+    return f"case when count(*) over () > 1 then ((count(*) over (order by {f} range between unbounded preceding and current row) - 1) * 20000 + count(*) over () - 1) // (2 * (count(*) over () - 1)) else 0 end as p_{f}"
+
+
 def _quartile(q: int) -> str:
     j = f"least(greatest(((n + 1) * {q}) // 4, 1), n - 1)"
     return f"round(sum(case when k = {j} then value * (4 - ((n + 1) * {q} - 4 * {j})) when k = {j} + 1 then value * ((n + 1) * {q} - 4 * {j}) end) / 4, 6) as q{q}"
@@ -353,24 +371,24 @@ SQL = {
     "d24_inventory": "select event_type, count(*) as n, count(ts) as dated, min(ts) as first, max(ts) as last from events group by 1",
     "e11_keep_first": "select p_name, p_partkey, duplicates from (select *, row_number() over (partition by p_name order by p_size nulls last, p_partkey) as k, count(*) over (partition by p_name) as duplicates from part) where k = 1",
     "e13_order": _T + " select entity, count(*) as n, count(*) filter (ts < b) as falls from (select entity, ts, lag(ts) over (partition by entity order by seq) as b from t) group by 1",
-    "f1_sort": "select o_orderkey, o_custkey, o_orderpriority from orders order by o_custkey, o_orderdate desc nulls last, o_orderpriority, o_orderkey limit 200",
+    "f1_sort": "select o_orderkey, o_custkey, o_orderpriority from orders order by o_custkey, o_orderdate desc nulls last, o_orderpriority, o_orderkey",
     "f2_top": "select l_partkey, count(*) as n from lineitem group by 1 order by n desc, l_partkey limit 20",
     "f3_stratified": "select doc_id, lang from (select *, row_number() over (partition by lang order by md5('42:' || doc_id), doc_id) as k from documents) where k <= case lang when 'en' then 11 when 'de' then 4 when 'fr' then 5 else 0 end",
     "f4_floor_fill": "with r as (select doc_id, lang, md5('42:' || doc_id) as h, row_number() over (partition by lang order by md5('42:' || doc_id), doc_id) as k from documents) select doc_id, lang, cast(place as integer) as place from (select *, row_number() over (order by k > 2, h, doc_id) as place from r) where place <= 20",
     "f5_first_n": "select o_custkey, o_orderkey, cast(k as integer) as place from (select *, row_number() over (partition by o_custkey order by o_orderkey) as k from orders) where k <= 2",
-    "f7_reserve": "select o_orderkey, o_totalprice, cast(k as integer) as place, case when k <= 50 then 'PRIMARY' else 'RESERVE' end as part from (select *, row_number() over (order by o_totalprice desc, o_orderkey) as k from orders) where k <= 100",
+    "f7_reserve": "select o_orderkey, o_totalprice, cast(k as integer) as place, case when k <= 50 then 'PRIMARY' else 'RESERVE' end as part from (select *, row_number() over (order by o_totalprice desc nulls last, o_orderkey) as k from orders)",
     "g1_union_latest": "select user_id, event_type, max(event_id) as event_id, max_by(value, event_id) as value, case when max(event_id) % 2 = 0 then 'prior' else 'new' end as origin from events group by 1, 2",
     "g2_union_distinct": "select c_nationkey as nation from customer union select s_nationkey from supplier",
     "g3_intersect": "select o_custkey from orders where o_orderstatus = 'O' intersect select o_custkey from orders where o_orderstatus = 'F'",
     "g4_except": "select o_custkey, o_orderpriority from orders where o_orderstatus = 'O' except all select o_custkey, o_orderpriority from orders where o_orderstatus = 'F'",
     "g5_dupes": "select l_orderkey, l_partkey, count(*) as n from lineitem group by 1, 2 having count(*) > 1",
     "h3_horizon": f"select o_custkey, count(*) as upcoming from orders where o_orderdate::date between date '{AS_OF}' and date '{AS_OF}' + {HORIZON} group by 1",
-    "k2_entity_state": _T + f""", {_LAST}, f as (select entity, count(*) as events, count(d) as dated, count(distinct code) as codes, count(*) filter (kind = 'purchase') as purchases, count(*) filter (kind = 'click') as clicks,
-        count(distinct case when kind = 'purchase' then code end) as purchase_codes, case when max(d) > min(d) then round(count(*) / ((max(d) - min(d)) / 365.25::double), 2) else 0.0 end as per_year,
-        {", ".join(f"count(*) filter (kind = '{k}' and d >= last - 7) as recent_{k}" for k in ("view", "click", "error", "purchase"))} from l group by 1),
-      p as (select entity, {", ".join(_rank_sql(f) for f in _FEATURES)} from f),
-      m as (select entity, {", ".join("round(" + " + ".join(f"p_{f} * {w}::double" for f, w in parts.items()) + f", 4) as {n}" for n, parts in ENTITY.items())} from p),
-      o as (select *, round({" + ".join(f"{n} * {w}::double" for n, w in ENTITY_OVERALL.items())}, 4) as overall from m)
+    "k2_entity_state": _T + f""", {_LAST}, f as (select entity, count(d) as dated, case when max(d) > min(d) then (count(*) * 73050 + (max(d) - min(d))) // (2 * (max(d) - min(d))) else 0 end as rate, count(*) filter (d >= last - 7) as recent,
+        {", ".join(f"count(*) filter (kind = '{k}') as {n}" for k, n in _KIND.items())}, {", ".join(f"count(*) filter (kind = '{k}' and d >= last - 7) as recent_{k}" for k in ("purchase", "view", "error", "click"))},
+        {", ".join(f"count(distinct case when kind = '{k}' then code end) as {k}_codes" for k in ("purchase", "view", "error"))}, count(distinct case when kind = 'error' then d end) as error_days, {", ".join(f"0 as {x}" for x in _ABSENT)} from l group by 1),
+      p as (select entity, {", ".join(_points_sql(f) for f in [*_FEATURES, *_ABSENT])} from f),
+      m as (select entity, {", ".join("(" + " + ".join(f"p_{f} * {w}" for f, w in parts.items()) + f" + 50) // 100 as {n}" for n, parts in ENTITY.items())} from p),
+      o as (select entity, {", ".join(f"{n} / 10000.0::double as {n}" for n in ENTITY)}, (({" + ".join(f"{n} * {w}" for n, w in ENTITY_OVERALL.items())} + 50) // 100) / 10000.0::double as overall from m)
       select *, case when recent >= 0.67 or overall >= 0.67 then 'HIGH_ACTIVITY' when recent >= 0.34 or overall >= 0.34 then 'MODERATE_ACTIVITY' when complexity < 0.34 then 'STABLE' else 'LOW_ACTIVITY' end as state from o""",
     "k7_realtime": f"""with f as (select o_custkey, count(*) filter (o_orderstatus = 'O') as meds, count(distinct o_orderpriority) as conds, count(*) filter (o_orderdate::date between date '{AS_OF}' and date '{AS_OF}' + {HORIZON}) as upcoming from orders group by 1),
       g as (select f.*, coalesce(messages, 0) as messages, o_custkey % 60 + 40 as years from f left join (select conv_id, count(*) as messages from conversations group by 1) on conv_id = o_custkey),

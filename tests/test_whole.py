@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 
 from longview.functions.text import STOP_WORDS
-from longview.llm import near_dedup
 from longview.operators import statistics
 from longview.plans import corpus, relational, retrieval
 
@@ -159,11 +158,3 @@ def test_history_has_whole_messages(spark, tmp_path):
     sf = written(spark, tmp_path, conversations=(rows, "conv_id long, turn int, role string, text string"))
     got = {r["conv_id"]: r["history"] for r in corpus.b32_prompt(spark, sf).collect()}
     assert got == {1: "[1] user: " + "a" * 81 + "\n[2] assistant: " + "b" * 300, 2: "[1] user: short"}
-
-
-def test_far_signatures_with_a_shared_key_are_compared(monkeypatch):
-    far = np.zeros((2, near_dedup.SYMBOLS), np.uint16)
-    far[1, near_dedup.WIDTH :] = 1  # one chunk in common, 54 symbols apart
-    monkeypatch.setattr(near_dedup, "_signatures", lambda sets: far)
-    text = "one two three four five six seven eight nine ten"
-    assert near_dedup._tile_links([(1, 1, True, False, text), (2, 2, False, True, text)], 3, 80) == [(1, 2)]
