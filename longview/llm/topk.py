@@ -5,8 +5,8 @@ singular vectors), which gathers length in the leading coordinates. Vectors are
 in blocks; a range of blocks is a cell. A block of queries goes through a cell's blocks in that order, and each
 query's k-th best score so far is its bound: a block is skipped where query length * longest length in it
 (Cauchy-Schwarz) is below the bound; inside a block, the first coordinates' partial product plus the product of the
-residual lengths bounds each score, so that only the rest is finished. Cells are taken in rounds that double: the longest one
-first, then two, four and so on, each with the bounds of the rounds before. Pairs of a query block and a cell are
+residual lengths bounds each score, so that only the rest is finished. Cells are taken in rounds that grow: the longest one
+first, then the next GROWTH and so on, each with the bounds of the rounds before. Pairs of a query block and a cell are
 first chosen by their lengths and bounds alone, and vectors are sent for those that are left. Scores that are
 returned are products of the integers themselves, so rounding in the rotation can't change a result (bounds get a
 slack for it).
@@ -40,6 +40,8 @@ BLOCK, QUERIES = 4096, 256
 GROUP = 8
 #: Blocks that go to Python at once.
 AT_ONCE = 8
+#: How many times as many cells as the round before a round takes.
+GROWTH = 8
 #: Tasks of a round at most.
 TASKS = 20_000
 #: Rotated coordinates of the partial sums.
@@ -233,6 +235,7 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     spans = candidates.groupBy("cell").agg(F.max("longest").alias("reach"))
     cells = 1 + (candidates.agg(F.max("cell")).first()[0] or 0)
 
+    blocks_asked = queries.count()
     none = queries.sparkSession.createDataFrame([], "block long, least double, held long, asked array<long>, lows array<double>")
     best, lows, lo, width = None, none, 0, 1
     while lo < cells:
@@ -242,13 +245,12 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         bound = F.when(F.col("held") == F.col("size"), F.col("least")).otherwise(F.lit(-float("inf")))
         pairs = sizes.select("block", "longest", bound.alias("least"), met.alias("cell")).join(spans, "cell")
         pairs = materialize(pairs.filter((F.col("reach") >= LONG) | (F.col("longest") >= LONG) | (F.col("longest") * F.col("reach") * (1 + 1e-9) + 1 >= F.col("least"))).select("block", "cell"), "pairs")
-        count = pairs.count()
-        if not count:
+        if pairs.isEmpty():
             break
         sent = ["block", "cell", "place", "ids", "kind", "v", "longest", "asked", "lows"]
         heads = pairs.join(queries, "block").join(lows.select("block", "asked", "lows"), "block", "left").withColumn("place", F.lit(-1)).select(sent)
         tails = pairs.join(candidates, "cell").withColumns({"asked": F.lit(None).cast("array<long>"), "lows": F.lit(None).cast("array<double>")}).select(sent)
-        work = heads.unionByName(tails).repartition(max(8, min(count, TASKS)), "block", "cell").sortWithinPartitions("block", "cell", "place")
+        work = heads.unionByName(tails).repartition(max(8, min(blocks_asked * width, TASKS)), "block", "cell").sortWithinPartitions("block", "cell", "place")
         found = materialize(work.mapInArrow(tidy(_search(dim, turn, k)), from_arrow_schema(_FOUND)), "found", AT_ONCE)
         top = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
         every = found if best is None else best.select(found.columns).unionByName(found)
@@ -256,7 +258,7 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         for table in (pairs, found, best):
             if table is not None:
                 discard(table)
-        best, lo, width = better, lo + width, width * 2
+        best, lo, width = better, lo + width, width * GROWTH
         if lo < cells:
             # a double below a score beyond 2^53 may lie above it, so that bound is lowered
             low = F.min("score").cast("double") - F.when(F.abs(F.min("score").cast("double")) >= 2.0**53, 2048.0).otherwise(0.0)
