@@ -42,6 +42,8 @@ GROUP = 8
 AT_ONCE = 8
 #: How many times as many cells as the round before a round takes.
 GROWTH = 8
+#: Share of a block's pairs left by the bounds above which their products are made all at once.
+DENSE = 0.05
 #: Tasks of a round at most.
 TASKS = 20_000
 #: Rotated coordinates of the partial sums.
@@ -133,11 +135,15 @@ def _pack(dim: int, rows: int):
     return run
 
 
+def _bound(q: np.ndarray, c: np.ndarray) -> float:
+    return float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+
+
 def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer products of whole numbers in doubles, held within a long."""
     if not len(q) or not len(c):
         return np.zeros((len(q), len(c)), np.int64)
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    bound = _bound(q, c)
     if bound < 2**53:
         return (q @ c.T).astype(np.int64)
     if bound < 2**62:
@@ -175,9 +181,14 @@ class _Queries:
         upper += slack[live][:, None]
         open_ = upper >= self.low[live][:, None]
         open_ |= big[None, :] | self.big[live][:, None]
+        whole = None
+        if open_.mean() > DENSE and not big.any() and not self.big[live].any() and _bound(self.q[live], c) < 2**53:
+            # most are left: all products at once cost less than picking rows, and doubles hold them exactly
+            whole = self.q[live] @ c.T
+            open_ &= whole >= self.low[live][:, None]
         for i, x in enumerate(live.tolist()):
             at = np.flatnonzero(open_[i])
-            s = scores(self.q[x : x + 1], c[at])[0]
+            s = scores(self.q[x : x + 1], c[at])[0] if whole is None else whole[i, at].astype(np.int64)
             ok = (s >= self.low[x]) & (ids[at] != self.ids[x])
             if ok.any():
                 s, who = np.concatenate([self.best[x][0], s[ok]]), np.concatenate([self.best[x][1], ids[at][ok]])
@@ -225,12 +236,12 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     turn = rotation(rows, dim)
     order = [F.desc("norm"), F.asc("vec_id")]
 
-    def blocks(df: DataFrame, size: int, parts: int, label: str) -> DataFrame:
-        laid = df.repartitionByRange(max(1, min(parts, 100_000)), *order).sortWithinPartitions(*order)
-        return materialize(laid.mapInArrow(tidy(_pack(dim, size)), from_arrow_schema(_BLOCKS)), label)
+    def blocks(df: DataFrame, size: int, label: str) -> DataFrame:
+        return materialize(df.sortWithinPartitions(*order).mapInArrow(tidy(_pack(dim, size)), from_arrow_schema(_BLOCKS)), label)
 
-    candidates = blocks(rows, BLOCK, -(-n // (BLOCK * GROUP)), "blocks")
-    queries = blocks(rows.filter(is_query), QUERIES, -(-asked // (QUERIES * GROUP)), "queries")
+    candidates = blocks(rows.repartitionByRange(max(1, min(-(-n // (BLOCK * GROUP)), 100_000)), *order), BLOCK, "blocks")
+    # queries are sorted where they lie: their blocks are of like lengths, and need no place in a row of all
+    queries = blocks(rows.filter(is_query).coalesce(max(1, -(-asked // (QUERIES * GROUP)))), QUERIES, "queries")
     queries = queries.withColumn("block", F.col("cell") * (1 << 31) + F.col("place")).drop("cell", "place")
     spans = candidates.groupBy("cell").agg(F.max("longest").alias("reach"))
     cells = 1 + (candidates.agg(F.max("cell")).first()[0] or 0)
