@@ -127,7 +127,8 @@ def _sample_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 x = byte_windows(text)
                 for i in sorted(set(np.linspace(0, len(x) - 1, TRAIN_WINDOWS).astype(int))):
                     out.append((doc, int(i), lang, x[i].tobytes()))
-        yield pd.DataFrame(out, columns=["doc_id", "i", "lang", "window"])
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "i", "lang", "window"])
 
 
 def train(docs: DataFrame) -> Network | None:

@@ -161,7 +161,8 @@ def _document_features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
             if len(every) > PART:
                 yield table(every, bad)
                 every, bad = Counter(), Counter()
-    yield table(every, bad)
+    if every:  # a frame without rows has no string column that the engine takes
+        yield table(every, bad)
 
 
 def _vectors(index: dict[str, int]):

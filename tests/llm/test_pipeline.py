@@ -40,3 +40,24 @@ def test_stages(spark, sf):
     assert seen == ["toxicity", "line dedup", "near-dedup", "mixing"]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r["doc_id"] for r in packed} == set(before)
+
+
+def test_odd_rows_and_names(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and columns with inner names go through all stages; an empty table stays empty."""
+    rows = [(1, None, "en", "s"), (2, "", "en", "s"), (3, "a b c d e f", "en", None), (3, "a b c d e f", "en", None), (None, "x y z", None, "s"), (4, "word " * 60000, "en", "s"), (5, "l1\nl2\nl3\nown five", "de", "s"), (6, "l1\nl2\nl3\nown six", "de", "s")]
+    names = ("domain", "epoch", "n_tokens", "n_lines", "n_removed", "_whole", "_cut", "_row", "cut", "held_out")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "cast(length(text) as int) as n_chars", *(f"'own {c}' as {c}" for c in names))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for start in (docs, docs.filter("false")):
+        kept = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = materialize(stage(spark, kept, str(tmp_path)), "odd")
+            assert kept.schema.names == docs.schema.names
+            assert all(r[c] == f"own {c}" for r in kept.collect() for c in names)
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
+        if start is docs:
+            left = {r["doc_id"]: r["text"] for r in kept.collect()}
+            assert set(left) <= {3, 4, 5, 6} and left.get(6, "own six") == "own six" and {r["doc_id"] for r in packed.collect()} == set(left)
+        else:
+            assert packed.count() == 0
