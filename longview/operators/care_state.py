@@ -239,3 +239,18 @@ def entity_state(overall: Column, recent: Column, complexity: Column) -> Column:
     )
 
 
+# fixed values: states of the real-time score, from little to much
+REALTIME = ["STABLE", "LOW_ACTIVITY", "MODERATE_ACTIVITY", "HIGH_ACTIVITY"]
+
+
+def realtime_move(previous: Column, current: Column, previous_score: Column, score: Column) -> dict[str, Column]:
+    """Type, direction and size of the move between two real-time states; without an earlier state it is INITIAL.
+    A missing score counts 0, and NO_DATA lies below all states."""
+    level = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, REALTIME)), c), F.lit(0))
+    up = F.when(previous.isNotNull() & (previous != "") & (previous != "NO_DATA"), level(current) - level(previous))
+    delta = F.coalesce(score, F.lit(0.0)) - F.coalesce(previous_score, F.lit(0.0))
+    pick = lambda none, same, more, less: F.when(up.isNull(), none).when(up == 0, same).when(up > 0, more).otherwise(less)
+    return {
+        "type": pick("INITIAL", "CONTINUATION", "ESCALATION", "DE_ESCALATION"), "direction": pick("NONE", "STABLE", "UP", "DOWN"),
+        "magnitude": F.when(up != 0, F.round(F.abs(delta) * 10, 4)).otherwise(F.lit(0.0)), "score_delta": F.round(delta, 4),
+    }

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import logging
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens
+from ..storage import written
+
+log = logging.getLogger(__name__)
 
 # fixed values: what a sentence gains or loses
 CUES = [(r"(^|[^a-zà-ÿ])(is|are|was|were)([^a-zà-ÿ]|$)", 1.0), (r"(^|[^a-zà-ÿ])(the|a|an)([^a-zà-ÿ]|$)", 0.5), (r"[0-9]", 1.0), (r"###|%%%|\|", -2.0)]
@@ -59,19 +64,36 @@ def finalise(rows: DataFrame, order: list[str], prefix: str, expected: int | Non
 
 
 class Router:
-    """Retrieval backends by name; an unknown name is the default, and a failing one gives way to the fallback."""
-
-    def __init__(self, backends: dict[str, Callable[..., DataFrame]], default: str):
-        self.backends, self.default = backends, default
-
-    def retrieve(self, *args, backend: str | None = None, fallback: str | None = None) -> DataFrame:
-        chosen = self.backends.get(backend or self.default, self.backends[self.default])
+    """Retrieval backends by name. What is asked wins over the environment's setting, that over the default; names are
+    compared without case and blanks; an unknown one, and `both` where no such backend is given, is the default. A backend is
+    made once, when it is first asked. Where one fails, in being made or in its jobs, the default takes its place, or, without
+    fallback, there is no evidence: a frame without rows. The default's own failure is raised."""
+
+    def __init__(self, backends: dict[str, Callable[[], Callable[..., DataFrame]]], default: str, schema: str, setting: str = "RETRIEVAL_BACKEND"):
+        self.makers, self.default, self.schema, self.setting = backends, default, schema, setting
+        self.made: dict[str, Callable[..., DataFrame]] = {}
+
+    def chosen(self, backend: str | None = None) -> str:
+        name = (os.environ.get(self.setting, self.default) if backend is None else str(backend)).strip().lower()
+        return name if name in self.makers else self.default
+
+    def reset(self) -> None:
+        self.made.clear()
+
+    def _run(self, name: str, *args) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name](*args)
+
+    def retrieve(self, spark: SparkSession, *args, backend: str | None = None, fallback: bool = True) -> DataFrame:
+        name = self.chosen(backend)
+        if name == self.default:
+            return self._run(name, *args)
         try:
-            return chosen(*args)
-        except Exception:
-            if fallback is None:
-                raise
-            return self.backends[fallback](*args)
+            return written(self._run(name, *args), "evidence")  # so that a failure shows here, not in what reads the rows
+        except Exception as e:
+            log.warning("backend %s failed: %r", name, e)
+            return self._run(self.default, *args) if fallback else spark.createDataFrame([], self.schema)
 
 
 def cohort(patients: DataFrame, birth: str, as_of: str, least: int) -> DataFrame:

@@ -7,9 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+from .places import running
+
 Z = 1.959964
 
 
@@ -52,20 +55,28 @@ def paired(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def wilcoxon(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """The signed-rank statistic, zeros left out, ties by mean rank: a histogram of the differences is ranked."""
+    """The signed-rank statistic, zeros left out, ties by mean rank. The differences' histogram, as long as the data where
+    they are continuous, is written and ranked in bands."""
     d = F.round(F.col(a) - F.col(b), 9)
-    hist = rows.select(d.alias("d")).filter("d is not null and d <> 0").groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"))
-    w = Window.partitionBy(F.lit(1)).orderBy("size")
-    ranked = hist.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
+    hist = written(rows.select(d.alias("d")).filter("d is not null and d <> 0").groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up")), "differences")
+    ranked = running(hist, ["size"], "upto", "n").withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     one = ranked.agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"))
     return one.withColumn("w", F.least("w_plus", "w_minus"))
 
 
 def spearman(rows: DataFrame, a: str, b: str, key: str) -> DataFrame:
-    """Correlation of ordinal ranks, ties by key; null for fewer than three rows."""
-    every = Window.partitionBy(F.lit(1))
-    ranked = rows.select(F.row_number().over(every.orderBy(a, key)).cast("double").alias("x"), F.row_number().over(every.orderBy(b, key)).cast("double").alias("y"))
-    return ranked.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")).select("n", F.when(F.col("n") >= 3, F.round("r", 6)).alias("r"))
+    """Correlation of ordinal ranks, ties by key; null for fewer than three rows. The rows are written and ranked in bands."""
+    stored = written(rows.select(a, b, key), "ratings")
+    x = running(stored, [a, key], "x").select(key, F.col("x").cast("double"))
+    y = running(stored, [b, key], "y").select(key, F.col("y").cast("double"))
+    return x.join(y, key).agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")).select("n", F.when(F.col("n") >= 3, F.round("r", 6)).alias("r"))
+
+
+def within_one(rows: DataFrame, a: str, b: str, step: float = 0.25) -> DataFrame:
+    """Of two ratings in steps: how many rows hold both, how many agree, and how many differ by one step at most."""
+    far = F.abs(F.col(a) - F.col(b))
+    one = rows.filter(far.isNotNull()).agg(F.count("*").alias("n"), F.count_if(far == 0).alias("same"), F.count_if(far <= step).alias("near"))
+    return one.withColumn("near_share", F.when(F.col("n") > 0, F.round(F.col("near") / F.col("n"), 6)))
 
 
 def support_bin(x: Column) -> Column:
@@ -108,6 +119,45 @@ def t_p_value(t: float, df: float) -> float:
     return beta_cdf(df / 2, 0.5, df / (df + t * t))
 
 
+def t_quantile(p: float, df: float) -> float:
+    """The value that a t distribution falls below with probability p, one half or more."""
+    lo, hi = 0.0, 1.0
+    while 1 - t_p_value(hi, df) / 2 < p:
+        hi *= 2
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if 1 - t_p_value(mid, df) / 2 < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def paired_t_test(rows: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:
+    """(n, t, p, low, high) with the t interval of the mean difference; t and p are null without a spread, and all but n
+    for fewer than two rows. Moments are one row, of which a Python function takes the rest."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for n, m, sd in zip(pdf["n"], pdf["m"], pdf["sd"], strict=True):
+                se = sd / math.sqrt(n) if n > 1 else math.nan
+                t = m / se if se > 0 else None
+                half = t_quantile(1 - alpha / 2, n - 1) * se if n > 1 else None
+                out.append((n, t, t_p_value(t, n - 1) if t is not None else None, m - half if half is not None else None, m + half if half is not None else None))
+            yield pd.DataFrame([(r[0], *(None if x is None else round(float(x), 9) for x in r[1:])) for r in out], columns=["n", "t", "p", "low", "high"]).astype({c: "float64" for c in ("t", "p", "low", "high")})
+
+    d = F.col(a) - F.col(b)
+    one = rows.filter(d.isNotNull()).agg(F.count("*").alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("sd"))
+    return one.mapInPandas(run, "n long, t double, p double, low double, high double")
+
+
+def wilcoxon_test(rows: DataFrame, a: str, b: str, least: int = 6) -> DataFrame:
+    """(n, w, p) of the signed ranks; p is null for fewer than least differences other than zero."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.assign(p=[round(wilcoxon_p_value(float(w), int(n)), 9) if n >= least else None for w, n in zip(pdf["w"], pdf["n"], strict=True)]).astype({"p": "float64"})
+
+    one = wilcoxon(rows, a, b).select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w", F.lit(0.0)).cast("double").alias("w"))
+    return one.mapInPandas(run, "n long, w double, p double")
+
+
 def wilcoxon_p_value(w: float, n: int) -> float:
     """Two-sided, by the normal approximation."""
     sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24)

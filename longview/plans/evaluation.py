@@ -46,6 +46,20 @@ def l2_t(spark, sf):
     return S.paired(_conditions(spark, sf), "a", "b").select("n", "t", "low", "high")
 
 
+def l2_p(spark, sf):
+    return S.paired_t_test(_conditions(spark, sf), "a", "b")
+
+
+def l3_p(spark, sf):
+    return S.wilcoxon_test(_conditions(spark, sf), "a", "b")
+
+
+def d20_within_one(spark, sf):
+    """Two ratings of each user in quarters."""
+    binned = _conditions(spark, sf).select(S.support_bin(F.round(F.col("a") / 20, 6)).alias("a"), S.support_bin(F.round(F.col("b") / 20, 6)).alias("b"))
+    return S.within_one(binned, "a", "b")
+
+
 def l7_dz(spark, sf):
     return S.paired(_conditions(spark, sf), "a", "b").select("n", "dz")
 
@@ -112,5 +126,7 @@ SQL = {
     "l11_bins": "select case when value is null then null when round(value / 20, 6) < 0.125 then 0.0::double when round(value / 20, 6) < 0.375 then 0.25 when round(value / 20, 6) < 0.625 then 0.5 when round(value / 20, 6) < 0.875 then 0.75 else 1.0 end as bin, count(*) as n from events group by 1",
     "l12_latency": "select event_type, round(avg(value), 6) as mean, min(value) as fastest, max(value) as slowest, round(100.0::double * count(*) filter (value <= 3) / count(*), 2) as pass_pct from events group by 1",
 }
-_PLAIN = ["l4_bootstrap", "l6_clopper"]
+_BINNED = lambda x: f"case when round({x} / 20, 6) < 0.125 then 0.0::double when round({x} / 20, 6) < 0.375 then 0.25 when round({x} / 20, 6) < 0.625 then 0.5 when round({x} / 20, 6) < 0.875 then 0.75 else 1.0 end"
+SQL["d20_within_one"] = _CO + f", q as (select abs(({_BINNED('a')}) - ({_BINNED('b')})) as far from d) select count(*) as n, count(*) filter (far = 0) as same, count(*) filter (far <= 0.25) as near, case when count(*) > 0 then round(count(*) filter (far <= 0.25) / count(*)::double, 6) end as near_share from q"
+_PLAIN = ["l2_p", "l3_p", "l4_bootstrap", "l6_clopper"]
 QUERIES = {name: globals()[name] for name in [*SQL, *_PLAIN]}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..operators import care_state as cs
 from ..operators import profiles as P
+from ..operators.places import exclusive_quantiles
 from ..operators.sampling import first_per_group, floor_and_fill, stratified
 from ..tables import load, timeline
 
@@ -126,16 +127,15 @@ def d11_explode(spark, sf):
 
 def d12_quantile_excl(spark, sf):
     """Quartiles by the exclusive method: position p * (n + 1)."""
-    w = Window.partitionBy("event_type")
-    rows = load(spark, sf, "events").filter("value is not null").select("event_type", "value", F.row_number().over(w.orderBy("value", "event_id")).alias("k"), F.count("*").over(w).alias("n"))
-    at = {q: F.col("n") + 1 for q in (1, 2, 3)}
-    cols = []
-    for q in at:
-        pos = at[q] * q
-        j = F.least(F.greatest(F.floor(pos / 4), F.lit(1)), F.col("n") - 1)
-        part = F.when(F.col("k") == j, F.col("value") * (4 - (pos - 4 * j))).when(F.col("k") == j + 1, F.col("value") * (pos - 4 * j))
-        cols.append(F.round(F.sum(part) / 4, 6).alias(f"q{q}"))
-    return rows.groupBy("event_type").agg(*cols)
+    rows = exclusive_quantiles(load(spark, sf, "events"), "event_type", "value", "event_id", 4)
+    return rows.groupBy("event_type").agg(*(F.max(F.when(F.col("i") == q, F.col("q"))).alias(f"q{q}") for q in (1, 2, 3)))
+
+
+def d12_deciles(spark, sf):
+    """The cut points of ten and of twenty parts by the same method."""
+    e = load(spark, sf, "events")
+    cut = lambda n: exclusive_quantiles(e, "event_type", "value", "event_id", n).select(F.lit(n).alias("parts"), "event_type", "i", "q")
+    return cut(10).unionByName(cut(20))
 
 
 def d18_distinct(spark, sf):
@@ -282,11 +282,8 @@ def _steps(x, cuts, low):
     return out
 
 
-def k7_realtime(spark, sf):
-    """A customer's state from counts of medications, conditions, coming appointments and messages."""
-    o = load(spark, sf, "orders")
+def _realtime(spark, sf, o, coming):
     facts = o.groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("meds"), F.countDistinct("o_orderpriority").alias("conds"))
-    coming = h3_horizon(spark, sf)
     talk = load(spark, sf, "conversations").groupBy(F.col("conv_id").alias("o_custkey")).agg(F.count("*").alias("messages"))
     rows = facts.join(coming, "o_custkey", "left").join(talk, "o_custkey", "left").fillna(0, ["upcoming", "messages"])
     rows = rows.withColumn("years", F.col("o_custkey") % 60 + 40)
@@ -305,6 +302,22 @@ def k7_realtime(spark, sf):
     return rows.select("o_custkey", "medication", "condition", "encounter", "complexity", "interaction", "score", state.alias("state"))
 
 
+def k7_realtime(spark, sf):
+    """A customer's state from counts of medications, conditions, coming appointments and messages."""
+    return _realtime(spark, sf, load(spark, sf, "orders"), h3_horizon(spark, sf))
+
+
+def k7_moves(spark, sf):
+    """Each customer's state now beside the one from orders before the day, without coming ones: type, direction and size of the move."""
+    o = load(spark, sf, "orders")
+    past = o.filter(F.to_date("o_orderdate") < F.lit(AS_OF).cast("date"))
+    none = h3_horizon(spark, sf).filter(F.lit(False))
+    before = _realtime(spark, sf, past, none).select("o_custkey", F.col("state").alias("previous"), F.col("score").alias("previous_score"))
+    both = k7_realtime(spark, sf).select("o_custkey", "state", "score").join(before, "o_custkey", "left")
+    move = cs.realtime_move(F.col("previous"), F.col("state"), F.col("previous_score"), F.col("score"))
+    return both.select("o_custkey", "previous", "state", *(c.alias(n) for n, c in move.items()))
+
+
 def k9_reminders(spark, sf):
     """Reminders of two kinds in one list."""
     o = load(spark, sf, "orders")
@@ -336,9 +349,14 @@ def _points_sql(f: str) -> str:
     return f"case when count(*) over () > 1 then ((count(*) over (order by {f} range between unbounded preceding and current row) - 1) * 20000 + count(*) over () - 1) // (2 * (count(*) over () - 1)) else 0 end as p_{f}"
 
 
-def _quartile(q: int) -> str:
-    j = f"least(greatest(((n + 1) * {q}) // 4, 1), n - 1)"
-    return f"round(sum(case when k = {j} then value * (4 - ((n + 1) * {q} - 4 * {j})) when k = {j} + 1 then value * ((n + 1) * {q} - 4 * {j}) end) / 4, 6) as q{q}"
+def _cuts(n: int) -> str:
+    """The cut points of n parts of each kind's values k = 1 to n of table r."""
+    j = f"greatest(1, least((i * (n + 1)) // {n}, n - 1))"
+    more = f"case when n = 1 then 0 else i * (n + 1) - {n} * {j} end"
+    return f"select {n} as parts, event_type, i, round(sum(case when k = {j} then value * ({n} - {more}) when k = {j} + 1 then value * {more} end) / {n}, 6) as q from r, (select unnest(range(1, {n})) as i) group by event_type, i"
+
+
+_R = "with r as (select event_type, value, row_number() over (partition by event_type order by value, event_id) as k, count(*) over (partition by event_type) as n from events where value is not null)"
 
 
 def _steps_sql(x: str, cuts, low) -> str:
@@ -346,6 +364,18 @@ def _steps_sql(x: str, cuts, low) -> str:
 
 
 _BURDEN = [(5, 0.85), (3, 0.55), (1, 0.30)]
+_LEVELS = str(cs.REALTIME)
+
+
+def _realtime_sql(which: str) -> str:
+    return f"""with f as (select o_custkey, count(*) filter (o_orderstatus = 'O') as meds, count(distinct o_orderpriority) as conds, count(*) filter (o_orderdate::date between date '{AS_OF}' and date '{AS_OF}' + {HORIZON}) as upcoming from orders where {which} group by 1),
+      g as (select f.*, coalesce(messages, 0) as messages, o_custkey % 60 + 40 as years from f left join (select conv_id, count(*) as messages from conversations group by 1) on conv_id = o_custkey),
+      d as (select o_custkey, {_steps_sql('meds', _BURDEN, 0.1)} as medication, {_steps_sql('conds', _BURDEN, 0.1)} as condition, {_steps_sql('upcoming', [(2, 0.8), (1, 0.5)], 0.1)} as encounter,
+        least(1.0::double, (conds + meds) / 8.0::double + {_steps_sql('years', [(85, 0.25), (75, 0.15), (65, 0.05)], 0.0)}) as complexity, {_steps_sql('messages', [(6, 0.75), (2, 0.5), (1, 0.25)], 0.15)} as interaction from g),
+      s as (select *, round(medication * 0.25::double + condition * 0.25::double + encounter * 0.2::double + complexity * 0.2::double + interaction * 0.1::double, 4) as score from d)
+      select *, case when score < 0.35 and greatest(medication, condition, encounter, complexity, interaction) < 0.4 then 'STABLE' when score < 0.4 then 'LOW_ACTIVITY' when score < 0.6 then 'MODERATE_ACTIVITY' else 'HIGH_ACTIVITY' end as state from s"""
+
+
 SQL = {
     "b12_age": "select o_custkey, cast(2010 - year(lo) - case when month(lo) > 1 or day(lo) > 1 then 1 else 0 end as bigint) as age, greatest(0, hi - lo)::bigint as days, case when hi > lo then round(n / ((hi - lo) / 365.25::double), 2) else 0.0 end as per_year from (select o_custkey, min(o_orderdate::date) as lo, max(o_orderdate::date) as hi, count(*) as n from orders group by 1)",
     "b7_casts": _T + ", r as (select seq, case when seq % 7 = 0 then 'n/a' when seq % 7 = 1 then ' ' else ' ' || code || '.0' end as raw, d from t) select seq, coalesce(try_cast(trim(raw) as double), 0.0) as as_float, coalesce(try_cast(try_cast(trim(raw) as double) as bigint), -1) as as_int, nullif(trim(raw), '') as as_text, d as as_date from r",
@@ -365,7 +395,8 @@ SQL = {
     "d8_status": "select o_custkey, count(*) filter (lower(o_orderstatus) = 'o') as active, count(*) filter (lower(o_orderstatus) = 'f') as completed, count(distinct o_orderpriority) as names, min(o_orderdate::date) as first_date, max(o_orderdate::date) as last_date from orders group by 1",
     "d9_trailing": _T + f", {_LAST} select entity, count(*) as recent, {_RECENT} from l where d >= last - 7 group by 1",
     "d11_explode": "select unnest(string_split(p_type, ' ')) as label, count(*) as n from part group by 1",
-    "d12_quantile_excl": f"select event_type, {_quartile(1)}, {_quartile(2)}, {_quartile(3)} from (select event_type, value, row_number() over (partition by event_type order by value, event_id) as k, count(*) over (partition by event_type) as n from events where value is not null) group by 1",
+    "d12_quantile_excl": f"{_R} select event_type, max(q) filter (i = 1) as q1, max(q) filter (i = 2) as q2, max(q) filter (i = 3) as q3 from ({_cuts(4)}) group by 1",
+    "d12_deciles": f"{_R} {_cuts(10)} union all {_cuts(20)}",
     "d18_distinct": _T + " select kind, count(distinct entity) as entities, count(distinct code) as codes, count(distinct d) as days from t group by 1",
     "d22_reconcile": "with c as (select 'total' as name, count(*) as n from events union all " + " union all ".join(f"select '{k}', count(*) filter (event_type = '{v}') from events" for k, v in cs.KINDS.items()) + ") select name, n as counted, n as in_source, 0::bigint as difference from c",
     "d24_inventory": "select event_type, count(*) as n, count(ts) as dated, min(ts) as first, max(ts) as last from events group by 1",
@@ -390,12 +421,11 @@ SQL = {
       m as (select entity, {", ".join("(" + " + ".join(f"p_{f} * {w}" for f, w in parts.items()) + f" + 50) // 100 as {n}" for n, parts in ENTITY.items())} from p),
       o as (select entity, {", ".join(f"{n} / 10000.0::double as {n}" for n in ENTITY)}, (({" + ".join(f"{n} * {w}" for n, w in ENTITY_OVERALL.items())} + 50) // 100) / 10000.0::double as overall from m)
       select *, case when recent >= 0.67 or overall >= 0.67 then 'HIGH_ACTIVITY' when recent >= 0.34 or overall >= 0.34 then 'MODERATE_ACTIVITY' when complexity < 0.34 then 'STABLE' else 'LOW_ACTIVITY' end as state from o""",
-    "k7_realtime": f"""with f as (select o_custkey, count(*) filter (o_orderstatus = 'O') as meds, count(distinct o_orderpriority) as conds, count(*) filter (o_orderdate::date between date '{AS_OF}' and date '{AS_OF}' + {HORIZON}) as upcoming from orders group by 1),
-      g as (select f.*, coalesce(messages, 0) as messages, o_custkey % 60 + 40 as years from f left join (select conv_id, count(*) as messages from conversations group by 1) on conv_id = o_custkey),
-      d as (select o_custkey, {_steps_sql('meds', _BURDEN, 0.1)} as medication, {_steps_sql('conds', _BURDEN, 0.1)} as condition, {_steps_sql('upcoming', [(2, 0.8), (1, 0.5)], 0.1)} as encounter,
-        least(1.0::double, (conds + meds) / 8.0::double + {_steps_sql('years', [(85, 0.25), (75, 0.15), (65, 0.05)], 0.0)}) as complexity, {_steps_sql('messages', [(6, 0.75), (2, 0.5), (1, 0.25)], 0.15)} as interaction from g),
-      s as (select *, round(medication * 0.25::double + condition * 0.25::double + encounter * 0.2::double + complexity * 0.2::double + interaction * 0.1::double, 4) as score from d)
-      select *, case when score < 0.35 and greatest(medication, condition, encounter, complexity, interaction) < 0.4 then 'STABLE' when score < 0.4 then 'LOW_ACTIVITY' when score < 0.6 then 'MODERATE_ACTIVITY' else 'HIGH_ACTIVITY' end as state from s""",
+    "k7_realtime": _realtime_sql("true"),
+    "k7_moves": f"""with a as ({_realtime_sql("true")}), b as ({_realtime_sql(f"o_orderdate::date < date '{AS_OF}'")}),
+      l as (select a.o_custkey, b.state as previous, a.state, a.score - coalesce(b.score, 0) as delta, list_position({_LEVELS}, a.state) - list_position({_LEVELS}, b.state) as up from a left join b using (o_custkey))
+      select o_custkey, previous, state, case when up is null then 'INITIAL' when up = 0 then 'CONTINUATION' when up > 0 then 'ESCALATION' else 'DE_ESCALATION' end as type,
+        case when up is null then 'NONE' when up = 0 then 'STABLE' when up > 0 then 'UP' else 'DOWN' end as direction, case when up <> 0 then round(abs(delta) * 10, 4) else 0.0::double end as magnitude, round(delta, 4) as score_delta from l""",
     "k9_reminders": "select 'medication' as kind, o_custkey, o_orderkey as id, o_orderpriority from orders where o_orderstatus = 'O' union all select 'appointment', o_custkey, o_orderkey, null from orders where o_orderdate::date >= date '2000-01-01'",
     "m1_quality": _T + " select unnest(['rows', 'null_entity', 'null_date', 'null_code', 'entities', 'repeated_ids']) as name, unnest([count(*), count(*) filter (entity is null), count(*) filter (d is null), count(*) filter (code is null), count(distinct entity), count(*) - count(distinct seq)]) as n from t",
 }
