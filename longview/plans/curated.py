@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import care_state as cs
 from ..operators import chunking, curation
 from ..operators import profiles as P
+from ..operators import validation as V
+from ..operators.statistics import paired
 from ..tables import load, timeline
+from . import corpus, evaluation, relational
 from . import longitudinal as L
 
 
-def _checks(rows: DataFrame, rules: dict) -> DataFrame:
-    """How many rows violate each rule."""
-    sums = rows.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()))
-    pairs = ", ".join(f"'{n}', {n}" for n in rules)
-    return sums.selectExpr(f"stack({len(rules)}, {pairs}) as (rule, violations)")
-
-
-def _none(rules: list[str]) -> str:
-    return "select unnest([" + ", ".join(f"'{r}'" for r in rules) + "]) as rule, 0::bigint as violations"
-
-
 def b25_sentences(spark, sf):
     return curation.candidates(load(spark, sf, "benchmark").filter("text is not null")).groupBy("reason").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
@@ -70,66 +62,40 @@ def d10_features(spark, sf):
     return timeline(spark, sf).groupBy("entity").agg(c("error", "signup").alias("either"), c("error").alias("conditions"), c("signup").alias("allergies"))
 
 
-M2 = ["span_order", "dated_within_events", "codes_within_events", "negative_rate"]
+def _copies(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("copies")), list(keys))
 
 
 def m2_profiles(spark, sf):
-    return _checks(P.profile(timeline(spark, sf)), {
-        M2[0]: F.col("first_date") > F.col("last_date"), M2[1]: F.col("dated") > F.col("events"), M2[2]: F.col("codes") > F.col("events"), M2[3]: F.col("per_year") < 0,
-    })
-
-
-M3 = ["recent_within_total", "parts_make_total", "negative_count"]
+    return V.violations(_copies(P.profile(timeline(spark, sf)), "entity"), V.PROFILES)
 
 
 def m3_features(spark, sf):
     t = timeline(spark, sf)
-    rows = P.profile(t).join(P.trailing(t, 7), "entity")
-    kinds = [f"recent_{k}" for k in ("view", "click", "error", "purchase", "signup")]
-    return _checks(rows, {M3[0]: F.col("recent") > F.col("events"), M3[1]: sum((F.col(k) for k in kinds[1:]), F.col(kinds[0])) != F.col("recent"), M3[2]: F.least(*kinds) < 0})
-
-
-M5 = ["unknown_strategy", "gap_flag_missing", "no_actions", "onboarding_first_only", "repeated_key"]
+    return V.violations(_copies(P.profile(t).join(P.trailing(t, 7), "entity"), "entity"), V.FEATURES)
 
 
 def m5_plans(spark, sf):
-    rows = cs.plans(cs.strategies(L._helped(spark, sf)))
-    keyed = rows.groupBy("entity", "window_start").agg(F.count("*").alias("copies"))
-    return _checks(rows.join(keyed, ["entity", "window_start"]), {
-        M5[0]: ~F.col("strategy").isin(*cs.ACTIONS), M5[1]: (F.col("strategy") == "DATA_COLLECTION_SUPPORT") & ~F.col("safety_flags").contains(cs.GAP_SAFETY),
-        M5[2]: F.col("actions") == "", M5[3]: (F.col("strategy") == "ONBOARDING_SUPPORT") & F.col("previous_state").isNotNull(), M5[4]: F.col("copies") > 1,
-    })
-
-
-M6 = ["empty_chunk", "too_many_words", "start_out_of_step", "id_form"]
+    rows = cs.plans(cs.strategies(L._helped(spark, sf))).select("entity", "window_start", "strategy", "actions", "safety_flags")
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("entity").orderBy("window_start")))
+    return V.violations(_copies(placed, "entity", "window_start"), V.PLANS)
 
 
 def m6_corpus(spark, sf):
-    c = chunking.word_windows(load(spark, sf, "documents").filter("text is not null").select("doc_id", "text"), 180, 40)
-    form = F.format_string("doc%06d__%05d", F.col("doc_id"), F.col("chunk_id"))
-    return _checks(c, {M6[0]: F.length("chunk") == 0, M6[1]: F.col("words") > 180, M6[2]: F.col("start") != (F.col("chunk_id") - 1) * 140, M6[3]: ~form.rlike("^doc[0-9]{6,}__[0-9]{5,}$")})
-
-
-M7 = ["place_gap", "repeated_sentence"]
+    c = chunking.word_windows(load(spark, sf, "documents").filter("text is not null").select("doc_id", "text"), 180, 40).select("doc_id", "chunk_id", "words")
+    by = c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("chunk_id").alias("last"))
+    return V.violations(c.join(by, "doc_id").withColumn("id", F.format_string("doc%06d__%05d", "doc_id", "chunk_id")), V.CHUNKS)
 
 
 def m7_benchmark(spark, sf):
     """Accepted sentences: places without gaps, none twice."""
     rows = j17_questions(spark, sf)
-    by = rows.groupBy("item_id").agg(F.count("*").alias("n"), F.max("place").alias("last"), F.countDistinct("pos").alias("kinds"))
-    return _checks(by, {M7[0]: F.col("n") != F.col("last"), M7[1]: F.col("n") != F.col("kinds")})
-
-
-M8 = ["wins_make_n", "mean_difference", "interval_order"]
+    return V.violations(rows.groupBy("item_id").agg(F.count("*").alias("n"), F.max("place").alias("last"), F.countDistinct("pos").alias("kinds")), V.QUESTIONS)
 
 
 def m8_experiments(spark, sf):
     """A paired summary against itself."""
-    from .evaluation import _conditions
-    from ..operators.statistics import paired
-
-    rows = paired(_conditions(spark, sf), "a", "b")
-    return _checks(rows, {M8[0]: F.col("above") + F.col("equal") + F.col("below") != F.col("n"), M8[1]: F.abs(F.col("mean_a") - F.col("mean_b") - F.col("mean_diff")) > 1e-5, M8[2]: F.col("low") > F.col("high")})
+    return V.violations(paired(evaluation._conditions(spark, sf), "a", "b"), V.EXPERIMENTS)
 
 
 _CAND = """with s as (select item_id, unnest(x) as sentence, unnest(range(len(x))) as pos from (select item_id, regexp_split_to_array(text, '\\. |\\n') as x from benchmark where text is not null)),
@@ -146,7 +112,12 @@ SQL = {
     "c12_labels": "select lang, count(*) as n, sum(quality)::bigint as good, sum(toxic)::bigint as toxic from labels join documents using (doc_id) group by 1",
     "d5_medication": "select user_id as entity, json_extract_string(props, '$.k') as code, count(*) as n, count(distinct ts::date) as days, max(ts::date) as latest, round(sum(value), 4) as spent from events where event_type = 'purchase' group by all",
     "d10_features": "with t as (select user_id as entity, event_type as kind, json_extract_string(props, '$.k') as code from events) select entity, count(distinct code) filter (kind in ('error', 'signup')) as either, count(distinct code) filter (kind = 'error') as conditions, count(distinct code) filter (kind = 'signup') as allergies from t group by 1",
-    "m2_profiles": _none(M2), "m3_features": _none(M3), "m5_plans": _none(M5), "m6_corpus": _none(M6), "m7_benchmark": _none(M7), "m8_experiments": _none(M8),
+    "m2_profiles": V.violations_sql(f"select *, count(*) over (partition by entity) as copies from ({relational.SQL['d6_profile']})", V.PROFILES),
+    "m3_features": V.violations_sql(f"select *, count(*) over (partition by p.entity) as copies from ({relational.SQL['d6_profile']}) p join ({relational.SQL['d9_trailing']}) q using (entity)", V.FEATURES),
+    "m5_plans": V.violations_sql(f"select *, row_number() over (partition by entity order by window_start) as place, count(*) over (partition by entity, window_start) as copies from ({L.SQL['k6_actions']})", V.PLANS),
+    "m6_corpus": V.violations_sql(f"select *, count(*) over (partition by doc_id) as chunks, max(chunk_id) over (partition by doc_id) as last, printf('doc%06d__%05d', doc_id, chunk_id) as id from ({corpus.SQL['j8_chunks']})", V.CHUNKS),
+    "m7_benchmark": "select unnest(['place_gap', 'repeated_sentence']) as rule, 0::bigint as violations",
+    "m8_experiments": V.violations_sql(f"select p.*, q.t, q.low, q.high from ({evaluation.SQL['l1_paired']}) p, ({evaluation.SQL['l2_t']}) q", V.EXPERIMENTS),
 }
 _PLAIN = ["e10_accept", "j17_questions"]
 QUERIES = {name: globals()[name] for name in [*SQL, *_PLAIN]}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import level, pct, signed
 from ..operators import care_state as cs
+from ..operators import validation
 from ..tables import timeline
 
 KEYS = ["entity", "window_start"]
@@ -155,17 +156,7 @@ def d14_rollup(spark, sf):
 def m4_rules(spark, sf):
     """Invariants of windows and moves: violations by rule, 0 each."""
     rows = _helped(spark, sf).join(_states(spark, sf).select(*KEYS, "overall_score", "has_data"), KEYS)
-    rules = {
-        "no_data_without_score": (F.col("current_state") == "NO_DATA") & F.col("overall_score").isNotNull(),
-        "score_range": ~F.coalesce(F.col("overall_score").between(0, 1), F.lit(True)),
-        "no_data_waits": (F.col("current_state") == "NO_DATA") & (F.col("transition_type") != "INITIAL_STATE") & (F.col("assistance_mode") != "WAIT_FOR_DATA"),
-        "gap_has_no_data": (F.col("transition_type") == "GAP") & (F.col("current_state") != "NO_DATA") & (F.col("previous_state") != "NO_DATA"),
-        "escalation_increases": (F.col("transition_type") == "STATE_ESCALATION") & (F.col("transition_direction") != "INCREASING"),
-        "known_state": ~F.col("current_state").isin("NO_DATA", *cs.ORDER),
-    }
-    sums = rows.agg(*(F.count_if(c).alias(n) for n, c in rules.items()))
-    pairs = ", ".join(f"'{n}', {n}" for n in rules)
-    return sums.selectExpr(f"stack({len(rules)}, {pairs}) as (rule, violations)")
+    return validation.violations(rows, validation.WINDOWS)
 
 
 # SQL
