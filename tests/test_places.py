@@ -87,6 +87,11 @@ def test_keyed_table(spark, tmp_path):
     t.compact()
     assert {r._change for r in t.read().collect()} == {"x", "y", "z"}
     assert got() == sorted([(1, "again"), (2, None), (3, "c"), (None, "n")], key=str)
+    again = KeyedTable(spark, str(tmp_path / "t"), t.schema, ["k"])
+    assert (again.changes, again.first) == (t.changes, t.first) == (5, 5)
+    again.upsert(rows((4, "d", "z")))
+    t = KeyedTable(spark, str(tmp_path / "t"), t.schema, ["k"])
+    assert got() == sorted([(1, "again"), (2, None), (3, "c"), (4, "d"), (None, "n")], key=str)
     with pytest.raises(ValueError):
         t.upsert(rows((1, "a", "x"), (1, "b", "x")))
 
