@@ -1,6 +1,6 @@
 """Line dedup by overlapping three-line windows, in DataFrame operations only.
 
-Every three consecutive lines of a document are hashed. Of the windows with one hash, the first by (doc_id, line)
+Every three consecutive lines of a document are hashed. Of the windows with one hash, the first by (doc_id, text's hash, line)
 stays; each later one covers its three lines, the covered positions of a document are merged to intervals, and
 the lines outside them are kept. Every removed line has an equal line at an earlier place, so the first copy
 of each line's text always stays.
@@ -11,7 +11,8 @@ one document's own.
 
 Defined results: a null text stays null, and texts of fewer than three lines stay as they are; lines are
 compared exactly, blank ones too; a text of which every line is covered becomes empty; a row with a null id is
-left as it is and takes no part; rows repeated under one id are one document and are cut alike; other columns
+left as it is and takes no part; rows repeated under one id and text are one document and are cut alike, rows of one id with different texts are documents
+of their own, in the order of their texts' hashes; other columns
 are kept, whatever their names, but for n_lines and n_removed, which the result's take the place of.
 """
 
@@ -26,36 +27,35 @@ SPAN = 3
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id"), F.split(F.col("text").cast("string"), "\n", -1).alias("_lines"))
+    return docs.select(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.split(F.col("text").cast("string"), "\n", -1).alias("_lines"))
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, h): a 128-bit hash of each three consecutive lines."""
+    """(doc_id, t, pos, h): a 128-bit hash of each three consecutive lines; t is the text's hash."""
     rows = _lines(docs.filter("doc_id is not null and text is not null")).filter(F.size("_lines") >= SPAN)
     at = F.sequence(F.lit(1), F.size("_lines") - (SPAN - 1))
     joined = F.transform(at, lambda i: F.unhex(F.md5(F.concat_ws("\n", F.slice("_lines", i, F.lit(SPAN))).cast("binary"))))
-    return rows.select("doc_id", F.posexplode(joined).alias("pos", "h"))
+    return rows.select("doc_id", "t", F.posexplode(joined).alias("pos", "h"))
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """(doc_id, intervals): the merged covered line positions [lo, hi) of each document that has any, in order."""
+    """(doc_id, t, intervals): the merged covered line positions [lo, hi) of each document that has any, in order."""
     seen = windows(docs)
-    first = seen.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = first.select("h", F.col("first.doc_id").alias("d0"), F.col("first.pos").alias("p0"))
-    later = seen.join(first, "h").filter("doc_id <> d0 or pos <> p0").select("doc_id", "pos")
-    by_doc = Window.partitionBy("doc_id").orderBy("pos")
+    first = seen.groupBy("h").agg(F.min(F.struct("doc_id", "t", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
+    later = seen.join(first, "h").filter(F.struct("doc_id", "t", "pos") != F.col("first")).select("doc_id", "t", "pos")
+    by_doc = Window.partitionBy("doc_id", "t").orderBy("pos")
     new = F.coalesce((F.col("pos") > F.lag("pos").over(by_doc) + SPAN).cast("int"), F.lit(1))
     islands = later.withColumn("new", new).withColumn("island", F.sum("new").over(by_doc))
-    merged = islands.groupBy("doc_id", "island").agg(F.min("pos").alias("lo"), (F.max("pos") + SPAN).alias("hi"))
-    return merged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_cut"))
+    merged = islands.groupBy("doc_id", "t", "island").agg(F.min("pos").alias("lo"), (F.max("pos") + SPAN).alias("hi"))
+    return merged.groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_cut"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with the covered lines taken out of text, and n_lines and n_removed."""
     names = docs.columns
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").alias("id"))
-    cut = covered(docs).select(F.col("doc_id").alias("at"), F.col("_cut").alias("cut"))
-    rows = whole.join(cut, F.col("id") == F.col("at"), "left").select("row", "cut", F.split(F.col("row.text").cast("string"), "\n", -1).alias("lines"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    cut = covered(docs).select(F.col("doc_id").alias("at"), "t", F.col("_cut").alias("cut"))
+    rows = whole.join(cut, (F.col("id") == F.col("at")) & (F.col("hash") == F.col("t")), "left").select("row", "cut", F.split(F.col("row.text").cast("string"), "\n", -1).alias("lines"))
     kept = F.expr("""
         flatten(transform(sequence(0, size(cut)), j -> slice(lines,
             if(j = 0, 0, cut[greatest(j - 1, 0)].hi) + 1,
