@@ -15,7 +15,8 @@ linked to needs no further comparison. A group of n copies costs O(n) pairs, and
 components is left out.
 
 Defined results: null and empty texts have no shingles and form components of their own; a row with a null id
-is left out; rows repeated under one id and text count once; extra columns are ignored.
+is left out; each row repeated under one id and text gets the same result; rows of one id with different texts are documents
+of their own, each with its text's component, so that a text's copies never drop another text; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def _sign(words: int):
                     d2[n > 0] = np.add.reduceat(mix(flat * _A[0] + _B[1]), first).view(np.int64)
                     for i, s in zip(np.flatnonzero(n > 0), _signatures(full), strict=True):
                         sig[i] = s.tobytes()
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n": n, "d1": d1, "d2": d2, "sig": sig})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "t": pdf["t"].to_numpy(), "n": n, "d1": d1, "d2": d2, "sig": sig})
 
     return run
 
@@ -251,19 +252,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     if percent < 80:
         raise ValueError("the signature's guarantee holds for a similarity of 0.8 or more")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
-    signed = materialize(texts.mapInPandas(tidy(_sign(words)), "doc_id long, n long, d1 long, d2 long, sig binary"), "signed")
+    # a row is known by its id and its text's hash, as one id may have several texts
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").withColumn("t", F.xxhash64("text"))
+    signed = materialize(texts.mapInPandas(tidy(_sign(words)), "doc_id long, t long, n long, d1 long, d2 long, sig binary"), "signed")
     full = signed.filter("n > 0")
-    classes = materialize(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = materialize(full.select("doc_id", "n", "sig").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "reps")
+    first = full.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "t")).alias("first"))
+    classes = materialize(first.select("n", "d1", "d2", F.col("first.doc_id").alias("rep"), F.col("first.t").alias("t"), F.monotonically_increasing_id().alias("node")), "classes")
+    row_of = classes.select(F.col("rep").alias("doc_id"), "t", "node")
+    # from here on doc_id is the number of a class of equal sets
+    reps = full.select("doc_id", "t", "sig").join(row_of, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"])
+    reps = materialize(reps.select(F.col("node").alias("doc_id"), "sig"), "reps")
 
     keys = reps.select("doc_id", "sig").mapInPandas(tidy(_keys), "key long, slot byte, doc_id long")
     several = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("key")
     shared = materialize(keys.join(several, "key"), "shared")
 
     # the texts that later steps need, by the same plan at every size: one pass over the corpus's texts, in one shuffle
-    near = shared.select("doc_id").distinct().hint("merge")
-    texts = materialize(texts.join(near, "doc_id").dropDuplicates(["doc_id"]), "near-texts")
+    near = row_of.join(shared.select(F.col("doc_id").alias("node")).distinct(), "node").hint("merge")
+    texts = materialize(texts.join(near, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select(F.col("node").alias("doc_id"), "text"), "near-texts")
 
     links, joined = None, None
     for turn in range(ROUNDS):
@@ -278,7 +284,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if not member.isEmpty():
         links, joined = _grown(links, cross_links(member, texts, words, percent))
 
-    labels = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    named = materialize(joined.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id")), "named")
+    labels = classes.join(joined, "node", "left").join(named, "component", "left").select("n", "d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
     found = full.select("doc_id", "n", "d1", "d2").join(labels, ["n", "d1", "d2"]).select("doc_id", "n", "component_id")
     alone = signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return found.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

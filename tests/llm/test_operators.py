@@ -70,6 +70,13 @@ def test_line_dedup_keeps_columns_of_any_name(spark):
     assert len(rows) == len(ODD) and all(r[k] == f"own {k}" for r in rows for k in names if k != "n_lines") and {r["n_lines"] for r in rows if r["doc_id"] == 5} == {4}
 
 
+def test_line_dedup_one_id_with_two_texts(spark):
+    """A line that occurs once stays, whatever another row of its id loses."""
+    rows = [(0, "a\nb\nc"), (1, "a\nb\nc\nd"), (1, "x\ny\nz\nw"), (1, "x\ny\nz\nw"), (2, "x\ny\nz")]
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.line_dedup(docs(spark, rows)).collect())
+    assert got == [(0, "a\nb\nc", 0), (1, "d", 3), (1, "x\ny\nz\nw", 0), (1, "x\ny\nz\nw", 0), (2, "", 3)]
+
+
 # Language
 
 
@@ -295,6 +302,15 @@ def test_near_dedup_edges(spark):
     assert None not in got and near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_dedup_one_id_with_two_texts(spark):
+    """Each text of an id has its own component; a copy of one doesn't drop the other."""
+    words = [f"w{i}" for i in range(40)]
+    a, b, c = " ".join(words), " ".join([*words[:39], "z"]), " ".join(reversed(words))
+    rows = [(3, a), (5, b), (5, c), (5, c), (7, c + " tail"), (2, "other text of an id"), (2, b + " end")]
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(docs(spark, rows), words=2).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    assert got == [(2, 4, 2, True), (2, 40, 2, True), (3, 39, 2, False), (5, 39, 2, False), (5, 39, 5, True), (5, 39, 5, True), (7, 40, 5, False)]
+
+
 def test_pigeonhole_keys():
     """Signatures that differ in 19 of 60 symbols share a key, wherever they differ."""
     import pandas as pd
