@@ -1,103 +1,10 @@
-"""Lexical and dense scoring, fusion and ranking metrics."""
+"""Ranks, fusion of ranked lists and ranking metrics."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import storage
-
-K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Rows of terms up to which they are broadcast (some 30 bytes each).
-FEW = 500_000
-#: Vectors of one block.
-BLOCK = 1024
-
-
-@dataclass
-class Index:
-    """A lexical index: rows (key, dl, terms) and stats (term, df, idf) as tables, the number of rows and their mean length."""
-
-    key: str
-    rows: DataFrame
-    stats: DataFrame
-    n: int
-    avgdl: float
-
-
-def write_index(docs: DataFrame, key: str, tokens: Column, path: str) -> None:
-    """The index of docs as tables under path. Each text is cut into terms once; document frequencies are combined
-    before the shuffle.
-
-    A term in more than half of all documents has a negative inverse frequency, for which EPSILON times the mean stands.
-    """
-    docs.select(F.col(key), tokens.alias("terms")).select(key, F.size("terms").cast("long").alias("dl"), "terms").write.parquet(f"{path}/rows")
-    rows = docs.sparkSession.read.parquet(f"{path}/rows")
-    shape = rows.agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).first()
-    df = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(float(shape["n"])) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    raw.write.parquet(f"{path}/raw")
-    raw = docs.sparkSession.read.parquet(f"{path}/raw")
-    low = raw.agg(F.avg("raw")).first()[0] or 0.0
-    raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(low * EPSILON)).otherwise(F.col("raw")).alias("idf")).write.parquet(f"{path}/stats")
-
-
-def read_index(spark: SparkSession, key: str, path: str) -> Index:
-    rows, stats = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/stats")
-    shape = rows.agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).first()
-    return Index(key, rows, stats, shape["n"], (shape["dl"] or 0) / max(1, shape["n"]))
-
-
-def bm25(index: Index, asked: DataFrame) -> DataFrame:
-    """Scores of asked (query_id, term), repeated terms counted as often. Only occurrences of asked terms are shuffled:
-    the asked terms with their statistics are sent to the index's rows where they are few, and joined by shuffle
-    beyond FEW."""
-    terms = storage.written(asked.groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
-    wanted = storage.written(terms.select("term").distinct().join(index.stats.select("term", "idf"), "term"), "wanted")
-    few = wanted.count() <= FEW
-    hits = index.rows.select(index.key, "dl", F.explode("terms").alias("term")).join(F.broadcast(wanted) if few else wanted, "term")
-    tf = hits.groupBy(index.key, "dl", "term", "idf").agg(F.count("*").alias("tf"))
-    share = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
-    weighed = tf.select(index.key, "term", share.alias("share"))
-    found = weighed.join(F.broadcast(terms) if few and terms.count() <= FEW else terms, "term")
-    return found.groupBy("query_id", index.key).agg(F.round(F.sum(F.col("times") * F.col("share")), 9).alias("score"))
-
-
-def _blocks(rows: DataFrame, key: str, vector: str, name: str) -> DataFrame:
-    """Rows packed BLOCK at a time within each partition; nothing is shuffled for it."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for at in range(0, len(pdf), BLOCK):
-                part = pdf.iloc[at : at + BLOCK]
-                yield pd.DataFrame({f"{name}_ids": [part[key].tolist()], f"{name}_v": [np.stack(part[vector]).astype(np.float64).tobytes()]})
-
-    return rows.select(key, vector).filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).mapInPandas(run, f"{name}_ids array<long>, {name}_v binary")
-
-
-def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Scores (query_id, key, score) of asked (query_id, q) with the k best of every block of vectors, ties by key, so
-    the k best of all are among them. Every block of queries meets every block of vectors, in rows of the join; rows
-    without an id or a vector take no part, and vectors have one length.
-    """
-    key = vectors.columns[0]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for asked_ids, q, ids, v in pdf.itertuples(index=False, name=None):
-                asked_ids, ids = np.array(asked_ids, np.int64), np.array(ids, np.int64)
-                order = np.argsort(ids, kind="stable")
-                ids, score = ids[order], np.round(np.frombuffer(q).reshape(len(asked_ids), -1) @ np.frombuffer(v).reshape(len(ids), -1)[order].T, 9)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(asked_ids, best.shape[1]), key: ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
-
-    pairs = _blocks(asked, "query_id", "q", "a").crossJoin(_blocks(vectors, key, "embedding", "b"))
-    return pairs.select("a_ids", "a_v", "b_ids", "b_v").mapInPandas(run, f"query_id long, {key} long, score double")
-
 
 def top_k(rows: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
     """The k best of each group; the engine drops what can't rank before it shuffles."""

@@ -1,8 +1,10 @@
 """Retrieval and gating: BM25, dense search, fusion, rerank, reliability, decisions, gate and ranking metrics.
 
-Questions are all of the benchmark's passages, whole; dense searches are all vectors whose id is divisible by 20; what is
-indexed are all word windows of each document (J8), and a document ranks by its best window. Gold are the documents
-that hold the whole passage, word by word. The SQL states the same over the same rows.
+Questions are all of the benchmark's passages, whole. What is indexed are all word windows of each document (J8), and a document
+ranks by its best window. Gold are the documents that hold the whole passage, word by word. A question's vector is that
+of the first gold document that has one, else the one of its own number; the vectors it is compared with are
+those of documents. The index and the vector stores are written once for a table's files. J2 searches with all vectors
+whose id is divisible by 20. The SQL states the same over the same rows.
 """
 
 from __future__ import annotations
@@ -12,48 +14,43 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import text as X
-from ..operators import chunking, gate, ranking, reliability
+from ..operators import gate, postings, ranking, reliability, vectors
 from ..tables import load
 
 TOP = 5
-#: Every vector whose id is divisible by this is a dense search.
+#: Words of a window and words in common.
+SIZE, OVERLAP = 180, 40
+#: Every vector whose id is divisible by this is a dense search of J2.
 EVERY = 20
-#: Words of a passage's beginning by which documents that may hold it are found.
-LEAD = 8
-
-
-def _chunks(spark, sf) -> DataFrame:
-    """All windows of each document as passages, 180 words each and 40 in common; chunk_id is the document's id."""
-    docs = load(spark, sf, "documents").filter("text is not null")
-    windows = chunking.word_windows(docs.select("doc_id", "text"), 180, 40)
-    rows = windows.select(F.struct(F.col("doc_id").alias("chunk_id"), F.col("chunk_id").alias("window")).alias("passage"), F.col("chunk").alias("text"))
-    return rows.select("passage", F.col("passage.chunk_id").alias("chunk_id"), "text")
+#: Weights of the dense and the sparse list, and how long both are, of the first and the second retrieval.
+FIRST, SECOND = (0.6, 0.4, 10), (0.4, 0.6, 20)
 
 
 def _questions(spark, sf) -> DataFrame:
     return load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _index(spark, sf) -> ranking.Index:
-    path = storage.folder(spark, "index")
-    ranking.write_index(_chunks(spark, sf), "passage", X.terms(F.col("text")), path)
-    return ranking.read_index(spark, "passage", path)
+def _terms(spark, sf) -> DataFrame:
+    return _questions(spark, sf).select("query_id", F.explode(X.terms(F.col("text"))).alias("term"))
 
 
-def _sparse(spark, sf, k: int) -> DataFrame:
-    """The k best documents of each question, each by its best window (the earliest of equals); written once."""
-    asked = _questions(spark, sf).select("query_id", F.explode(X.terms(F.col("text"))).alias("term"))
-    scored = ranking.bm25(_index(spark, sf), asked)
-    best = scored.groupBy("query_id", F.col("passage.chunk_id").alias("chunk_id")).agg(F.max(F.struct("score", (-F.col("passage.window")).alias("at"))).alias("b"))
-    rows = best.select("query_id", "chunk_id", F.col("b.score").alias("score"), (-F.col("b.at")).alias("window"))
-    return storage.written(ranking.top_k(rows, "query_id", "score", "chunk_id", k), "sparse")
+def _index(spark, sf) -> postings.Index:
+    docs = load(spark, sf, "documents")
+    return storage.shared(docs, "index", lambda path: postings.write(docs.select("doc_id", "text"), SIZE, OVERLAP, path))
 
 
-def _dense(spark, sf, k: int) -> DataFrame:
-    v = load(spark, sf, "embeddings")
-    asked = v.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    rows = ranking.nearest(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, k)
-    return ranking.top_k(rows, "query_id", "score", "chunk_id", k)
+def _store(spark, sf, of_documents: bool = False) -> vectors.VectorStore:
+    v, label = load(spark, sf, "embeddings"), "vectors"
+    rows = v.select("vec_id", "embedding")
+    if of_documents:
+        docs, label = load(spark, sf, "documents"), "document-vectors"
+        rows = rows.join(docs.filter(F.size(_words(F.col("text"))) > 0).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return storage.shared(v, label, lambda path: vectors.VectorStore.create(rows, path))
+
+
+def _sparse(spark, sf, k: int) -> DataFrame:
+    """The k best documents of each question, each by its best window (the earliest of equals); written once."""
+    return postings.best(_index(spark, sf), _terms(spark, sf), k).withColumnRenamed("doc", "chunk_id")
 
 
 def j1_bm25(spark, sf):
@@ -66,17 +63,35 @@ def a14_index(spark, sf):
 
 
 def j2_dense(spark, sf):
-    return _dense(spark, sf, TOP).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    asked = load(spark, sf, "embeddings").filter(F.col("vec_id") % EVERY == 0).select("vec_id", "embedding")
+    rows, _ = vectors.nearest(_store(spark, sf), asked, TOP)
+    return rows.select("query_id", "rank", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
-def _fused(spark, sf) -> DataFrame:
-    return ranking.fuse(_dense(spark, sf, 10), _sparse(spark, sf, 10), 0.6, 0.4)
+def _asked_vectors(spark, sf, gold: DataFrame) -> DataFrame:
+    """(query_id, q): the vector of each question's first gold document that has one, else of its own number."""
+    v = load(spark, sf, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("at"), F.col("embedding").cast("array<double>").alias("q"))
+    own = gold.join(v.select(F.col("at").alias("chunk_id")), "chunk_id", "left_semi").groupBy("query_id").agg(F.min("chunk_id").alias("own"))
+    asked = _questions(spark, sf).select("query_id").join(own, "query_id", "left").select("query_id", F.coalesce("own", "query_id").alias("at"))
+    return storage.written(asked.join(v, "at").select("query_id", "q"), "asked-vectors")
+
+
+def _lists(spark, sf, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The questions' vectors, and their k best documents by product and by terms; each written once."""
+    asked = _asked_vectors(spark, sf, _gold(spark, sf))
+    dense, _ = vectors.nearest(_store(spark, sf, True), asked, k)
+    return asked, dense.withColumnRenamed("id", "chunk_id"), _sparse(spark, sf, k)
+
+
+def _fused(dense: DataFrame, sparse: DataFrame, setting: tuple) -> DataFrame:
+    w_dense, w_sparse, k = setting
+    return ranking.fuse(dense.filter(F.col("rank") <= k), sparse.filter(F.col("rank") <= k), w_dense, w_sparse).withColumn("score", F.round("hybrid", 9))
 
 
 def c5_fusion(spark, sf):
     """Both candidate lists joined, absent scores 0."""
-    rows = _fused(spark, sf)
-    return rows.select("query_id", "chunk_id", F.round("dense", 6).alias("dense"), F.round("sparse", 6).alias("sparse"))
+    _, dense, sparse = _lists(spark, sf, 10)
+    return _fused(dense, sparse, FIRST).select("query_id", "chunk_id", F.round("dense", 6).alias("dense"), F.round("sparse", 6).alias("sparse"))
 
 
 def e8_max_norm(spark, sf):
@@ -85,22 +100,32 @@ def e8_max_norm(spark, sf):
 
 
 def j3_hybrid(spark, sf):
-    rows = ranking.top_k(_fused(spark, sf).withColumn("score", F.round("hybrid", 9)), "query_id", "score", "chunk_id", TOP)
+    _, dense, sparse = _lists(spark, sf, 10)
+    rows = ranking.top_k(_fused(dense, sparse, FIRST), "query_id", "score", "chunk_id", TOP)
     return rows.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
-def _evidence(spark, sf) -> DataFrame:
-    """The sparse top five with their best windows' texts, authority and a cosine stand-in in [-1, 1]."""
-    found = _sparse(spark, sf, TOP)  # a few rows per question, read with their windows only
-    label = X.authority(F.when(F.col("chunk_id") % 4 == 0, "World Health Organization").when(F.col("chunk_id") % 4 == 1, "").otherwise(F.col("source")), F.lit(""))
-    chunks = _chunks(spark, sf).select("chunk_id", F.col("passage.window").alias("window"), F.col("text").alias("chunk"))
-    sources = load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
-    rows = found.join(chunks, ["chunk_id", "window"]).join(sources, "chunk_id").join(_questions(spark, sf).withColumnRenamed("text", "question"), "query_id")
-    most = F.max("score").over(Window.partitionBy("query_id"))
-    rows = rows.select("query_id", "rank", "chunk_id", "question", "chunk", "source", X.authority_score(label).alias("authority"), F.round(F.col("score") / most * 2 - 1, 6).alias("cosine"))
+def _retrieved(spark, sf, lists: tuple, setting: tuple) -> DataFrame:
+    """The five best of a fused list with the window that stands for each (the best by terms, else the first), its text, the authority of source
+    and text, and the cosine of question and document (0 where the document has no vector)."""
+    asked, dense, sparse = lists
+    best = ranking.top_k(_fused(dense, sparse, setting), "query_id", "score", "chunk_id", TOP).select("query_id", "rank", "chunk_id")
+    best = best.join(sparse.filter(F.col("rank") <= setting[2]).select("query_id", "chunk_id", "window"), ["query_id", "chunk_id"], "left").withColumn("window", F.coalesce("window", F.lit(1)))
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
+    v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = best.join(docs, "chunk_id").join(v, "chunk_id", "left").join(asked, "query_id", "left").join(_questions(spark, sf).withColumnRenamed("text", "question"), "query_id")
+    words = F.filter(F.split("text", r"[ \n\t\r\f\x0B]+"), lambda w: w != "")
+    chunk = F.array_join(F.slice(words, (F.col("window") - 1).cast("int") * (SIZE - OVERLAP) + 1, F.lit(SIZE)), " ")
+    cosine = F.round(F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 9)
+    rows = rows.withColumn("chunk", chunk).withColumn("authority", X.authority_score(X.authority(F.col("source"), F.col("chunk"))))
+    rows = rows.select("query_id", "rank", "chunk_id", "question", "chunk", "source", "authority", F.coalesce(cosine, F.lit(0.0)).alias("cosine"))
     return storage.written(rows, "evidence")
 
 
+def _evidence(spark, sf) -> DataFrame:
+    return _retrieved(spark, sf, _lists(spark, sf, FIRST[2]), FIRST)
+
+
 def j4_rerank(spark, sf):
     """Five candidates ranked again by how much of the question each covers, ties in the first order; three stay."""
     rows = _evidence(spark, sf).withColumn("cover", X.coverage(X.terms(F.col("question")), X.terms(F.col("chunk"))))
@@ -120,17 +145,11 @@ def j7_aggregate(spark, sf):
 
 
 def c8_conflict(spark, sf):
-    return reliability.conflicts(_told(spark, sf))
-
-
-def _told(spark, sf) -> DataFrame:
-    """Evidence whose texts also recommend or advise against, so that conflicts occur."""
-    advice = F.when(F.col("rank") % 2 == 0, F.lit(" this should be done always by everyone")).otherwise(F.lit(" this should not be done ever by everyone"))
-    return _evidence(spark, sf).withColumn("chunk", F.when(F.col("query_id") % 3 == 0, F.concat("chunk", advice)).otherwise(F.col("chunk")))
+    return reliability.conflicts(_evidence(spark, sf))
 
 
 def _judged(spark, sf) -> DataFrame:
-    return reliability.reliability(_told(spark, sf))
+    return reliability.reliability(_evidence(spark, sf))
 
 
 def j12_reliability(spark, sf):
@@ -142,9 +161,9 @@ def j13_decision(spark, sf):
 
 
 def j14_gate(spark, sf):
-    first = _told(spark, sf)  # written once
-    second = first.filter("rank <= 2").withColumn("authority", F.lit(1.0)).withColumn("cosine", F.lit(0.9))
-    return gate.run(first, second)
+    """The gate over two retrievals: the second looks deeper and gives terms more weight."""
+    lists = _lists(spark, sf, SECOND[2])
+    return gate.run(_retrieved(spark, sf, lists, FIRST), _retrieved(spark, sf, lists, SECOND))
 
 
 def d21_decisions(spark, sf):
@@ -156,21 +175,22 @@ def _words(text):
 
 
 def _gold(spark, sf) -> DataFrame:
-    """(query_id, chunk_id): documents that hold a passage word by word. Those that hold its first words are found by an
-    equi-join on them; each is then compared whole."""
-    q = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    q = q.select("query_id", F.least(F.lit(LEAD), F.size("w")).alias("n"), F.array_join(F.slice("w", 1, LEAD), " ").alias("lead"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("passage"))
-    d = load(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("chunk_id"), _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    short, long = q.filter(F.col("n") < LEAD), q.filter(F.col("n") == LEAD)
-    starts = F.sequence(F.lit(1), F.size("w"))
-    runs = d.select("chunk_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, LEAD), " "))).alias("lead"))
-    found = runs.join(long.select("lead", "query_id"), "lead").select("query_id", "chunk_id").distinct()
-    if not short.isEmpty():  # of passages of fewer words than LEAD, all their words are the key
-        sizes = F.array(*(F.lit(k) for k in range(1, LEAD)))
-        some = d.select("chunk_id", F.explode(F.flatten(F.transform(starts, lambda i: F.transform(sizes, lambda k: F.array_join(F.slice("w", i, k), " "))))).alias("lead"))
-        found = found.union(some.join(short.select("lead", "query_id"), "lead").select("query_id", "chunk_id").distinct())
-    whole = d.select("chunk_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("whole"))
-    held = storage.written(found, "candidates").join(q.select("query_id", "passage"), "query_id").join(whole, "chunk_id").filter(F.contains("whole", "passage"))
+    """(query_id, chunk_id): documents that hold a passage word by word. Such a document holds the passage's rarest term, so that term's
+    postings give all candidates; each is then compared whole. A passage without terms goes by its longest word."""
+    words = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    q = words.select("query_id", X.terms(F.col("text")).alias("terms"), "w", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("passage"))
+    index = _index(spark, sf)
+    known = q.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).join(index.stats.select("term", "df"), "term", "left")
+    rarest = known.groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).select("query_id", "r.term")
+    found = rarest.join(index.blocks.select("term", "docs"), "term").select("query_id", F.explode("docs").alias("chunk_id")).distinct()
+    docs = load(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("chunk_id"), "text")
+    other = q.filter(F.size("terms") == 0)
+    if not other.isEmpty():
+        longest = other.select("query_id", F.array_max(F.transform("w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
+        some = storage.spread(docs).select("chunk_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+        found = found.unionByName(some.join(longest, "word").select("query_id", "chunk_id"))
+    met = storage.written(found, "candidates").join(q.select("query_id", "passage"), "query_id").join(docs, "chunk_id")
+    held = met.filter(F.contains(F.concat(F.lit(" "), F.array_join(_words(F.col("text")), " "), F.lit(" ")), "passage"))
     return storage.written(held.select("query_id", "chunk_id").distinct(), "gold")
 
 
@@ -202,10 +222,11 @@ def j16_taxonomy(spark, sf):
 
 # SQL
 
+from ..operators.reliability import OPPOSED  # noqa: E402
 from .corpus import _TERMS, _WORDS, _windows_sql  # noqa: E402
 
 _ST = "(" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
-_CH = f"with d as (select * from documents where text is not null), wd as ({_windows_sql(180, 40)}), ch as (select wd.doc_id as chunk_id, wd.chunk_id as win, array_to_string(c, ' ') as text, source from wd join d using (doc_id))"
+_CH = f"with d as (select * from documents where text is not null), wd as ({_windows_sql(SIZE, OVERLAP)}), ch as (select wd.doc_id as chunk_id, wd.chunk_id as win, array_to_string(c, ' ') as text, source from wd join d using (doc_id))"
 _Q = ", q as (select item_id as query_id, text from benchmark)"
 _BM = _CH + _Q + f""", tk as (select chunk_id, win, unnest({_TERMS.format('text')}) as term from ch), tf as (select chunk_id, win, term, count(*) as tf from tk group by all), dl as (select chunk_id, win, sum(tf) as dl from tf group by all),
   nn as (select count(*)::double as n, (select sum(dl) from dl) / count(*)::double as avgdl from ch), df as (select term, count(*) as df from tf group by 1),
@@ -213,23 +234,44 @@ _BM = _CH + _Q + f""", tk as (select chunk_id, win, unnest({_TERMS.format('text'
   qt as (select query_id, term, count(*) as times from (select query_id, unnest({_TERMS.format('text')}) as term from q) group by all),
   sc as (select query_id, chunk_id, win, round(sum(times * (idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 9) as score from qt join tf using (term) join id using (term) join dl using (chunk_id, win), nn group by all),
   bw as (select * from sc qualify row_number() over (partition by query_id, chunk_id order by score desc, win) = 1),
-  sp as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from bw qualify rank <= 10)"""
+  sx as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from bw qualify rank <= {SECOND[2]}), sp as (select * from sx where rank <= {FIRST[2]})"""
 _DN = f""", dn as (select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (select a.vec_id as query_id, b.vec_id as chunk_id,
   round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) as score from embeddings a join embeddings b on a.vec_id % {EVERY} = 0)) where rank <= 10)"""
-_FU = _BM + _DN + """, fu as (select coalesce(d.query_id, s.query_id) as query_id, coalesce(d.chunk_id, s.chunk_id) as chunk_id, coalesce(d.n, 0.0) as dense, coalesce(s.n, 0.0) as sparse
-  from (select *, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0.0 end as n from dn) d
-  full join (select *, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0.0 end as n from sp) s on d.query_id = s.query_id and d.chunk_id = s.chunk_id)"""
-_EV = _BM + """, ev0 as (select sp.query_id, cast(sp.rank as integer) as rank, sp.chunk_id, q.text as question, ch.text as chunk, ch.source, score,
-    case when sp.chunk_id % 4 = 0 then 1.0 when sp.chunk_id % 4 = 1 then 0.5 when length(ch.source) > 0 then 0.85 else 0.5 end::double as authority
-    from sp join ch using (chunk_id, win) join q using (query_id) where sp.rank <= 5),
-  ev as (select *, round(score / max(score) over (partition by query_id) * 2 - 1, 6) as cosine from ev0)"""
-_TO = _EV + """, tl as (select * replace (case when query_id % 3 = 0 then chunk || case when rank % 2 = 0 then ' this should be done always by everyone' else ' this should not be done ever by everyone' end else chunk end as chunk) from ev)"""
+_NORM = f"' ' || array_to_string({_WORDS.replace('text', 'lower(text)')}, ' ') || ' '"
+_GO = f", bn as (select item_id as query_id, {_NORM} as p from benchmark where len({_WORDS}) > 0), dw as (select doc_id as chunk_id, {_NORM} as t from documents where text is not null), g as (select query_id, chunk_id from bn join dw on contains(t, p))"
+
+
+def _fused_sql(name: str, setting: tuple) -> str:
+    w_dense, w_sparse, k = setting
+    norm = "case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0.0 end as n"
+    return f""", {name} as (select coalesce(d.query_id, s.query_id) as query_id, coalesce(d.chunk_id, s.chunk_id) as chunk_id, coalesce(d.n, 0.0) as dense, coalesce(s.n, 0.0) as sparse,
+  round({w_dense}::double * coalesce(d.n, 0.0) + {w_sparse}::double * coalesce(s.n, 0.0), 9) as score
+  from (select *, {norm} from qd where rank <= {k}) d full join (select *, {norm} from sx where rank <= {k}) s on d.query_id = s.query_id and d.chunk_id = s.chunk_id)"""
+
+
+#: Questions' vectors, and their products with the documents' vectors.
+_QD = f""", em as (select vec_id, embedding::double[] as v from embeddings where embedding is not null), dv as (select * from em where vec_id in (select chunk_id from ch)),
+  qo as (select query_id, min(chunk_id) as own from g where chunk_id in (select vec_id from em) group by 1), qv as (select q.query_id, em.v from q left join qo using (query_id) join em on em.vec_id = coalesce(own, q.query_id)),
+  qd as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (select query_id, vec_id as chunk_id, round(list_dot_product(qv.v, dv.v), 9) as score from qv, dv) qualify rank <= {SECOND[2]})"""
+_FU = _BM + _GO + _QD + _fused_sql("fu", FIRST)
+
+
+def _evidence_sql(name: str, fused: str, setting: tuple) -> str:
+    said = "lower(concat_ws(' ', source, chunk[1:2000]))"
+    label = f"case when contains({said}, 'world health organization') then 1.0 when contains({said}, 'national institute on aging') or contains({said}, 'national institutes of health') or contains({said}, 'centers for disease control') then 0.95 when contains({said}, '.gov') or contains({said}, 'government') then 0.9 when len(source) > 0 then 0.85 else 0.5 end::double"
+    return f""", {name}0 as (select query_id, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank, chunk_id from {fused} qualify rank <= {TOP}),
+  {name}1 as (select e.query_id, e.rank, e.chunk_id, q.text as question, ch.text as chunk, ch.source, coalesce(round(list_dot_product(qv.v, em.v), 9), 0.0) as cosine
+    from {name}0 e left join (select query_id, chunk_id, win from sx where rank <= {setting[2]}) w using (query_id, chunk_id) join ch on ch.chunk_id = e.chunk_id and ch.win = coalesce(w.win, 1)
+    join q on q.query_id = e.query_id left join qv on qv.query_id = e.query_id left join em on em.vec_id = e.chunk_id),
+  {name} as (select *, {label} as authority from {name}1)"""
+
+
+_EV = _FU + _evidence_sql("ev", "fu", FIRST)
 
 
 def _opposed(a: str, b: str) -> str:
-    pairs = [("recommended", "not recommended"), ("should", "should not"), ("must", "must not"), ("always", "never")]
     one = lambda x, y, p, n: f"(contains(lower({x}), '{p}') and not contains(lower({x}), 'not {p}') and contains(lower({y}), '{n}'))"
-    return "(" + " or ".join(one(a, b, p, n) + " or " + one(b, a, p, n) for p, n in pairs) + ")"
+    return "(" + " or ".join(one(a, b, p, n) + " or " + one(b, a, p, n) for p, n in OPPOSED) + ")"
 
 
 _TT = "list_distinct(" + _TERMS + ")"
@@ -242,8 +284,6 @@ _RL = f""", cf as (select a.query_id, count(*) as pairs, count(*) filter ({_oppo
     round(1.0 - coalesce(conflicts / pairs::double, 0.0), 6) as consistency from ag left join cf using (query_id)),
   jd as (select *, round(0.3::double * authority + 0.3::double * relevance + 0.2::double * support + 0.1::double * coverage + 0.1::double * consistency, 6) as overall from rl)"""
 _DECIDE = "case when {0} >= 0.8 then 'ACCEPT' when {0} >= 0.65 then 'REFINE' when {0} >= 0.45 then 'RE-RETRIEVE' else 'REJECT' end"
-_NORM = f"' ' || array_to_string({_WORDS.replace('text', 'lower(text)')}, ' ') || ' '"
-_GO = f", bn as (select item_id as query_id, {_NORM} as p from benchmark where len({_WORDS}) > 0), dw as (select doc_id as chunk_id, {_NORM} as t from documents where text is not null), g as (select query_id, chunk_id from bn join dw on contains(t, p))"
 _HI = _BM + _GO + ", hi as (select query_id, min(rank) as r from sp join g using (query_id, chunk_id) group by 1), aq as (select query_id, count(*) as gold from g group by 1), al as (select aq.query_id, gold, r from aq left join hi using (query_id))"
 SQL = {
     "j1_bm25": _BM + " select query_id, cast(rank as integer) as rank, chunk_id, round(score, 6) as score from sp",
@@ -251,13 +291,13 @@ SQL = {
     "j2_dense": _CH + _DN + " select query_id, cast(rank as integer) as rank, chunk_id, round(score, 6) as score from dn where rank <= 5",
     "c5_fusion": _FU + " select query_id, chunk_id, round(dense, 6) as dense, round(sparse, 6) as sparse from fu",
     "e8_max_norm": _BM + " select query_id, chunk_id, round(case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0.0 end, 6) as norm from sp",
-    "j3_hybrid": _FU + " select query_id, cast(rank as integer) as rank, chunk_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (select *, round(0.6::double * dense + 0.4::double * sparse, 9) as score from fu)) where rank <= 5",
+    "j3_hybrid": _FU + " select query_id, cast(rank as integer) as rank, chunk_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from fu) where rank <= 5",
     "j4_rerank": _EV + f", c as (select query_id, rank, chunk_id, case when len({_TERMS.format('question')}) = 0 then 1.0 else round(len(list_filter({_TERMS.format('question')}, lambda w: list_contains({_TERMS.format('chunk')}, w))) / len({_TERMS.format('question')})::double, 4) end as cover from ev) select query_id, cast(place as integer) as place, chunk_id, cover from (select *, row_number() over (partition by query_id order by cover desc, rank) as place from c) where place <= 3",
     "j6_adapter": _EV + " select query_id, chunk_id, source as source_document, authority as authority_score, greatest(-1.0::double, least(1.0::double, cosine)) as similarity_score from ev",
     "j7_aggregate": _EV + " select query_id, count(*) as items, count(distinct rank) as ranks, max(rank) as last, count(*) filter (length(chunk) = 0) as empty from ev group by 1",
-    "c8_conflict": _TO + f" select a.query_id, a.rank as left_rank, b.rank as right_rank, {_opposed('a.chunk', 'b.chunk')} and len(list_intersect({_TT.format('a.chunk')}, {_TT.format('b.chunk')})) >= 3 as conflict from tl a join tl b on a.query_id = b.query_id and a.rank < b.rank",
-    "j12_reliability": _TO + _RL.replace("{src}", "tl") + " select query_id, authority, relevance, support, coverage, consistency, overall from jd",
-    "j13_decision": _TO + _RL.replace("{src}", "tl") + f" select query_id, overall, {_DECIDE.format('overall')} as decision from jd",
+    "c8_conflict": _EV + f" select a.query_id, a.rank as left_rank, b.rank as right_rank, {_opposed('a.chunk', 'b.chunk')} and len(list_intersect({_TT.format('a.chunk')}, {_TT.format('b.chunk')})) >= 3 as conflict from ev a join ev b on a.query_id = b.query_id and a.rank < b.rank",
+    "j12_reliability": _EV + _RL.replace("{src}", "ev") + " select query_id, authority, relevance, support, coverage, consistency, overall from jd",
+    "j13_decision": _EV + _RL.replace("{src}", "ev") + f" select query_id, overall, {_DECIDE.format('overall')} as decision from jd",
     "c9_goldhit": _BM + _GO + " select query_id, chunk_id, cast(rank as integer) as rank from sp join g using (query_id, chunk_id)",
     "e7_first_hit": _HI + " select query_id, gold, cast(r as integer) as first_rank, round(coalesce(1.0::double / r, 0.0), 6) as reciprocal from al",
     "j15_ir": _HI + """ select count(*) as questions, """ + ", ".join(f"round(avg(case when r <= {k} then 1.0 else 0.0 end), 6) as recall_{k}" for k in (1, 3, 5, 10)) + """, round(avg(coalesce(1.0::double / r, 0.0)), 6) as mrr, round(avg(coalesce(case when r <= 5 then 1.0::double / log2(r + 1) end, 0.0)), 6) as ndcg_log2_5,
@@ -268,7 +308,7 @@ SQL = {
       round(avg(case when exists (select 1 from sp join documents a on a.doc_id = sp.chunk_id join g on g.query_id = sp.query_id join documents b on b.doc_id = g.chunk_id where sp.query_id = al.query_id and sp.rank = 1 and lower(trim(a.source)) = lower(trim(b.source))) then 1.0 else 0.0 end), 6) as source_accuracy from al""",
     "j16_taxonomy": _HI + " select query_id, cast(h as integer) as hits, case when h >= 3 then 'A' when h >= 1 then 'B' else 'C' end as class from (select query_id, " + " + ".join(f"case when r <= {k} then 1 else 0 end" for k in (1, 3, 5, 10)) + " as h from al)",
 }
-_SETS = _TO + f""", two as (select *, 's1' as k from tl union all select * replace (1.0 as authority, 0.9 as cosine), 's2' as k from tl where rank <= 2),
+_SETS = _EV + _fused_sql("fu2", SECOND) + _evidence_sql("ev2", "fu2", SECOND) + f""", two as (select *, 's1' as k from ev union all select *, 's2' as k from ev2),
   more as (select * from two union all select * replace (replace(k, 's', 'r') as k) from two where len(list_intersect({_TT.format('question')}, {_TT.format('chunk')})) >= 2),
   four as (select * exclude (query_id), query_id || ' ' || k as query_id from more)"""
 _GATE = _SETS + _RL.replace("{src}", "four") + f""", sc4 as (select cast(string_split(query_id, ' ')[1] as bigint) as query_id, string_split(query_id, ' ')[2] as k, overall from jd),

@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..operators.vectors import VectorStore
 from ..sources.keyed import KeyedTable
 from ..tables import load
 
 
 def a13_vectors(spark, sf):
-    """The vector table's shape and norms by class."""
+    """The vector store written, opened, extended by a batch and reread: shape and norms by class."""
     v = load(spark, sf, "embeddings")
-    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
-    return v.groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("embedding")).cast("long").alias("dim"), F.count_if(F.abs(norm - 1) > 1e-4).alias("off_norm"))
+    path = storage.folder(spark, "vectors")
+    VectorStore.create(v.filter("vec_id % 2 = 0").select("vec_id", "embedding"), path)
+    store = VectorStore.open(spark, path)
+    store.extend(v.filter("vec_id % 2 <> 0").select("vec_id", "embedding"))
+    norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
+    rows = store.read().select("id", F.size("v").alias("size"), norm.alias("norm")).join(v.select(F.col("vec_id").alias("id"), "label"), "id")
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.min("size").cast("long").alias("dim"), F.count_if(F.abs(F.col("norm") - 1) > 1e-4).alias("off_norm"))
 
 
 def h1_grains(spark, sf):
@@ -35,7 +41,7 @@ def a12_crud(spark, sf):
 
 
 SQL = {
-    "a13_vectors": "select label, count(*) as n, min(len(embedding)) as dim, count(*) filter (abs(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) - 1) > 1e-4) as off_norm from embeddings group by 1",
+    "a13_vectors": "select label, count(*) as n, min(len(embedding)) as dim, count(*) filter (abs(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) - 1) > 1e-4) as off_norm from embeddings where embedding is not null group by 1",
     "h1_grains": "select 'day' as grain, date_trunc('day', ts)::timestamp as start, event_type, count(*) as n from events group by all union all select 'hour', date_trunc('hour', ts)::timestamp, event_type, count(*) from events group by all",
     "a12_crud": "with c as (select c_custkey, case when c_custkey % 10 = 0 then c_name || ' (renamed)' else c_name end as c_name, c_nationkey from customer where c_custkey % 7 <> 0 union all select max(c_custkey) + 1, 'new', min(c_nationkey) from customer) select c_custkey, c_name, n_name, r_name from c join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
 }

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 _roots: dict[str, str] = {}
+_shared: dict[tuple, object] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -33,6 +38,37 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """A written table that nothing reads any more goes."""
+    _remove(spark, path)
+
+
+def fingerprint(table: DataFrame) -> tuple:
+    """The names, sizes and times of a table's files."""
+    sc = table.sparkSession.sparkContext
+    out = []
+    for name in sorted(table.inputFiles()):
+        p = sc._jvm.org.apache.hadoop.fs.Path(name)
+        status = p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
+def shared(table: DataFrame, label: str, make: Callable[[str], T]) -> T:
+    """What make(folder) made of this table, once for each application while the table's files stay as they are."""
+    key = (table.sparkSession.sparkContext.applicationId, label, fingerprint(table))
+    if key not in _shared:
+        _shared[key] = make(folder(table.sparkSession, label))
+    return _shared[key]
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores is dealt to all of them before costly work on its rows; larger
+    ones stay as they lie."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= 2 * cores else table.repartition(2 * cores)
+
+
 def folder(spark: SparkSession, label: str) -> str:
     return f"{root(spark)}/{label}-{uuid.uuid4().hex}"
 

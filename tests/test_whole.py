@@ -30,7 +30,10 @@ def passages(spark, tmp_path_factory):
     asked = [(i, words(rng, 12)) for i in range(6)]
     docs = [(i, f"{words(rng, rng.randint(150, 400))}\n{asked[i][1]}\n{words(rng, 90)}" if i < 6 else words(rng, rng.randint(1, 500)), "src") for i in range(24)]
     docs += [(24, None, "src"), (25, " \n", "src")]
-    return written(spark, tmp_path_factory.mktemp("passages"), documents=(docs, "doc_id long, text string, source string"), benchmark=(asked, "item_id long, text string")), docs, asked
+    turn = [2 * math.pi * i / 24 for i in range(24)]
+    vectors = [(i, [math.cos(x), math.sin(x)]) for i, x in enumerate(turn)]  # unit vectors, as documents' are
+    tables = {"documents": (docs, "doc_id long, text string, source string"), "benchmark": (asked, "item_id long, text string"), "embeddings": (vectors, "vec_id long, embedding array<float>")}
+    return written(spark, tmp_path_factory.mktemp("passages"), **tables), docs, asked
 
 
 def best_windows(docs, asked):
@@ -64,6 +67,10 @@ def test_all_windows_are_indexed(spark, passages):
     assert {r["term"]: r["df"] for r in retrieval.a14_index(spark, sf).collect()} == df
     assert retrieval.j15_ir(spark, sf).first()["recall_1"] == 1.0
     assert {r["chunk_id"] for r in retrieval.j4_rerank(spark, sf).filter("place = 1 and cover = 1").collect()} == set(range(6))
+    fused = retrieval.c5_fusion(spark, sf).collect()
+    both = {(r["query_id"], r["chunk_id"]) for r in fused if r["dense"] > 0 and r["sparse"] > 0}
+    assert both >= {(i, i) for i in range(6)} and any(r["dense"] == 0 for r in fused)
+    assert {(r["query_id"], r["chunk_id"]) for r in retrieval._gold(spark, sf).collect()} == {(i, i) for i in range(6)}
 
 
 def test_every_passage_is_asked_whole(spark, tmp_path):
@@ -79,7 +86,7 @@ def test_every_passage_is_asked_whole(spark, tmp_path):
 
 
 def test_dense_asks_every_twentieth_vector(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("longview.operators.ranking.BLOCK", 16)
+    monkeypatch.setattr("longview.operators.vectors.PER_CELL", 16)
     rng = random.Random(9)
     rows = [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(130)] + [(200, None)]
     sf = written(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>"))
