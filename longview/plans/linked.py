@@ -1,11 +1,12 @@
-"""Intervals that hold a date, records that are one by several identifiers, and greedy acceptance over all groups."""
+"""Intervals that hold a date, records that are one by several identifiers, greedy acceptance over all groups, and differences of runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as X
-from ..operators import acceptance, identity, intervals, similarity
+from ..operators import acceptance, difference, identity, intervals, similarity
 from ..tables import load
 
 #: Accepted documents of one source and of one language at most, and the overlap of terms from which two are alike.
@@ -46,6 +47,19 @@ def e10_rounds(spark, sf):
     return out.select(F.col("id").alias("doc_id"), "source", "lang", "accepted")
 
 
+def l10_difference(spark, sf):
+    """Cells in which two runs over the orders differ: the second rounds every 500th price, loses every 700th row and has a priority for every 900th."""
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(15,2)").alias("o_totalprice"), "o_orderpriority")
+    k = F.col("o_orderkey")
+    second = orders.filter(k % 700 != 0).select(
+        "o_orderkey", "o_custkey", F.when(k % 500 == 0, F.round("o_totalprice", 0).cast("decimal(15,2)")).otherwise(F.col("o_totalprice")).alias("o_totalprice"), F.when(k % 900 != 0, F.col("o_orderpriority")).alias("o_orderpriority"),
+    )
+    left, right = storage.folder(spark, "run-1"), storage.folder(spark, "run-2")
+    difference.write(orders, ["o_orderkey"], left)
+    difference.write(second, ["o_orderkey"], right)
+    return difference.differences(spark, left, right, ["o_orderkey"])
+
+
 _LINE = f"case when length({{0}}) >= {LINE} then {{0}} end"
 #: Acceptance depends on all rows before, one by one: it is tested against that loop.
 SQL = {
@@ -66,4 +80,8 @@ SQL = {
       d as (select id, component, first_value(id) over (partition by component order by n_chars is null, n_chars, id) as grp, count(*) over (partition by component) as n from c join documents on doc_id = id)
       select id as doc_id, grp as duplicate_group, grp = id as kept, n as records from d""",
 }
-QUERIES = {f.__name__: f for f in (c3_interval, e11_identities, e10_rounds)}
+SQL["l10_difference"] = """with o as (select o_orderkey as k, o_totalprice::decimal(15,2) as p, o_orderpriority as r from orders)
+  select k as o_orderkey, '-' as column, 'present' as left, null as right from o where k % 700 = 0
+  union all select k, 'o_totalprice', p::varchar, round(p, 0)::decimal(15,2)::varchar from o where k % 700 <> 0 and k % 500 = 0 and p <> round(p, 0)
+  union all select k, 'o_orderpriority', r, null from o where k % 700 <> 0 and k % 900 = 0 and r is not null"""
+QUERIES = {f.__name__: f for f in (c3_interval, e11_identities, e10_rounds, l10_difference)}
