@@ -14,6 +14,8 @@ from ..storage import written
 from .places import running
 
 Z = 1.959964
+#: Differences up to this count as none, and differences up to which the signed ranks' null is counted out.
+SAME, EXACT = 1e-9, 50
 
 
 def confusion(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -44,7 +46,7 @@ def paired(rows: DataFrame, a: str, b: str) -> DataFrame:
     d = F.col(a) - F.col(b)
     one = rows.filter(d.isNotNull()).agg(
         F.count("*").alias("n"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.avg(d).alias("m"), F.percentile(d, F.lit(0.5)).alias("med"), F.stddev_samp(d).alias("sd"),
-        F.count_if(d > 0).alias("above"), F.count_if(d == 0).alias("equal"), F.count_if(d < 0).alias("below"),
+        F.count_if(d > SAME).alias("above"), F.count_if(F.abs(d) <= SAME).alias("equal"), F.count_if(d < -SAME).alias("below"),
     )
     se = F.col("sd") / F.sqrt("n")
     r = lambda c: F.round(c, 6)
@@ -54,14 +56,21 @@ def paired(rows: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def wilcoxon(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """The signed-rank statistic, zeros left out, ties by mean rank. The differences' histogram, as long as the data where
-    they are continuous, is written and ranked in bands."""
+def _signed_ranks(rows: DataFrame, a: str, b: str) -> tuple[DataFrame, int]:
+    """(one row of n, w_plus, w_minus, w and ties, how many differences are zero). The differences' histogram, as long as the data where
+    they are continuous, is written and ranked in bands; ties is the sum of t^3 - t over equal sizes."""
     d = F.round(F.col(a) - F.col(b), 9)
-    hist = written(rows.select(d.alias("d")).filter("d is not null and d <> 0").groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up")), "differences")
-    ranked = running(hist, ["size"], "upto", "n").withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
-    one = ranked.agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"))
-    return one.withColumn("w", F.least("w_plus", "w_minus"))
+    hist = written(rows.select(d.alias("d")).filter("d is not null").groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up")), "differences")
+    zeros = hist.filter("size = 0").agg(F.sum("n")).first()[0] or 0
+    ranked = running(hist.filter("size > 0"), ["size"], "upto", "n").withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
+    n = F.col("n").cast("double")
+    one = ranked.agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"), F.sum(n * n * n - n).alias("ties"))
+    return one.withColumn("w", F.least("w_plus", "w_minus")), zeros
+
+
+def wilcoxon(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """The signed-rank statistic, zeros left out, ties by mean rank."""
+    return _signed_ranks(rows, a, b)[0].select("n", "w_plus", "w_minus", "w")
 
 
 def spearman(rows: DataFrame, a: str, b: str, key: str) -> DataFrame:
@@ -150,18 +159,30 @@ def paired_t_test(rows: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataF
 
 def wilcoxon_test(rows: DataFrame, a: str, b: str, least: int = 6) -> DataFrame:
     """(n, w, p) of the signed ranks; p is null for fewer than least differences other than zero."""
+    one, zeros = _signed_ranks(rows, a, b)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pdf.assign(p=[round(wilcoxon_p_value(float(w), int(n)), 9) if n >= least else None for w, n in zip(pdf["w"], pdf["n"], strict=True)]).astype({"p": "float64"})
+            p = [round(wilcoxon_p_value(float(w), int(n), float(t), zeros > 0), 9) if n >= least else None for w, n, t in zip(pdf["w"], pdf["n"], pdf["ties"], strict=True)]
+            yield pdf[["n", "w"]].assign(p=p).astype({"p": "float64"})
 
-    one = wilcoxon(rows, a, b).select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w", F.lit(0.0)).cast("double").alias("w"))
+    one = one.select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w", F.lit(0.0)).cast("double").alias("w"), F.coalesce("ties", F.lit(0.0)).alias("ties"))
     return one.mapInPandas(run, "n long, w double, p double")
 
 
-def wilcoxon_p_value(w: float, n: int) -> float:
-    """Two-sided, by the normal approximation."""
-    sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    return min(1.0, math.erfc(abs(w - n * (n + 1) / 4) / sd / math.sqrt(2))) if n else 1.0
+def wilcoxon_p_value(w: float, n: int, ties: float = 0.0, zeros: bool = False) -> float:
+    """Two-sided. Up to EXACT differences without ties or zeros the exact share of signs that give w or less, by counting the subsets of ranks
+    with each sum; else the normal approximation, its variance less what ties take off."""
+    if not n:
+        return 1.0
+    if n <= EXACT and not ties and not zeros:
+        ways = np.zeros(n * (n + 1) // 2 + 1)
+        ways[0] = 1
+        for rank in range(1, n + 1):
+            ways[rank:] += ways[:-rank].copy()
+        return min(1.0, 2 * float(ways[: int(w) + 1].sum()) / 2.0**n)
+    sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+    return min(1.0, math.erfc(abs(w - n * (n + 1) / 4) / sd / math.sqrt(2))) if sd > 0 else 1.0
 
 
 def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:

@@ -258,7 +258,7 @@ SQL = {
     "j8_chunks": _D + f", c as ({_windows_sql(180, 40)}) select doc_id, chunk_id, len(c) as words, md5(array_to_string(c, ' ')) as digest from c",
     "j10_sweep": _D + " " + " union all ".join(f"select cast({s} as integer) as size, cast({o} as integer) as overlap, count(*) as chunks, round(avg(len(c)), 4) as mean_words, max(len(c)) as most_words from ({_windows_sql(s, o)})" for s, o in [(120, 30), (180, 40), (250, 50)]),
     "e9_numbering": _D + f", c as ({_windows_sql(180, 40)}) select doc_id, 'doc' || lpad(cast(doc_id as varchar), 6, '0') || '__' || lpad(cast(chunk_id as varchar), 5, '0') as id, chunk_id from c",
-    "d25_coverage": _D + f", c as ({_windows_sql(180, 40)}) select doc_id, sum(len(c))::bigint as placed, max(s + len(c)) as covered, 0::bigint as falls from c group by 1",
+    "d25_coverage": _D + f", c as ({_windows_sql(180, 40)}), f as (select *, coalesce(s < lag(s) over (partition by doc_id order by chunk_id), false) as fall from c) select doc_id, sum(len(c))::bigint as placed, max(s + len(c)) as covered, count(*) filter (fall) as falls from f group by 1",
     "c7_neardup": f"with t as (select item_id as id, list_distinct({_TERMS.format('text')}) as s from benchmark union all select doc_id + 1000000, list_distinct({_TERMS.format('text')}) from documents where text is not null), e as (select id, len(s) as n, unnest(s) as w from t), o as (select a.id as a, b.id as b, a.n as na, b.n as nb, count(*) as k from e a join e b on a.w = b.w and a.id < b.id and least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) group by all) select a, b, round(k / (na + nb - k)::double, 6) as jaccard from o where k / (na + nb - k)::double >= 0.6",
     "j11_inventory": "select page_id, " + ", ".join(f"len(regexp_extract_all(html, '<{t}[ >]')) as n_{t}" for t in ["p", "h1", "li", "a", "script", "style"]) + " from pages",
     "b38_render": "select page_id, coalesce(array_to_string(list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')), ' '), '') as items, coalesce(array_to_string(list_transform(regexp_extract_all(html, '<h1>(.*?)</h1>', 1), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')), ' / '), '') as headings from pages",

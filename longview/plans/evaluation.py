@@ -111,7 +111,7 @@ def l12_latency(spark, sf):
 
 
 _CO = "with c as (select user_id, round(avg(value) filter (event_type = 'view'), 6) as a, round(avg(value) filter (event_type = 'click'), 6) as b from events group by 1), d as (select *, a - b as d from c where a is not null and b is not null)"
-_PA = _CO + ", p as (select count(*) as n, avg(a) as ma, avg(b) as mb, avg(d) as m, median(d) as med, stddev_samp(d) as sd, count(*) filter (d > 0) as above, count(*) filter (d = 0) as equal, count(*) filter (d < 0) as below from d)"
+_PA = _CO + ", p as (select count(*) as n, avg(a) as ma, avg(b) as mb, avg(d) as m, median(d) as med, stddev_samp(d) as sd, count(*) filter (d > 1e-9) as above, count(*) filter (abs(d) <= 1e-9) as equal, count(*) filter (d < -1e-9) as below from d)"
 SQL = {
     "d19_confusion": "with c as (select count(*) filter (quality = 1 and toxic = 1) as common, count(*) filter (quality = 1 and toxic = 0) as a_only, count(*) filter (quality = 0 and toxic = 1) as b_only, count(*) filter (quality = 0 and toxic = 0) as neither from labels) select *, case when common + a_only > 0 then round(common / (common + a_only)::double, 6) end as of_a, case when common + b_only > 0 then round(common / (common + b_only)::double, 6) end as of_b from c",
     "d20_kappa": "with l as (select quality as a, toxic as b from labels where quality is not null and toxic is not null), n as (select count(*) as n, count(*) filter (a = b) / count(*)::double as po, (count(*) filter (a = 1) * count(*) filter (b = 1) + count(*) filter (a = 0) * count(*) filter (b = 0)) / (count(*) * count(*))::double as pe, greatest(count(*) filter (a = 1), count(*) filter (b = 1), count(*) filter (a = 0), count(*) filter (b = 0)) as top from l) select n, round(po, 6) as observed, round(pe, 6) as expected, round(case when pe = 1 then 1.0 else (po - pe) / (1 - pe) end, 6) as kappa, top / n::double >= 0.95 or pe >= 0.9 as degenerate from n",

@@ -53,10 +53,29 @@ def test_paired_tests(spark):
     rank = {v: plain.mean([i for i, x in enumerate(ranks, 1) if x == v]) for v in ranks}
     w = min(sum(rank[abs(round(x, 9))] for x in d if x > 0), sum(rank[abs(round(x, 9))] for x in d if x < 0))
     got = S.wilcoxon_test(rows, "a", "b").first()
-    assert (got.n, got.w) == (10, w) and abs(got.p - S.wilcoxon_p_value(w, 10)) < 1e-8
+    # two differences of 0.1 apart: the approximation with the ties' correction, worked out by hand
+    ties = sum(t**3 - t for t in (ranks.count(v) for v in set(ranks)))
+    sd = math.sqrt(10 * 11 * 21 / 24 - ties / 48)
+    assert ties > 0 and (got.n, got.w) == (10, w) and abs(got.p - 2 * (1 - plain.NormalDist().cdf(abs(w - 27.5) / sd))) < 1e-8
     assert S.wilcoxon_test(rows.limit(5), "a", "b").first().p is None and tuple(S.wilcoxon_test(rows.filter("a > 99"), "a", "b").first()) == (0, 0.0, None)
 
 
+def test_signed_ranks_exact_null(spark):
+    """Published points of the exact distribution, and all signs gone through."""
+    import itertools
+
+    assert S.wilcoxon_p_value(0, 6) == 0.03125 and S.wilcoxon_p_value(8, 10) == 0.048828125 and abs(S.wilcoxon_p_value(52, 20) - 0.0484) < 1e-4
+    for n, w in ((4, 3), (7, 9), (9, 20)):
+        sums = [sum(r for r, up in zip(range(1, n + 1), signs, strict=True) if up) for signs in itertools.product((0, 1), repeat=n)]
+        assert abs(S.wilcoxon_p_value(w, n) - min(1, 2 * sum(x <= w for x in sums) / 2**n)) < 1e-12
+    rows = spark.createDataFrame([(float(x), 0.0) for x in (1, 2, -3, 4, 5, 6, 7, 8, 9, -10)], "a double, b double")
+    assert tuple(S.wilcoxon_test(rows, "a", "b").first()) == (10, 13.0, round(S.wilcoxon_p_value(13, 10), 9))
+    with_zero = rows.union(spark.createDataFrame([(1.0, 1.0)], "a double, b double"))
+    assert abs(S.wilcoxon_test(with_zero, "a", "b").first().p - S.wilcoxon_p_value(13, 10, zeros=True)) < 1e-9 != S.wilcoxon_p_value(13, 10)
+    noise = spark.createDataFrame([(0.1 + 0.2, 0.3), (1.0, 0.5), (0.5, 1.0)], "a double, b double")
+    assert [S.paired(noise, "a", "b").first()[c] for c in ("above", "equal", "below")] == [1, 1, 1]
+
+
 def test_spearman_with_many_ties(spark):
     rng = random.Random(3)
     rows = [(float(rng.randint(0, 3)), float(rng.randint(0, 3)), i) for i in range(200)]
