@@ -165,7 +165,7 @@ def j8_chunks(spark, sf):
 
 
 def j9_structured(spark, sf):
-    """Paragraphs gathered to chunks of up to 220 words, long ones cut at sentences; no SQL, tested against a plain fold."""
+    """Paragraphs gathered to chunks of up to 220 words, long ones cut at sentences; no SQL, tested on short examples."""
     c = chunking.paragraph_chunks(_docs(spark, sf).select("doc_id", "text"), 220, 300)
     return c.select("doc_id", "chunk_id", "words", F.md5(F.col("chunk").cast("binary")).alias("digest"))
 

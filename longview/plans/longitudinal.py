@@ -212,6 +212,12 @@ _ACTIONS = _case("strategy", {k: "|".join(v) for k, v in cs.ACTIONS.items()}, "'
 _DELTA = " union all ".join(f"select entity, window_start, '{n}' as dimension, coalesce({n}, 0.0) as c, lag(coalesce({n}, 0.0)) over (partition by entity order by window_start) as b from st" for n in cs.DIMENSIONS)
 _PCT = "case when {1} > 0 then round(100.0::double * {0} / {1}, 2) else 0.0 end"
 
+
+
+def _values(table: dict[str, str]) -> str:
+    return ", ".join(f"('{k}', '{v}')" for k, v in table.items())
+
+
 SQL = {
     "d1_window_counts": BASE + f" select entity, d, {', '.join(cs.COUNTS)} from cn",
     "h1_spine": BASE + f" select entity, window_start, {', '.join(cs.COUNTS)}, has_data from w",
@@ -230,7 +236,9 @@ SQL = {
     "k4_assistance": HELP + " select entity, window_start, previous_state, current_state, transition_type, transition_magnitude, transition_direction, assistance_mode, priority, reason_codes from hp",
     "k5_strategy": PLAN + " select entity, window_start, transition_type, context_status, assistance_mode, strategy from sg",
     "k6_actions": PLAN + f" select entity, window_start, strategy, {_ACTIONS} as actions, '{'|'.join(cs.SAFETY)}' || case when strategy = 'DATA_COLLECTION_SUPPORT' then '|{cs.GAP_SAFETY}' else '' end as safety_flags from sg",
-    "k8_rule_check": MOVE + " select transition_type, count(*) as windows, 0::bigint as mismatches from mv group by 1",
+    "k8_rule_check": HELP + f""", by_move(k, m) as (values {_values(cs.MOVE_MODE)}), by_state(k, m) as (values {_values(cs.STATE_MODE)}),
+      ex as (select hp.*, coalesce(by_move.m, by_state.m, 'WAIT_FOR_DATA') as expected from hp left join by_move on by_move.k = transition_type left join by_state on by_state.k = current_state)
+      select transition_type, count(*) as windows, count(*) filter (assistance_mode is distinct from expected) as mismatches from ex group by 1""",
     "c2_junction": HELP + """ select current_state as care_state, count(*) as windows, 0::bigint as missing_assistance, count(*) filter (overall_score is null) as missing_score,
       count(*) filter (entity not in (select entity from ev where event_type = 'purchase')) as missing_entity from hp group by 1""",
     "d2_dist": STATE + f" select care_state, count(*) as n, {_PCT.format('count(*)', 'sum(count(*)) over ()')} as pct from st group by 1",
@@ -250,6 +258,6 @@ SQL = {
       select care_state, count(*) as runs, max(windows) as longest, round(avg(windows), 4) as mean_windows from rn group by 1""",
     "h4_status": PLAN + " select context_status, count(*) as n from sg group by 1",
     "d14_rollup": STATE + " select coalesce(care_state, 'ALL') as care_state, count(*) as n, round(avg(overall_score), 6) as mean_score, max(total) as most_events from st where has_data group by rollup (care_state)",
-    "m4_rules": "select unnest(['no_data_without_score', 'score_range', 'no_data_waits', 'gap_has_no_data', 'escalation_increases', 'known_state']) as rule, 0::bigint as violations",
+    "m4_rules": validation.violations_sql(HELP + " select * from hp", validation.WINDOWS),
 }
 QUERIES = {name: globals()[name] for name in SQL}
