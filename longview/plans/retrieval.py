@@ -220,6 +220,32 @@ def j16_taxonomy(spark, sf):
     return rows.select("query_id", "hits", F.when(F.col("hits") >= 3, "A").when(F.col("hits") >= 1, "B").otherwise("C").alias("class"))
 
 
+def j16_gaps(spark, sf):
+    """Each question with gold: which of three retrievers find it among their five best, how many of its terms the first gold document's best
+    window holds, the cosine with that document, and how many of the document's other windows share a term, or as many as the best."""
+    gold, (asked, dense, sparse) = _gold(spark, sf), _lists(spark, sf, FIRST[2])
+    hybrid = ranking.top_k(_fused(dense, sparse, FIRST), "query_id", "score", "chunk_id", TOP)
+    of = lambda rows, name: rows.filter(F.col("rank") <= TOP).select("query_id", "chunk_id", F.lit(name).alias("by"))
+    runs = of(dense, "dense").unionByName(of(sparse, "sparse")).unionByName(of(hybrid, "hybrid"))
+    hit = runs.join(gold, ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(*(F.max((F.col("by") == b).cast("int")).alias(b) for b in ("dense", "sparse", "hybrid")))
+    first = gold.groupBy("query_id").agg(F.min("chunk_id").alias("doc"))
+    terms = _terms(spark, sf).distinct()
+    index = _index(spark, sf)
+    lots = first.join(terms, "query_id").join(index.blocks, "term").filter("doc between first and last").select("query_id", "term", "doc", F.explode(F.arrays_zip("docs", "windows")).alias("x"))
+    held = lots.filter(F.col("x.docs") == F.col("doc")).groupBy("query_id", "x.windows").agg(F.count("*").alias("n"))
+    # how many windows hold how many terms: a count of those not below the best, in place of pairs of windows
+    sizes = held.groupBy("query_id", "n").agg(F.count("*").alias("windows")).groupBy("query_id").agg(F.max(F.struct("n", "windows")).alias("best"), F.sum("windows").alias("sharing"))
+    v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = first.join(terms.groupBy("query_id").agg(F.count("*").alias("terms")), "query_id", "left").join(sizes, "query_id", "left").join(hit, "query_id", "left").join(asked, "query_id", "left").join(v, "doc", "left")
+    found = {b: F.coalesce(b, F.lit(0)) for b in ("dense", "sparse", "hybrid")}
+    gap = F.when(found["dense"] + found["sparse"] + found["hybrid"] == 0, "ALL").when((found["dense"] == 0) & (found["sparse"] == 0), "BOTH").when(found["sparse"] == 0, "LEXICAL").when(found["dense"] == 0, "SEMANTIC").otherwise("NONE")
+    return rows.select(
+        "query_id", *(c.alias(b) for b, c in found.items()), gap.alias("gap"), F.round(F.coalesce(F.col("best.n") / F.col("terms"), F.lit(0.0)), 6).alias("lexical"),
+        F.round(F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6).alias("semantic"),
+        F.greatest(F.coalesce(F.col("sharing"), F.lit(0)) - 1, F.lit(0)).alias("sharing"), F.coalesce(F.col("best.windows") - 1, F.lit(0)).alias("competing"),
+    )
+
+
 # SQL
 
 from ..operators.reliability import OPPOSED  # noqa: E402
@@ -321,4 +347,14 @@ _GATE = _SETS + _RL.replace("{src}", "four") + f""", sc4 as (select cast(string_
     case final when 'REFUSED' then 'REFINE_EMPTY' when 'REJECT' then 'REJECTED' when 'RE-RETRIEVE' then 'RETRIEVAL_BUDGET' else '' end as why from s4)"""
 SQL["j14_gate"] = _GATE + " select * from gt"
 SQL["d21_decisions"] = _GATE + " select first_decision || '->' || final_decision as move, count(*) as n, count(*) filter (refused) as refused from gt group by 1"
+SQL["j16_gaps"] = _FU + f""", hy as (select query_id, chunk_id from fu qualify row_number() over (partition by query_id order by score desc, chunk_id) <= {TOP}),
+  runs as (select query_id, chunk_id, 'dense' as who from qd where rank <= {TOP} union all select query_id, chunk_id, 'sparse' from sp where rank <= {TOP} union all select query_id, chunk_id, 'hybrid' from hy),
+  hs as (select query_id, max((who = 'dense')::int) as dense, max((who = 'sparse')::int) as sparse, max((who = 'hybrid')::int) as hybrid from runs join g using (query_id, chunk_id) group by 1),
+  g1 as (select query_id, min(chunk_id) as doc from g group by 1), qs as (select query_id, list(distinct term) as t from qt group by 1),
+  hd as (select query_id, win, len(list_intersect(qs.t, {_TT.format('ch.text')})) as n from g1 join qs using (query_id) join ch on ch.chunk_id = doc),
+  sz as (select query_id, max(n) as best, count(*) as sharing, count(*) filter (n = top) as windows from (select *, max(n) over (partition by query_id) as top from hd where n > 0) group by 1),
+  fi as (select g1.query_id, coalesce(dense, 0) as dense, coalesce(sparse, 0) as sparse, coalesce(hybrid, 0) as hybrid, coalesce(best / len(t)::double, 0.0) as lex, list_dot_product(qv.v, em.v) as sem, coalesce(sharing, 0) as sh, coalesce(windows - 1, 0) as competing
+    from g1 left join qs using (query_id) left join sz using (query_id) left join hs using (query_id) left join qv using (query_id) left join em on em.vec_id = doc)
+  select query_id, dense, sparse, hybrid, case when dense + sparse + hybrid = 0 then 'ALL' when dense = 0 and sparse = 0 then 'BOTH' when sparse = 0 then 'LEXICAL' when dense = 0 then 'SEMANTIC' else 'NONE' end as gap,
+    round(lex, 6) as lexical, round(sem, 6) as semantic, greatest(sh - 1, 0) as sharing, competing from fi"""
 QUERIES = {name: globals()[name] for name in SQL}
