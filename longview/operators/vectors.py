@@ -203,5 +203,7 @@ def nearest(store: VectorStore, asked: DataFrame, k: int) -> tuple[DataFrame, Da
     going = asked.join(low, "query_id", "left").select("query_id", "q", "low")
     others = storage.written(going.mapInArrow(_visits(store, radius, n, False), from_arrow_schema(_VISITS)), "visits")
     rows = storage.written(ranked(begun.select("query_id", "id", "score").unionByName(_visited(store, others, k))), "nearest")
-    share = started.select("cell").unionByName(others.select("cell")).agg(F.count("*").alias("visited")).crossJoin(asked.agg((F.count("*") * int((n > 0).sum())).alias("cells")))
+    every = int((n > 0).sum())
+    counts = started.select(F.lit(1).alias("visited"), F.lit(0).alias("cells")).unionByName(others.select(F.lit(1).alias("visited"), F.lit(0).alias("cells"))).unionByName(asked.select(F.lit(0).alias("visited"), F.lit(every).alias("cells")))
+    share = counts.agg(F.coalesce(F.sum("visited"), F.lit(0)).alias("visited"), F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"))
     return rows, share
