@@ -5,28 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
+
+#: Words of 64 bits of a set's parity bits: enough to tell unlike sets of up to some 6,000 tokens apart at 0.6.
+WORDS = 96
+
 
 def jaccard_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """rows (id, tokens) as (a, b, jaccard) for pairs with a < b and a Jaccard similarity of threshold or more.
 
+    Equal sets are compared once, as one class, and its rows are put in at the end.
     Prefix filter: with tokens ordered from rare to frequent, two sets that similar share a token among each
     one's first n - ceil(threshold * n) + 1. So only rare tokens are joined on, and frequent ones never meet. At the first token that
     two similar sets share, enough tokens are left in both; pairs for which no shared token leaves enough are not compared.
+    Parity filter: each token flips one of 64 * WORDS bits of its set. Bits that two sets don't have in common are at most the tokens that
+    they don't have in common, so pairs with more of them than similar sets can have go within the join, before anything is
+    shuffled. Tokens are known by 64-bit hashes up to there; what is left is compared by the tokens themselves.
     """
-    sets = rows.select("id", F.array_distinct("tokens").alias("tokens")).filter(F.size("tokens") > 0)
-    words = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
-    frequency = words.groupBy("w").agg(F.count("*").alias("df"))
-    ordered = words.join(frequency, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
-    ordered = ordered.select("id", "n", F.transform("s", lambda x: x["w"]).alias("s"))
+    sets = rows.select("id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).filter(F.size("tokens") > 0)
+    members = storage.written(sets.select("id", F.md5(F.to_json("tokens").cast("binary")).alias("key"), "tokens"), "sets")
+    classes = members.groupBy("key").agg(F.first("tokens").alias("tokens")).withColumn("node", F.monotonically_increasing_id())
+    classes = storage.written(classes, "classes")
+    members = storage.written(members.select("id", "key").join(classes.select("key", "node"), "key").select("id", "node"), "members")
+    sets = classes.select("node", "tokens")
+
+    words = sets.select("node", F.size("tokens").alias("n"), F.explode(F.transform("tokens", lambda w: F.xxhash64(w))).alias("w"))
+    frequency = words.groupBy("w").agg(F.count("*").cast("int").alias("df"))
+    # bits of the hash other than its lowest
+    parity = [F.expr(f"bit_xor(case when pmod(shiftright(w, 38), {WORDS}) = {i} then shiftleft(1L, cast(pmod(shiftright(w, 32), 64) as int)) else 0L end)").alias(f"p{i}") for i in range(WORDS)]
+    bits = [f"p{i}" for i in range(WORDS)]
+    # dealt by set before they are gathered: half-made lists would be shuffled otherwise
+    ordered = words.join(frequency, "w").repartition("node").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"), *parity)
     first = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    prefix = ordered.select("id", "n", F.posexplode(first).alias("at", "w"))
-    a, b = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at_{x}"), "w") for x in "ab")
+    prefix = ordered.select("node", "n", *bits, F.posexplode(first).alias("at", "x")).filter("x.df > 1")
+    prefix = prefix.select("node", "n", "at", "x.w", *bits)
+    a, b = (prefix.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at_{x}"), "w", *(F.col(p).alias(f"{p}{x}") for p in bits)) for x in "ab")
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
     most = F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b"))  # this token and those after it
     near = near & (most >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6)
-    pairs = a.join(b, "w").filter(near).select("a", "b").distinct()
-    of = lambda x: sets.select(F.col("id").alias(x), F.col("tokens").alias(f"s{x}"))
+    apart = sum((F.bit_count(F.col(f"{p}a").bitwiseXOR(F.col(f"{p}b"))) for p in bits), F.lit(0))
+    near = near & (apart <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+    pairs = storage.written(a.join(b, "w").filter(near).select("a", "b").distinct(), "pairs")
+
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
     found = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("k"))
     score = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    return found.filter(score >= threshold).select("a", "b", F.round(score, 6).alias("jaccard"))
+    found = storage.written(found.filter(score >= threshold).select("a", "b", F.round(score, 6).alias("jaccard")), "similar")
+    row = lambda x: members.select(F.col("node").alias(x), F.col("id").alias(f"id_{x}"))
+    across = found.join(row("a"), "a").join(row("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "jaccard").filter("a < b")
+    several = members.groupBy("node").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("node").alias("a"))
+    copies = row("a").join(several, "a", "left_semi").join(row("b"), F.col("a") == F.col("b")).filter("id_a < id_b")
+    return across.unionByName(copies.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(1.0).alias("jaccard")))
