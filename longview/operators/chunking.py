@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+
+#: Characters of chunks that are held before they are handed on, about.
+HELD = 1 << 20
 
 
 def word_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -74,12 +78,28 @@ def fold_paragraphs(text: str, target: int, longest: int) -> list[str]:
     return out
 
 
+_CHUNKS = pa.schema([("doc_id", pa.int64()), ("chunk_id", pa.int64()), ("words", pa.int64()), ("chunk", pa.string())])
+
+
+def _folded(batches: Iterator[pa.RecordBatch], target: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """Chunks in batches of about HELD characters, so that no more than that and one text are held besides the batch that came."""
+    out: list[list] = [[], [], [], []]
+    held = 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _CHUNKS, strict=True)], schema=_CHUNKS)
+    for came in batches:
+        for i in range(came.num_rows):
+            doc, text = came.column(0)[i].as_py(), came.column(1)[i].as_py()
+            for k, c in enumerate(fold_paragraphs(text or "", target, longest)):
+                for column, x in zip(out, (doc, k + 1, len(c.split()), c), strict=True):
+                    column.append(x)
+                held += len(c)
+                if held >= HELD:
+                    yield batch()
+                    out, held = [[], [], [], []], 0
+    yield batch()
+
+
 def paragraph_chunks(docs: DataFrame, target: int, longest: int) -> DataFrame:
     """docs (doc_id, text) as (doc_id, chunk_id, words, chunk); the fold over a text's lines depends on their order, so
     it runs in Python, row by row, without a shuffle."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = [(d, k + 1, len(c.split()), c) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for k, c in enumerate(fold_paragraphs(t or "", target, longest))]
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_id", "words", "chunk"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_id long, words long, chunk string")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _folded(batches, target, longest), from_arrow_schema(_CHUNKS))
