@@ -1,8 +1,8 @@
 """The interval that holds a point, with what stands in where none does.
 
 Days are numbered, and each interval is cut into the dyadic blocks that cover it exactly: at most two of each size, however long it
-is. Of the intervals that cover a block only the first in order is kept, so a point meets at most one row for
-each size of block, by an equi-join on (entity, size, block): neither long intervals, many overlapping
+is. Of the intervals that cover a block only the first in order is kept, so a point lies in at most one
+for each size of block. Blocks of TIER sizes lie together, and a point meets one row for each tier by an equi-join on (entity, tier, region): neither long intervals, many overlapping
 ones nor an entity with a third of all rows makes pairs.
 """
 
@@ -15,6 +15,8 @@ from .. import storage
 
 #: Sizes of blocks: 2^0 to 2^(LEVELS - 1) days, which is more than a calendar's range.
 LEVELS = 23
+#: Sizes of blocks that are looked up together.
+TIER = 8
 #: Days of a band in which windows are carried on.
 BAND = 256
 
@@ -46,13 +48,22 @@ def containing(points: DataFrame, windows: DataFrame, carried: bool = False) ->
     # an open end lies at the first or last day that is asked for
     lo, hi = F.coalesce(days(F.col("first")), days(F.lit(span["lo"]).cast("date"))), F.coalesce(days(F.col("last")), days(F.lit(span["hi"]).cast("date")))
     order = F.struct(F.coalesce(days(F.col("first")), F.lit(-(1 << 40))).alias("f"), "window")
-    held = rows.select("entity", order.alias("o"), F.explode(blocks(lo, hi)).alias("b")).groupBy("entity", "b.level", "b.block").agg(F.min("o").alias("o"))
-    held = storage.written(held, "blocks")
-    levels = sorted(r[0] for r in held.select("level").distinct().collect())  # LEVELS at most
+    # blocks of TIER sizes lie together by the region, of the next tier's size, that holds them: some 2^(TIER + 1) at most
+    size = lambda n: F.pow(F.lit(2.0), n)
+    tier = F.floor(F.col("level") / TIER).cast("int")
+    cut = rows.select("entity", order.alias("o"), F.explode(blocks(lo, hi)).alias("b")).select("entity", "o", "b.level", "b.block")
+    cut = cut.select("*", tier.alias("tier"), F.floor(F.col("block") / size((tier + 1) * TIER - F.col("level"))).cast("long").alias("region"))
+    keys = ["entity", "tier", "region"]
+    held = cut.repartition(*keys).groupBy(*keys, "level", "block").agg(F.min("o").alias("o"))  # dealt once for both aggregations
+    held = storage.written(held.groupBy(*keys).agg(F.collect_list(F.struct("level", "block", "o")).alias("blocks")), "regions")
+    tiers = sorted(r[0] for r in held.select("tier").distinct().collect())  # LEVELS at most
     keyed = storage.written(points.select(F.struct(*points.columns).alias("point"), "entity", "at", F.monotonically_increasing_id().alias("id")), "points")
-    sizes = F.transform(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"), lambda n: F.struct(n.alias("level"), F.floor(days(F.col("at")) / F.pow(F.lit(2.0), n)).cast("long").alias("block")))
-    met = keyed.filter("entity is not null and at is not null").select("id", "entity", F.explode(sizes).alias("b")).select("id", "entity", "b.level", "b.block")
-    found = met.join(held, ["entity", "level", "block"]).groupBy("id").agg(F.min("o").alias("o")).select("id", F.col("o.window").alias("held"))
+    regions = F.transform(F.array(*map(F.lit, tiers)) if tiers else F.array().cast("array<int>"), lambda n: F.struct(n.alias("tier"), F.floor(F.col("day") / size((n + 1) * TIER)).cast("long").alias("region")))
+    met = keyed.filter("entity is not null and at is not null").select("id", "entity", days(F.col("at")).alias("day")).select("id", "entity", "day", F.explode(regions).alias("r"))
+    met = met.select("id", "entity", "day", "r.tier", "r.region").join(held, ["entity", "tier", "region"])
+    of = F.filter("blocks", lambda b: b["block"] == F.floor(F.col("day") / size(b["level"])).cast("long"))
+    found = met.select("id", F.array_min(F.transform(of, lambda b: b["o"])).alias("o")).filter("o is not null")
+    found = found.groupBy("id").agg(F.min("o").alias("o")).select("id", F.col("o.window").alias("held"))
     out = keyed.join(found, "id", "left")
     if carried:
         other = _carried(keyed, rows, days)
