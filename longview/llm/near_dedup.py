@@ -9,10 +9,10 @@ probability of 2e-5 (at 0.85: 3e-7), as all ten chunks would have to differ in t
 
 Candidates are confirmed on the full shingle sets. What is needed is each document's component, so not every
 pair is made: every key first links its documents to one of them, its centre; those links are confirmed and joined
-to components. Then every pair that shares a key and still lies in different components is compared, in tiles of
-documents that get each text once; a document's nearest signatures come first, and a component that it is
-linked to needs no further comparison. A group of n copies costs O(n) pairs, and no link that could join two
-components is left out.
+to components. Then every pair that shares a key and still lies in different components is compared, in tiles:
+documents are dealt to blocks by the keys that they share, and a tile is two blocks of which several components
+share a key. It gets only the documents that hold such a key, each text once, and each is compared on its
+full set with all that are of like size. A group of n copies costs O(n) pairs, and no link that could join two components is left out.
 
 Defined results: null and empty texts have no shingles and form components of their own; a row with a null id
 is left out; each row repeated under one id and text gets the same result; rows of one id with different texts are documents
@@ -37,7 +37,9 @@ SYMBOLS = CHUNKS * WIDTH
 ROUNDS = 1
 #: Rows of one group of comparisons; larger groups are split.
 GROUP = 256
-#: Bytes of texts of one side of a tile, about; more rows of a family than these bytes hold are split further.
+#: Rounds in which documents choose the key by whose blocks they go.
+HOMES = 3
+#: Bytes of texts of a block, about; a side of a tile has no more.
 TILE = 1 << 22
 
 _rng = np.random.default_rng(20240)
@@ -161,28 +163,32 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _tile_links(rows: list[tuple], words: int, percent: int) -> list[tuple[int, int]]:
-    """Links between the outsiders and the members of one tile, each row (doc_id, component, outsider, member,
-    text). The nearest signatures come first, and once a document is linked to a component, the component's
-    other documents need no comparison with it."""
+    """Links between the left and the right documents of one tile, each row (doc_id, component, left, right, text). Every pair of
+    two components is compared on full sets; components that a link joins count as one from there on, so that
+    no more links come out than are needed."""
     sets = shingle_sets([r[4] for r in rows], words)
-    sig = _signatures(sets)
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets, rows = [sets[i] for i in order], [rows[i] for i in order]
+    n = np.array([len(s) for s in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.concatenate(([0], np.cumsum(n)))
     doc, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    is_x, is_y = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-    n, out = np.array([len(s) for s in sets]), []
-    for x in np.flatnonzero(is_x):
-        small, large = np.minimum(n, n[x]), np.maximum(n, n[x])
-        at = np.flatnonzero(is_y & (comp != comp[x]) & (100 * small >= percent * large))
-        same = sig[at] == sig[x]
-        shared = ((~same).reshape(-1, CHUNKS, WIDTH).sum(2) <= ERRORS).any(1)
-        far = SYMBOLS - same.sum(1)
-        near = np.flatnonzero(shared)
-        linked: set = set()
-        for y in at[near[np.argsort(far[near], kind="stable")]]:
-            if comp[y] not in linked:
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * both >= percent * (n[x] + n[y] - both):
-                    linked.add(comp[y])
-                    out.append((int(doc[x]), int(doc[y])))
+    sides = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    few, many = sides if sides[0].sum() <= sides[1].sum() else sides[::-1]
+    mark, out = np.zeros(len(code) + 1, np.int32), []
+    for x in np.flatnonzero(few):
+        # in order of sizes, those that can be similar enough follow each other
+        lo, hi = np.searchsorted(100 * n, percent * n[x]), np.searchsorted(percent * n, 100 * n[x], side="right")
+        if not (many[lo:hi] & (comp[lo:hi] != comp[x])).any():
+            continue
+        own = code[at[x] : at[x + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[code[at[lo] : at[hi]]], at[lo:hi] - at[lo])
+        mark[own] = 0
+        for y in lo + np.flatnonzero(many[lo:hi] & (100 * both >= percent * (n[x] + n[lo:hi] - both))):
+            if comp[y] != comp[x]:
+                comp[comp == comp[y]] = comp[x]
+                out.append((int(doc[x]), int(doc[y])))
     return out
 
 
@@ -192,40 +198,57 @@ def _tiles(words: int, percent: int):
         tile, rows = None, []
         for frame in frames:
             found = []
-            for row in frame[["family", "i", "j", "doc_id", "component", "outsider", "member", "text"]].itertuples(index=False, name=None):
-                if row[:3] != tile:
+            for row in frame[["i", "j", "doc_id", "component", "left", "right", "text"]].itertuples(index=False, name=None):
+                if row[:2] != tile:
                     found += _tile_links(rows, words, percent) if rows else []
-                    tile, rows = row[:3], []
-                rows.append(row[3:])
+                    tile, rows = row[:2], []
+                rows.append(row[2:])
             yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
         yield pd.DataFrame(_tile_links(rows, words, percent) if rows else [], columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def cross_links(member: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between documents that share a key and lie in different components.
+def _blocks(member: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, component, block): blocks of about GROUP documents, fewer where they are long, that have keys in common.
 
-    Documents joined by shared keys form a family. Those outside a family's largest component are compared
-    with all of it, in tiles of GROUP by GROUP documents, fewer where they are long, that get each text once.
-    """
+    Documents joined by shared keys form a family. One that fits is a block. In larger ones, which unlike documents hold together by
+    chance the more the larger a corpus is, a document goes by the most frequent of its keys. A component that would
+    fill much of a block of such a key has blocks of its own, as it isn't compared with itself."""
     centre = member.groupBy("key").agg(F.min("doc_id").alias("a"))
     family = components(member.join(centre, "key").select("a", F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    sizes = texts.select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    sizes = texts.select("doc_id", F.octet_length("text").alias("bytes"))
     docs = materialize(member.select("doc_id", "component").distinct().join(family, "doc_id").join(sizes, "doc_id"), "families")
-    parts = docs.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
-    core = parts.groupBy("family").agg(F.max(F.struct("n", "component", "b")).alias("c"), F.sum("n").alias("all"), F.sum("b").alias("bytes"))
-    split = lambda n, b: F.greatest(F.ceil(n / GROUP), F.ceil(b / TILE))
-    core = core.select("family", F.col("c.component").alias("core"), split(F.col("all"), F.col("bytes")).alias("rows"), split(F.col("all") - F.col("c.n"), F.col("bytes") - F.col("c.b")).alias("columns"))
-    placed = docs.drop("bytes").join(core, "family").withColumn("out", F.col("component") != F.col("core")).join(texts, "doc_id")
-    row, column = F.expr("pmod(xxhash64(doc_id, 7), rows)"), F.expr("pmod(xxhash64(doc_id, 8), columns)")
-    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
-    as_member = F.transform(every("columns"), lambda i: cell(i, row))
-    as_outsider = F.when(F.col("out"), F.transform(every("rows"), lambda j: cell(column, j))).otherwise(F.slice(as_member, 1, 0))
-    tiles = placed.withColumns({"at": F.explode(F.array_union(as_member, as_outsider)), "row": row, "column": column})
-    tiles = tiles.select("family", "at.i", "at.j", "doc_id", "component", (F.col("out") & (F.col("column") == F.col("at.i"))).alias("outsider"), (F.col("row") == F.col("at.j")).alias("member"), "text")
-    return tiles.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id").mapInPandas(tidy(_tiles(words, percent)), "a long, b long")
+    filled = F.greatest(F.count("*") / GROUP, F.sum("bytes") / TILE)
+    large = docs.join(docs.groupBy("family").agg(filled.alias("all")).filter("all > 1").select("family"), "family")
+    keys = materialize(member.select("key", "doc_id").join(large.select("doc_id"), "doc_id"), "keys")
+    home = keys.withColumn("home", F.col("key"))
+    for _ in range(HOMES):  # by the key that most have, then by the one to which most of those went, so that homes are few
+        often = home.groupBy("home").agg(F.count("*").alias("g")).withColumnRenamed("home", "key")
+        home = keys.join(often, "key").groupBy("doc_id").agg(F.max(F.struct("g", "key"))["key"].alias("home"))
+    home = materialize(large.join(home, "doc_id"), "homes")
+    parts = home.groupBy("home", "component").agg(filled.alias("own"))
+    others = parts.filter("own <= 0.25").groupBy("home").agg(F.ceil(F.sum("own")).alias("others"))
+    alone = F.xxhash64("home", "component", F.expr("pmod(xxhash64(doc_id, 7), ceil(own))"))
+    mixed = F.xxhash64("home", F.expr("pmod(xxhash64(component, 8), others)"))
+    dealt = home.join(parts.join(others, "home", "left"), ["home", "component"]).select("doc_id", F.when(F.col("own") > 0.25, alone).otherwise(mixed).alias("block"))
+    return docs.join(dealt, "doc_id", "left").select("doc_id", "component", F.coalesce("block", "family").alias("block"))
+
+
+def cross_links(member: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between documents that share a key and lie in different components.
+
+    Two blocks (or one) whose documents of a key lie in several components make a tile. A tile gets those of their documents
+    that hold such a key, each text once, however many keys and pairs they share.
+    """
+    held = materialize(member.select("key", "doc_id").join(_blocks(member, texts), "doc_id"), "held")
+    spans = held.groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    other = spans.select("key", *(F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi")))
+    met = spans.join(other, "key").filter("block <= block2 and least(lo, lo2) <> greatest(hi, hi2)").select("key", F.col("block").alias("i"), F.col("block2").alias("j"))
+    ends = met.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    placed = materialize(ends.join(held, ["key", "block"]).select("i", "j", "doc_id", "component", "block").distinct(), "placed")
+    tiles = placed.join(texts, "doc_id").select("i", "j", "doc_id", "component", (F.col("block") == F.col("i")).alias("left"), (F.col("block") == F.col("j")).alias("right"), "text")
+    return tiles.repartition("i", "j").sortWithinPartitions("i", "j", "doc_id").mapInPandas(tidy(_tiles(words, percent)), "a long, b long")
 
 
 def _apart(shared: DataFrame, joined: DataFrame | None) -> DataFrame:

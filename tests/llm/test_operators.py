@@ -332,6 +332,27 @@ def test_far_signatures_with_a_shared_key_are_compared(monkeypatch):
     assert near_dedup._tile_links([(1, 1, True, False, text), (2, 2, False, True, text)], 3, 80) == [(1, 2)]
 
 
+def test_near_dedup_chain_of_unlike_texts_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Texts that share keys only with their neighbours form one family, but a tile gets only those that share keys."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(3700)]
+    rows = [(i, " ".join(words[9 * i : 9 * i + 60])) for i in range(400)]
+    rows += [(1000 + i, text + " end") for i, text in rows[::50]]
+    d, sent = docs(spark, rows), []
+    real = type(d).mapInPandas
+
+    def counted(df, run, schema):
+        if {"i", "j", "text"} <= set(df.columns):
+            sent.append(df.count())
+        return real(df, run, schema)
+
+    monkeypatch.setattr(near_dedup, "GROUP", 8)
+    monkeypatch.setattr(type(d), "mapInPandas", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(d, 2).collect()}
+    assert got == brute_components(rows, 2, 80)
+    assert 0 < sum(sent) <= 10 * len(rows), sent
+
+
 def test_shingles_match_words():
     texts = ["A b\tC", "a B c", "a b  c\x0b", "é É", "x" * 3_000_000 + " y", None, ""]
     a = shingle_sets(texts, 2)
