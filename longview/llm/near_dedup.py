@@ -13,6 +13,8 @@ to components. Then every pair that shares a key and still lies in different com
 documents are dealt to blocks by the keys that they share, and a tile is two blocks of which several components
 share a key. It gets only the documents that hold such a key, each text once, and each is compared on its
 full set with all that are of like size. A group of n copies costs O(n) pairs, and no link that could join two components is left out.
+Versions of one text that are not alike enough are still compared all with all, but within blocks as large as memory
+allows: a key's rows are one a document, and a document is sent once for each block that its family fills.
 
 Defined results: null and empty texts have no shingles and form components of their own; a row with a null id
 is left out; each row repeated under one id and text gets the same result; rows of one id with different texts are documents
@@ -33,10 +35,10 @@ from ._shingles import mix, shingle_sets
 
 CHUNKS, WIDTH, ERRORS = 10, 6, 1
 SYMBOLS = CHUNKS * WIDTH
-#: Rounds in which each key links its documents to one centre; each takes other centres.
-ROUNDS = 1
-#: Rows of one group of comparisons; larger groups are split.
-GROUP = 256
+#: Documents compared with one text by one task; more are split.
+LEAVES = 256
+#: Documents of a block.
+GROUP = 2048
 #: Rounds in which documents choose the key by whose blocks they go.
 HOMES = 3
 #: Bytes of texts of a block, about; a side of a tile has no more.
@@ -53,7 +55,8 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     first = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
     out = np.empty((len(sets), SYMBOLS), np.uint16)
     for i in range(SYMBOLS):
-        out[:, i] = np.minimum.reduceat(flat * _A[i] + _B[i], first) >> np.uint64(48)
+        # the least of many values is small, and its top bits would be alike in any two large sets
+        out[:, i] = mix(np.minimum.reduceat(flat * _A[i] + _B[i], first)) >> np.uint64(48)
     return out
 
 
@@ -127,9 +130,9 @@ def _linked(words: int, percent: int):
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (hub, doc_id) whose full shingle sets are similar enough, as (a, b).
 
-    A hub's pairs are split into groups of about GROUP, each of which gets the hub's text once.
+    A hub's pairs are split into groups of about LEAVES, each of which gets the hub's text once.
     """
-    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / LEAVES).alias("parts"))
     salted = pairs.join(sizes, "hub").select("hub", F.expr("pmod(xxhash64(doc_id), parts)").alias("salt"), "doc_id")
     hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.col("hub").alias("doc_id"))
     wanted = salted.unionByName(hubs)
@@ -173,22 +176,25 @@ def _tile_links(rows: list[tuple], words: int, percent: int) -> list[tuple[int,
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate(([0], np.cumsum(n)))
     doc, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    sides = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-    few, many = sides if sides[0].sum() <= sides[1].sum() else sides[::-1]
+    left, right = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    names, sizes = np.unique(comp, return_counts=True)
+    # of two documents to compare, one at least lies outside the largest component
+    apart = comp != names[sizes.argmax()]
     mark, out = np.zeros(len(code) + 1, np.int32), []
-    for x in np.flatnonzero(few):
-        # in order of sizes, those that can be similar enough follow each other
-        lo, hi = np.searchsorted(100 * n, percent * n[x]), np.searchsorted(percent * n, 100 * n[x], side="right")
-        if not (many[lo:hi] & (comp[lo:hi] != comp[x])).any():
-            continue
-        own = code[at[x] : at[x + 1]]
-        mark[own] = 1
-        both = np.add.reduceat(mark[code[at[lo] : at[hi]]], at[lo:hi] - at[lo])
-        mark[own] = 0
-        for y in lo + np.flatnonzero(many[lo:hi] & (100 * both >= percent * (n[x] + n[lo:hi] - both))):
-            if comp[y] != comp[x]:
-                comp[comp == comp[y]] = comp[x]
-                out.append((int(doc[x]), int(doc[y])))
+    for few, many in ((left & apart, right), (right & ~left & apart, left & ~apart)):
+        for x in np.flatnonzero(few):
+            # in order of sizes, those that can be similar enough follow each other
+            lo, hi = np.searchsorted(100 * n, percent * n[x]), np.searchsorted(percent * n, 100 * n[x], side="right")
+            if not (many[lo:hi] & (comp[lo:hi] != comp[x])).any():
+                continue
+            own = code[at[x] : at[x + 1]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[code[at[lo] : at[hi]]], at[lo:hi] - at[lo])
+            mark[own] = 0
+            for y in lo + np.flatnonzero(many[lo:hi] & (100 * both >= percent * (n[x] + n[lo:hi] - both))):
+                if comp[y] != comp[x]:
+                    comp[comp == comp[y]] = comp[x]
+                    out.append((int(min(doc[x], doc[y])), int(max(doc[x], doc[y]))))
     return out
 
 
@@ -209,55 +215,60 @@ def _tiles(words: int, percent: int):
     return run
 
 
-def _blocks(member: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, component, block): blocks of about GROUP documents, fewer where they are long, that have keys in common.
+def _blocks(held: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, component, keys, block) of held (doc_id, component, keys): blocks of about GROUP documents, fewer where they
+    are long, that have keys in common.
 
-    Documents joined by shared keys form a family. One that fits is a block. In larger ones, which unlike documents hold together by
-    chance the more the larger a corpus is, a document goes by the most frequent of its keys. A component that would
-    fill much of a block of such a key has blocks of its own, as it isn't compared with itself."""
+    Documents joined by shared keys form a family. One that fits is a block. In larger ones a document goes by the most
+    frequent of its keys. A component that would fill much of a block of such a key has blocks of its own, as it isn't
+    compared with itself."""
+    member = held.select("doc_id", F.explode("keys").alias("key"))
     centre = member.groupBy("key").agg(F.min("doc_id").alias("a"))
     family = components(member.join(centre, "key").select("a", F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     sizes = texts.select("doc_id", F.octet_length("text").alias("bytes"))
-    docs = materialize(member.select("doc_id", "component").distinct().join(family, "doc_id").join(sizes, "doc_id"), "families")
+    docs = materialize(held.join(family, "doc_id").join(sizes, "doc_id"), "families")
     filled = F.greatest(F.count("*") / GROUP, F.sum("bytes") / TILE)
     large = docs.join(docs.groupBy("family").agg(filled.alias("all")).filter("all > 1").select("family"), "family")
-    keys = materialize(member.select("key", "doc_id").join(large.select("doc_id"), "doc_id"), "keys")
+    keys = materialize(large.select("doc_id", F.explode("keys").alias("key")), "keys")
     home = keys.withColumn("home", F.col("key"))
     for _ in range(HOMES):  # by the key that most have, then by the one to which most of those went, so that homes are few
         often = home.groupBy("home").agg(F.count("*").alias("g")).withColumnRenamed("home", "key")
         home = keys.join(often, "key").groupBy("doc_id").agg(F.max(F.struct("g", "key"))["key"].alias("home"))
-    home = materialize(large.join(home, "doc_id"), "homes")
+    home = materialize(large.drop("keys").join(home, "doc_id"), "homes")
     parts = home.groupBy("home", "component").agg(filled.alias("own"))
     others = parts.filter("own <= 0.25").groupBy("home").agg(F.ceil(F.sum("own")).alias("others"))
     alone = F.xxhash64("home", "component", F.expr("pmod(xxhash64(doc_id, 7), ceil(own))"))
     mixed = F.xxhash64("home", F.expr("pmod(xxhash64(component, 8), others)"))
     dealt = home.join(parts.join(others, "home", "left"), ["home", "component"]).select("doc_id", F.when(F.col("own") > 0.25, alone).otherwise(mixed).alias("block"))
-    return docs.join(dealt, "doc_id", "left").select("doc_id", "component", F.coalesce("block", "family").alias("block"))
+    return docs.join(dealt, "doc_id", "left").select("doc_id", "component", "keys", F.coalesce("block", "family").alias("block"))
 
 
-def cross_links(member: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between documents that share a key and lie in different components.
+def cross_links(held: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between documents of held (doc_id, component, keys) that share a key and lie in different components.
 
     Two blocks (or one) whose documents of a key lie in several components make a tile. A tile gets those of their documents
     that hold such a key, each text once, however many keys and pairs they share.
     """
-    held = materialize(member.select("key", "doc_id").join(_blocks(member, texts), "doc_id"), "held")
-    spans = held.groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    other = spans.select("key", *(F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi")))
-    met = spans.join(other, "key").filter("block <= block2 and least(lo, lo2) <> greatest(hi, hi2)").select("key", F.col("block").alias("i"), F.col("block2").alias("j"))
-    ends = met.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    placed = materialize(ends.join(held, ["key", "block"]).select("i", "j", "doc_id", "component", "block").distinct(), "placed")
+    held = materialize(_blocks(held, texts), "held")
+    member = held.select("doc_id", "component", "block", F.explode("keys").alias("key"))
+    spans = member.groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    # a key's blocks in one row, and each of them with those that it is to meet: a document's key stays one row, however many blocks have it
+    spans = spans.groupBy("key").agg(F.collect_list(F.struct("block", "lo", "hi")).alias("all")).select("key", "all", F.explode("all").alias("own"))
+    meets = F.expr("transform(filter(all, y -> least(own.lo, y.lo) <> greatest(own.hi, y.hi)), y -> y.block)")
+    met = spans.select("key", F.col("own.block").alias("block"), meets.alias("others")).filter("size(others) > 0")
+    tiles = member.join(met, ["key", "block"]).groupBy("doc_id", "component", "block").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    placed = tiles.select("doc_id", "component", "block", F.explode("others").alias("other"))
+    placed = materialize(placed.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "block"), "placed")
     tiles = placed.join(texts, "doc_id").select("i", "j", "doc_id", "component", (F.col("block") == F.col("i")).alias("left"), (F.col("block") == F.col("j")).alias("right"), "text")
     return tiles.repartition("i", "j").sortWithinPartitions("i", "j", "doc_id").mapInPandas(tidy(_tiles(words, percent)), "a long, b long")
 
 
-def _apart(shared: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """(key, slot, doc_id, component) of the keys whose documents lie in several components."""
-    if joined is None:
-        return shared.withColumn("component", F.col("doc_id"))
-    member = shared.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+def _apart(paired: DataFrame, joined: DataFrame) -> DataFrame:
+    """(doc_id, component, keys) of the documents that share a key with one of another component and haven't met it:
+    those keys. All documents of a key have met its hub."""
+    member = paired.filter("doc_id <> hub").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     split = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    return materialize(member.join(split, "key"), "split")
+    return member.join(split, "key").groupBy("doc_id", "component").agg(F.collect_list("key").alias("keys"))
 
 
 def _grown(links: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -294,18 +305,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     near = row_of.join(shared.select(F.col("doc_id").alias("node")).distinct(), "node").hint("merge")
     texts = materialize(texts.join(near, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select(F.col("node").alias("doc_id"), "text"), "near-texts")
 
-    links, joined = None, None
-    for turn in range(ROUNDS):
-        member = _apart(shared, joined)
-        # one centre per key: the smallest by a hash that the keys of a chunk have in common
-        order = F.struct(F.xxhash64("doc_id", F.floor(F.col("slot") / WIDTH), F.lit(turn)).alias("h"), "doc_id", "component")
-        centre = member.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.doc_id").alias("hub"), F.col("c.component").alias("at"))
-        pairs = member.join(centre, "key").filter("component <> at").select("hub", "doc_id").distinct()
-        links, joined = _grown(links, confirm(pairs, texts, words, percent))
-
-    member = _apart(shared, joined)
-    if not member.isEmpty():
-        links, joined = _grown(links, cross_links(member, texts, words, percent))
+    # one centre per key: the smallest by a hash that the keys of a chunk have in common
+    order = F.struct(F.xxhash64("doc_id", F.floor(F.col("slot") / WIDTH)).alias("h"), "doc_id")
+    centre = shared.groupBy("key").agg(F.min(order)["doc_id"].alias("hub"))
+    paired = materialize(shared.join(centre, "key").select("key", "doc_id", "hub"), "paired")
+    discard(shared)
+    pairs = paired.filter("doc_id <> hub").select("hub", "doc_id").distinct()
+    links, joined = _grown(None, confirm(pairs, texts, words, percent))
+
+    held = materialize(_apart(paired, joined), "held")
+    if not held.isEmpty():
+        links, joined = _grown(links, cross_links(held, texts, words, percent))
 
     named = materialize(joined.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id")), "named")
     labels = classes.join(joined, "node", "left").join(named, "component", "left").select("n", "d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))

@@ -353,6 +353,38 @@ def test_near_dedup_chain_of_unlike_texts_is_not_compared_pair_by_pair(spark, mo
     assert 0 < sum(sent) <= 10 * len(rows), sent
 
 
+def test_near_dedup_unlike_versions_of_one_text_meet_in_few_rows(spark, monkeypatch):
+    """Versions that share keys but aren't alike enough are sent once for each block, and a key's rows stay one a document."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(80)]
+    rows = [(i, " ".join(w if rng.random() > 0.1 else f"v{rng.randrange(40)}" for w in base)) for i in range(800)]
+    d, sent, held = docs(spark, rows), [], []
+    real, wrote = type(d).mapInPandas, near_dedup.materialize
+
+    def counted(df, run, schema):
+        if {"i", "j", "text"} <= set(df.columns):
+            sent.append(df.count())
+        return real(df, run, schema)
+
+    def written(df, label, *more):
+        out = wrote(df, label, *more)
+        held.extend([out.count()] if label == "held" else [])
+        return out
+
+    monkeypatch.setattr(type(d), "mapInPandas", counted)
+    monkeypatch.setattr(near_dedup, "materialize", written)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(d, 5).collect()}
+    assert got == brute_components(rows, 5, 80)
+    assert 0 < sum(sent) <= len(rows) and 0 < max(held) <= len(rows), (sent, held)
+
+
+def test_symbols_of_large_sets_differ():
+    """The least hash of a large set is small; symbols of two unlike sets must not agree for that."""
+    rng = np.random.default_rng(1)
+    sig = near_dedup._signatures([rng.integers(0, 1 << 63, 30_000, dtype=np.uint64) for _ in range(20)])
+    assert sum((sig[i] == sig[j]).sum() for i in range(20) for j in range(i)) <= 2
+
+
 def test_shingles_match_words():
     texts = ["A b\tC", "a B c", "a b  c\x0b", "é É", "x" * 3_000_000 + " y", None, ""]
     a = shingle_sets(texts, 2)
