@@ -91,3 +91,16 @@ def test_dense_search_sends_a_query_to_regions_not_to_cells(spark, monkeypatch,
     regions, seen = len(set(vectors._regions(n)[n > 0])), share.first()
     assert regions > 5 and seen["cells"] == 75 * int((n > 0).sum())
     assert sum(rows for _, rows in kept) <= 75 * (regions + vectors.FIRST + 2 + 2 * 4) < seen["visited"]
+
+
+def test_index_writes_no_windows(spark, monkeypatch):
+    """Only the postings and the terms are written; windows with their counts are made where a segment is."""
+    docs, _ = corpus(random.Random(7), 60)
+    table = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    made = postings.counted_windows(table, 180, 40).select(F.explode("terms").alias("term")).groupBy("term").count()
+    writer, paths = type(table.write), []
+    real = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, path, *more, **named: (paths.append(path.rsplit("/", 1)[1]), real(self, path, *more, **named))[1])
+    index = built(spark, docs)
+    assert sorted(paths) == ["blocks", "stats"]
+    assert {tuple(r) for r in index.stats.select("term", "df").collect()} == {tuple(r) for r in made.collect()}
