@@ -222,18 +222,18 @@ def _blocks(held: DataFrame, texts: DataFrame) -> DataFrame:
     Documents joined by shared keys form a family. One that fits is a block. In larger ones a document goes by the most
     frequent of its keys. A component that would fill much of a block of such a key has blocks of its own, as it isn't
     compared with itself."""
-    member = held.select("doc_id", F.explode("keys").alias("key"))
-    centre = member.groupBy("key").agg(F.min("doc_id").alias("a"))
-    family = components(member.join(centre, "key").select("a", F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    member = materialize(held.select("doc_id", F.explode("keys").alias("key")), "members")
+    of_key = member.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("g"))
+    keys = materialize(member.join(of_key, "key"), "keys")
+    discard(member)
+    family = components(keys.select("a", F.col("doc_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     sizes = texts.select("doc_id", F.octet_length("text").alias("bytes"))
     docs = materialize(held.join(family, "doc_id").join(sizes, "doc_id"), "families")
     filled = F.greatest(F.count("*") / GROUP, F.sum("bytes") / TILE)
     large = docs.join(docs.groupBy("family").agg(filled.alias("all")).filter("all > 1").select("family"), "family")
-    keys = materialize(large.select("doc_id", F.explode("keys").alias("key")), "keys")
-    home = keys.withColumn("home", F.col("key"))
-    for _ in range(HOMES):  # by the key that most have, then by the one to which most of those went, so that homes are few
-        often = home.groupBy("home").agg(F.count("*").alias("g")).withColumnRenamed("home", "key")
-        home = keys.join(often, "key").groupBy("doc_id").agg(F.max(F.struct("g", "key"))["key"].alias("home"))
+    for i in range(HOMES):  # by the key that most have, then by the one to which most of those went, so that homes are few
+        often = keys if i == 0 else keys.drop("g").join(home.groupBy(F.col("home").alias("key")).agg(F.count("*").alias("g")), "key")
+        home = often.groupBy("doc_id").agg(F.max(F.struct("g", "key"))["key"].alias("home"))
     home = materialize(large.drop("keys").join(home, "doc_id"), "homes")
     parts = home.groupBy("home", "component").agg(filled.alias("own"))
     others = parts.filter("own <= 0.25").groupBy("home").agg(F.ceil(F.sum("own")).alias("others"))
@@ -250,7 +250,7 @@ def cross_links(held: DataFrame, texts: DataFrame, words: int, percent: int) ->
     that hold such a key, each text once, however many keys and pairs they share.
     """
     held = materialize(_blocks(held, texts), "held")
-    member = held.select("doc_id", "component", "block", F.explode("keys").alias("key"))
+    member = materialize(held.select("doc_id", "component", "block", F.explode("keys").alias("key")), "members")
     spans = member.groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     # a key's blocks in one row, and each of them with those that it is to meet: a document's key stays one row, however many blocks have it
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("block", "lo", "hi")).alias("all")).select("key", "all", F.explode("all").alias("own"))

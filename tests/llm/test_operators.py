@@ -378,6 +378,46 @@ def test_near_dedup_unlike_versions_of_one_text_meet_in_few_rows(spark, monkeypa
     assert 0 < sum(sent) <= len(rows) and 0 < max(held) <= len(rows), (sent, held)
 
 
+def made_by(spark, node, since):
+    """Rows made by the plan nodes whose description starts so, in executions from since on, and the next execution's number."""
+    store, made, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executions = store.executionsList().iterator()
+    while executions.hasNext():
+        at = executions.next().executionId()
+        last = max(last, at + 1)
+        nodes, values = store.planGraph(at).allNodes().iterator(), store.executionMetrics(at)
+        while at >= since and nodes.hasNext():
+            x = nodes.next()
+            metrics = x.metrics().iterator()
+            while x.desc().startswith(node) and metrics.hasNext():
+                m = metrics.next()
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return made, last
+
+
+def test_near_dedup_lists_of_keys_are_unfolded_once_a_step(spark, monkeypatch):
+    """Blocks and tiles each make a document's keys to rows once, though they group, join and deal by them."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(80)]
+    rows = [(i, " ".join(w if rng.random() > 0.1 else f"v{rng.randrange(40)}" for w in base)) for i in range(200)]
+    real, listed = near_dedup._apart, []
+
+    def apart(*tables):
+        out = real(*tables)
+        listed.append(out.agg(F.sum(F.size("keys"))).first()[0])
+        return out
+
+    monkeypatch.setattr(near_dedup, "GROUP", 32)
+    monkeypatch.setattr(near_dedup, "_apart", apart)
+    _, since = made_by(spark, "none", 0)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, rows), 5).collect()}
+    made, _ = made_by(spark, "Generate explode(keys", since)
+    assert got == brute_components(rows, 5, 80)
+    assert 0 < made <= 2 * listed[0], (made, listed)
+
+
 def test_symbols_of_large_sets_differ():
     """The least hash of a large set is small; symbols of two unlike sets must not agree for that."""
     rng = np.random.default_rng(1)
