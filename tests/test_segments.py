@@ -104,3 +104,42 @@ def test_index_writes_no_windows(spark, monkeypatch):
     index = built(spark, docs)
     assert sorted(paths) == ["blocks", "stats"]
     assert {tuple(r) for r in index.stats.select("term", "df").collect()} == {tuple(r) for r in made.collect()}
+
+
+def test_index_sends_texts_once(spark, monkeypatch):
+    """Texts go to their segments and nowhere else: how many windows there are, and how long, comes out with the postings."""
+    docs, _ = corpus(random.Random(9), 60)
+    table = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    kind, sent = type(table), []
+    dealt, mapped = kind.repartition, kind.mapInArrow
+
+    def noted(df, how, *more):
+        sent.extend([more] if "text" in df.columns else [])
+        return how(df, *more)
+
+    monkeypatch.setattr(kind, "repartition", lambda df, *more: noted(df, dealt, *more))
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, *more: noted(df, mapped, *more))
+    monkeypatch.setattr(postings, "SEGMENT", 20)
+    index = built(spark, docs)
+    monkeypatch.undo()
+    assert index.segments > 2 and sent == [(index.segments, "seg")]
+    windows = postings.counted_windows(table, 180, 40).agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+    assert (index.n, index.avgdl) == (windows["n"], windows["mean"])
+
+
+def test_gold_shuffles_no_texts_where_candidates_are_few(spark, sf, monkeypatch):
+    from longview.plans import retrieval
+
+    real, plans = storage.written, {}
+
+    def written(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, label)
+
+    monkeypatch.setattr(storage, "written", written)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")  # below the documents' size
+    try:
+        assert retrieval._gold(spark, sf).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" in plans["gold"] and "SortMergeJoin" not in plans["gold"], plans["gold"]
