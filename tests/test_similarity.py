@@ -38,3 +38,28 @@ def test_sets_that_share_frequent_tokens_are_no_pairs(spark, monkeypatch):
     rows = [(i, rng.sample(words, 100)) for i in range(80)] + [(100 + i, words[:100]) for i in range(40)]
     got = similarity.jaccard_pairs(spark.createDataFrame(rows, "id long, tokens array<string>"), 0.6).count()
     assert got == 40 * 39 // 2 and kept["classes"] == 81 and kept["pairs"] == 0
+
+
+def test_blocks_meet_only_where_sizes_can_be_similar(spark, monkeypatch):
+    """Many small blocks, several of one size and meetings in parts give the pairs of brute force; a set is one row for each tile that it is in,
+    not for each of its tokens, and goes only where partners can be."""
+    rng, real, kept = random.Random(3), storage.written, {}
+
+    def written(df, label):
+        out = real(df, label)
+        kept[label] = out
+        return out
+
+    monkeypatch.setattr(storage, "written", written)
+    for name, value in (("BLOCK", 8), ("MET", 50), ("HELD", 3), ("WORDS", 4)):
+        monkeypatch.setattr(similarity, name, value)
+    rows = sets(rng, 60) + [(10000 + i, rng.sample([f"w{k}" for k in range(12)], 6)) for i in range(40)]
+    rows += [(20000 + i, [f"v{k}" for k in range(900) if k % 9 != i]) for i in range(3)]
+    got = {(r["a"], r["b"]): r["jaccard"] for r in similarity.jaccard_pairs(spark.createDataFrame(rows, "id long, tokens array<string>"), 0.6).collect()}
+    want = {(a, b): round(len(set(s) & set(t)) / len(set(s) | set(t)), 6) for a, s in rows for b, t in rows if a < b and s and t and len(set(s) & set(t)) / len(set(s) | set(t)) >= 0.6}
+    assert got == want and len(want) > 50
+    assert kept["signed"].count() == kept["classes"].count() and kept["pairs"].count() == kept["pairs"].distinct().count()
+    tiles = similarity._tiles(kept["signed"], 0.6)
+    assert tiles.groupBy("tile").count().count() > 20 and tiles.groupBy("tile").count().agg({"count": "max"}).first()[0] < 40
+    sizes = tiles.groupBy("tile").agg({"n": "min"}).join(tiles.groupBy("tile").agg({"n": "max"}), "tile").collect()
+    assert all(r["min(n)"] >= 0.6 * 0.6 * r["max(n)"] - 2 for r in sizes)
