@@ -126,18 +126,41 @@ def _candidates(a: _Side, b: _Side, threshold: float) -> Iterator[tuple[np.ndarr
 
 
 def _met(threshold: float):
-    """A tile's rows as (a, b) of nodes that may be similar."""
-    def run(table: pa.Table) -> pa.Table:
+    """A tile's rows as (tile, a, b) of nodes that may be similar."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         second = table.column("second").to_numpy(zero_copy_only=False).astype(bool)
         a = _Side(table.filter(pa.array(~second)))
         b = _Side(table.filter(pa.array(second))) if not table.column("own")[0].as_py() else a
         found = [(a.node[x], b.node[y]) for x, y in _candidates(a, b, threshold)]
         x, y = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        return pa.table({"tile": np.full(len(x), key[0].as_py(), np.int32), "a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return run
 
 
+def _common(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """A tile's pairs (a, b) with both sizes and the number of tokens in common, from the tile's (node, tokens)."""
+    node, lists = sets.column("node").to_numpy(), sets.column("tokens").combine_chunks()
+    n = lists.value_lengths().to_numpy().astype(np.int64)
+    start, code = np.cumsum(n) - n, lists.flatten().dictionary_encode().indices.to_numpy()
+    by = np.argsort(node)
+    a, b = (by[np.searchsorted(node, pairs.column(c).to_numpy(), sorter=by)] for c in "ab")
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    held, k = np.zeros(code.max(initial=0) + 1, bool), np.zeros(len(a), np.int64)
+    for first, last in zip(*(np.nonzero(np.diff(a, **{side: -1}))[0] for side in ("prepend", "append")), strict=True):
+        own = code[start[a[first]] : start[a[first]] + n[a[first]]]
+        held[own] = True
+        parts = np.cumsum(n[b[first : last + 1]]) // MET
+        for i, j in zip(*(np.nonzero(np.diff(parts, **{side: -1}))[0] for side in ("prepend", "append")), strict=True):
+            y = b[first + i : first + j + 1]
+            ends = np.cumsum(n[y])
+            at = np.arange(ends[-1]) + np.repeat(start[y] - (ends - n[y]), n[y])
+            k[first + i : first + j + 1] = np.add.reduceat(held[code[at]].astype(np.int64), ends - n[y])
+        held[own] = False
+    return pa.table({"a": node[a], "b": node[b], "na": n[a].astype(np.int32), "nb": n[b].astype(np.int32), "k": k.astype(np.int32)})
+
+
 def jaccard_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """rows (id, tokens) as (a, b, jaccard) for pairs with a < b and a Jaccard similarity of threshold or more.
 
@@ -162,11 +185,11 @@ def jaccard_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     # dealt by set before they are gathered: half-made lists would be shuffled otherwise
     ordered = words.join(frequency, "w").repartition("node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
     signed = storage.written(ordered.select("node", F.size("s").alias("n"), F.col("s.w").alias("w")).mapInArrow(_signed(threshold), _SIGNED), "signed")
-    pairs = storage.written(_tiles(signed, threshold).groupBy("tile").applyInArrow(_met(threshold), "a long, b long"), "pairs")
+    pairs = storage.written(_tiles(signed, threshold).groupBy("tile").applyInArrow(_met(threshold), "tile int, a long, b long"), "pairs")
 
-    of = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"s{x}"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    found = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("k"))
+    # a set is sent once to a tile, however many pairs it has there
+    needed = pairs.select(F.col("tile").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node").select("at", "node", "tokens")
+    found = pairs.groupBy("tile").cogroup(needed.groupBy("at")).applyInArrow(_common, "a long, b long, na int, nb int, k int")
     score = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
     found = storage.written(found.filter(score >= threshold).select("a", "b", F.round(score, 6).alias("jaccard")), "similar")
     row = lambda x: members.select(F.col("node").alias(x), F.col("id").alias(f"id_{x}"))

@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from longview import storage
 from longview.operators import similarity
 
@@ -63,3 +65,17 @@ def test_blocks_meet_only_where_sizes_can_be_similar(spark, monkeypatch):
     assert tiles.groupBy("tile").count().count() > 20 and tiles.groupBy("tile").count().agg({"count": "max"}).first()[0] < 40
     sizes = tiles.groupBy("tile").agg({"n": "min"}).join(tiles.groupBy("tile").agg({"n": "max"}), "tile").collect()
     assert all(r["min(n)"] >= 0.6 * 0.6 * r["max(n)"] - 2 for r in sizes)
+
+
+def test_pairs_of_a_tile_are_counted_by_tokens(monkeypatch):
+    """Each set is there once, however many pairs it has; pairs come in any order and are counted in parts."""
+    monkeypatch.setattr(similarity, "MET", 20)
+    rng = random.Random(5)
+    rows = [(7 * i, sorted(rng.sample([f"w{k}" for k in range(40)], rng.randint(1, 30)))) for i in range(30)]
+    rng.shuffle(rows)
+    pairs = rng.sample([(a, b) for a, _ in rows for b, _ in rows if a < b], 200)
+    table = lambda names, got: pa.table(dict(zip(names, map(list, zip(*got, strict=True)), strict=True)))
+    got = similarity._common(table(["a", "b"], pairs), table(["node", "tokens"], rows)).to_pylist()
+    of = dict(rows)
+    assert sorted((r["a"], r["b"], r["na"], r["nb"], r["k"]) for r in got) == sorted((a, b, len(of[a]), len(of[b]), len(set(of[a]) & set(of[b]))) for a, b in pairs)
+    assert similarity._common(table(["a", "b"], pairs).slice(0, 0), table(["node", "tokens"], rows)).num_rows == 0
